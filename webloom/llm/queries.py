@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import exact_dedup, packing, sharding
+from webloom.llm import exact_dedup, html_extract, packing, sharding
 
-MODULES = [exact_dedup, packing, sharding]
+MODULES = [html_extract, packing, sharding, exact_dedup]
 
 
 def queries() -> dict:
