@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import exact_dedup, html_extract, packing, sharding
+from webloom.llm import exact_dedup, html_extract, packing, quality, sharding, toxicity
 
-MODULES = [html_extract, packing, sharding, exact_dedup]
+MODULES = [html_extract, packing, sharding, exact_dedup, toxicity, quality]
 
 
 def queries() -> dict:
