@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import exact_dedup, html_extract, packing, quality, sharding, toxicity
+from webloom.llm import decontaminate, exact_dedup, html_extract, packing, quality, sharding, toxicity
 
-MODULES = [html_extract, packing, sharding, exact_dedup, toxicity, quality]
+MODULES = [html_extract, packing, decontaminate, sharding, exact_dedup, toxicity, quality]
 
 
 def queries() -> dict:
