@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, exact_dedup, html_extract, packing, quality, sharding, toxicity
+from webloom.llm import decontaminate, exact_dedup, html_extract, licenses, packing, quality, sharding, toxicity
 
-MODULES = [html_extract, packing, decontaminate, sharding, exact_dedup, toxicity, quality]
+MODULES = [html_extract, packing, decontaminate, sharding, exact_dedup, toxicity, licenses, quality]
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v() if callable(v) else v for m in MODULES for k, v in m.SQL.items()}
