@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, exact_dedup, html_extract, licenses, packing, quality, sharding, toxicity
+from webloom.llm import decontaminate, exact_dedup, html_extract, licenses, near, packing, quality, sharding, toxicity
 
-MODULES = [html_extract, packing, decontaminate, sharding, exact_dedup, toxicity, licenses, quality]
+MODULES = [html_extract, packing, decontaminate, sharding, exact_dedup, toxicity, licenses, near, quality]
 
 
 def queries() -> dict:
