@@ -124,7 +124,7 @@ def eval_passes(text: Column) -> Column:
     from webloom.functions.text import strip_banner
 
     body = strip_banner(text)
-    lines = F.transform(F.split(F.regexp_replace(body, "\n$", ""), "\n"), lambda x: F.octet_length(F.trim(F.regexp_replace(x, "[ \\t]+", " "))) + 1)
+    lines = F.transform(F.split(F.regexp_replace(body, r"\n\z", ""), "\n"), lambda x: F.octet_length(F.trim(F.regexp_replace(x, "[ \\t]+", " "))) + 1)
     size = F.aggregate(lines, F.lit(0).cast("int"), lambda a, b: a + b)
     return (size >= 200) & (F.regexp_count(body, F.lit(r"[^ \t\n\x0B\f\r]+")) >= 40)
 

@@ -17,9 +17,9 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 def postprocess(markdown: Column) -> Column:
     """Lines without trailing white space, blank runs as one blank line, a line end at the end; empty stays empty."""
     inner = SPACE.replace(r"\t-\r", r"\t\x0B\f\r")
-    lines = F.regexp_replace(F.regexp_replace(markdown, r"\r\n", "\n"), f"[{inner}]+(\n|$)", "$1")
+    lines = F.regexp_replace(F.regexp_replace(markdown, r"\r\n", "\n"), f"[{inner}]+(\n|\\z)", "$1")
     lines = F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), "^\n+", "\n")
-    return F.when(markdown == "", "").otherwise(F.concat(F.regexp_replace(lines, "\n$", ""), F.lit("\n")))
+    return F.when(markdown == "", "").otherwise(F.concat(F.regexp_replace(lines, r"\n\z", ""), F.lit("\n")))
 
 
 def pdf_text(raw: Column) -> Column:
@@ -120,24 +120,26 @@ WINDOW, RESERVE = 16_384, 128
 CUTS = ["\n# ", "\n## ", "\n### ", "\n\n", "\n"]
 
 
-def truncate_ascii(markdown: Column, tokens: int, label: str = LABEL) -> Column:
-    """Cuts ASCII markdown to about `tokens` tokens of four bytes: the link table goes first, then all behind the best cut."""
-    budget = 4 * tokens
-    table = last_at(markdown, "\n## Links\n")
-    body = F.when(table > 0, F.substring(markdown, F.lit(1), table - 1)).otherwise(markdown)
-    size = F.octet_length(markdown)
-    gone = size - F.octet_length(body)
-    first = F.concat(F.rtrim(F.regexp_replace(body, r"\s+$", "")), F.format_string(f"\n\n<!-- truncated by {label}: dropped link table, ~%d tokens / %d bytes omitted -->\n", F.floor(gone / 4).cast("long"), gone.cast("long")))
+def truncated_ascii(docs, md_col: str, tokens: int, label: str = LABEL):
+    """`docs` with their ASCII markdown cut to about `tokens` tokens of four bytes: the link table goes first, then all
+    behind the best cut. Each step is a column of its own, so that the plan computes it once.
+    """
+    budget, md = 4 * tokens, F.col(md_col)
     target = max(0, budget - RESERVE)
-    kept = F.substring(body, 1, target)
     start = max(0, target - WINDOW)
-    window = F.substring(kept, start + 1, WINDOW)
-    cut = F.lit(target)
-    for mark in reversed(CUTS):
-        at = last_at(window, mark)
-        cut = F.when(at > 0, start + at).otherwise(cut)
-    omitted = size - cut
+    table = last_at(md, "\n## Links\n")
+    out = docs.withColumn("_table", F.when(F.octet_length(md) > budget, table).otherwise(0))
+    out = out.withColumn("_body", F.when(F.col("_table") > 0, F.substring(md, F.lit(1), F.col("_table") - 1)).otherwise(md))
+    out = out.withColumn("_window", F.substring(F.substring("_body", 1, target), start + 1, WINDOW)).withColumn("_cut", F.lit(None).cast("int"))
+    for mark in CUTS:
+        at = last_at(F.col("_window"), mark)
+        out = out.withColumn("_cut", F.coalesce("_cut", F.when(at > 0, start + at)))
+    out = out.withColumn("_cut", F.coalesce("_cut", F.lit(target)))
+    size, gone = F.octet_length(md), F.octet_length(md) - F.octet_length("_body")
+    whole = F.concat(F.regexp_replace("_body", r"\s+$", ""), F.format_string(f"\n\n<!-- truncated by {label}: dropped link table, ~%d tokens / %d bytes omitted -->\n", F.floor(gone / 4).cast("long"), gone.cast("long")))
+    omitted = size - F.col("_cut")
     note = F.when(gone > 0, " (link table dropped first)").otherwise("")
     tail = F.format_string(f"\n\n<!-- truncated by {label}: ~%d tokens / %d bytes omitted%s -->\n", F.floor(omitted / 4).cast("long"), omitted.cast("long"), note)
-    second = F.concat(F.regexp_replace(F.substring(body, F.lit(1), cut), r"\s+$", ""), tail)
-    return F.when(size <= budget, markdown).when(F.octet_length(body) <= budget, first).otherwise(second)
+    part = F.concat(F.regexp_replace(F.substring(F.col("_body"), F.lit(1), F.col("_cut")), r"\s+$", ""), tail)
+    done = F.when(size <= budget, md).when(F.octet_length("_body") <= budget, whole).otherwise(part)
+    return out.withColumn(md_col, done).drop("_table", "_body", "_window", "_cut")

@@ -12,7 +12,7 @@ from webloom.functions.predicates import ascii_lower
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(tab_id, line_number, line): one row per line; a trailing line end adds none, carriage returns go."""
-    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), "\n$", "")
+    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), r"\n\z", "")
     split = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("tab_id"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
     return split.select("tab_id", (F.col("n") + 1).cast("long").alias("line_number"), "line")
 
@@ -59,7 +59,7 @@ def search_stats(rows: DataFrame, query: str, mode: str = "plain") -> DataFrame:
 
 def read_lines(docs: DataFrame, id_col: str, text_col: str, start: int, end: int) -> DataFrame:
     """(tab_id, total_lines, first, last, content): lines start..end, both clamped to what there is; none if start > end."""
-    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), "\n$", "")
+    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), r"\n\z", "")
     parts = docs.select(F.col(id_col).alias("tab_id"), F.when(F.col(text_col) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")).alias("parts"))
     n = F.size("parts")
     first, last = F.greatest(F.lit(1), F.least(F.lit(start), n)), F.greatest(F.lit(1), F.least(F.lit(end), n))

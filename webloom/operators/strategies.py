@@ -77,7 +77,7 @@ def parse_html(captures: DataFrame, html_col: str = "html") -> DataFrame:
 
 def snapshots(answers: DataFrame) -> DataFrame:
     """(url, snapshot) of usable archive answers (url, body JSON), in the form that serves the page as it was."""
-    j = F.from_json("body", "archived_snapshots struct<closest:struct<available:boolean,url:string,status:string>>")["archived_snapshots.closest"]
+    j = F.from_json("body", "archived_snapshots struct<closest:struct<available:boolean,url:string,status:string>>")["archived_snapshots"]["closest"]
     rows = answers.where(~P.is_archive(F.col("url"))).select("url", j.alias("j"))
     return rows.where(P.snapshot_usable(F.col("j.available"), F.col("j.status"))).select("url", F.coalesce(U.archive_raw(F.col("j.url")), F.col("j.url")).alias("snapshot"))
 

@@ -249,7 +249,7 @@ def _linked(s, d):
     return V.page_md(s, d).select("page_id", F.concat(md, F.when(F.col("page_id") % 2 == 0, table).otherwise("")).alias("md"))
 
 
-R.add("truncate_ascii", lambda s, d: _linked(s, d).select("page_id", X.truncate_ascii(F.col("md"), 300).alias("md")), V.sql(_truncate_sql(300), "page_md"))
+R.add("truncate_ascii", lambda s, d: X.truncated_ascii(_linked(s, d), "md", 300), V.sql(_truncate_sql(300), "page_md"))
 
 
 def extraction_report(spark, d):
