@@ -59,7 +59,10 @@ class Index:
 
     items: list[Item]
     vocabulary: np.ndarray
-    ceiling: np.ndarray  # by term: its largest weight in any item
+    essential_at: np.ndarray  # by term: where its essential postings begin; an item's other postings sum to less than half its threshold
+    essential_item: np.ndarray
+    essential: np.ndarray
+    need: np.ndarray  # by item: what its essential postings must score
     term_at: np.ndarray
     posting_item: np.ndarray
     posting: np.ndarray
@@ -113,7 +116,15 @@ class Index:
         np.maximum.at(most, key, value)
         most = most.reshape(len(vocabulary), blocks)
         longest = max(len(words[n]) for n in keep)
-        return Index(items, vocabulary, most.max(axis=1), np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, value, most, max(longest, 32), np.array([f for _, f in vectors]))
+        need, spared = np.ones(len(items)), set()
+        for n, (weight, floor) in enumerate(vectors):
+            for t in sorted(weight, key=lambda t: (-df[t], t)):
+                if need[n] - weight[t] / floor > 0.5:
+                    need[n] -= weight[t] / floor
+                    spared.add((place[t], n))
+        kept = np.array([(t, n) not in spared for t, n, _ in postings])
+        essential_at = np.searchsorted(term[kept], np.arange(len(vocabulary) + 1))
+        return Index(items, vocabulary, essential_at, item[kept], value[kept], need, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, value, most, max(longest, 32), np.array([f for _, f in vectors]))
 
     def search(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items whose score for the distinct `terms` of a passage reaches their threshold, and the scores over it.
@@ -131,6 +142,37 @@ class Index:
         found = np.flatnonzero(score >= 1 - 1e-9)
         return found, score[found]
 
+    def _passages(self, first: np.ndarray, known: np.ndarray, place: np.ndarray):
+        """(text, begin, end) of the passages that may reach some item's threshold.
+
+        Texts are cut into cells of one window; a passage is two cells, so that whatever is no longer than a window is
+        whole in one. Only essential postings are read, for all cells at once: an item is in reach of a passage if they
+        score, repeats counted, what they must.
+        """
+        length = np.diff(first)
+        cells = -(-length // self.window)
+        cell_at = np.concatenate([[0], np.cumsum(cells)])
+        at = np.flatnonzero(known)
+        at = at[self.essential_at[place[at] + 1] > self.essential_at[place[at]]]
+        text = np.searchsorted(first, at, "right") - 1
+        cell = cell_at[text] + (at - first[text]) // self.window
+        start = self.essential_at[place[at]]
+        count = self.essential_at[place[at] + 1] - start
+        flat = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        n = len(self.items)
+        key, inverse = np.unique(np.repeat(cell, count) * n + self.essential_item[flat], return_inverse=True)
+        score = np.bincount(inverse, self.essential[flat], len(key))
+        cell, item = key // n, key % n
+        following = np.searchsorted(key, key + n)
+        following[following == len(key)] = 0
+        doc = np.searchsorted(cell_at, cell, "right") - 1
+        joined = (key[following] == key + n) & (cell + 1 < cell_at[doc + 1]) if len(key) else np.zeros(0, bool)
+        total = score + np.where(joined, score[following], 0.0)
+        for c in np.unique(cell[total >= self.need[item] - 1e-9]):
+            d = int(np.searchsorted(cell_at, c, "right")) - 1
+            begin = int(first[d] + (c - cell_at[d]) * self.window)
+            yield d, begin, min(begin + 2 * self.window, int(first[d + 1]))
+
     def matches(self, texts: pa.Array):
         """(row, item, BM25 score, question overlap, answer overlap) of every verified match in the texts, whole texts read."""
         for row, data, at in vec.slices(texts):
@@ -139,17 +181,14 @@ class Index:
             place = np.searchsorted(self.vocabulary, word)
             place[place == len(self.vocabulary)] = 0
             known = self.vocabulary[place] == word
-            worth = np.concatenate([[0.0], np.cumsum(np.where(known, self.ceiling[place], 0.0))])
-            for d in np.flatnonzero(worth[first[1:]] - worth[first[:-1]] >= 1 - 1e-9):
+            best_of: dict[int, dict[int, float]] = {}
+            for d, begin, end in self._passages(first, known, place):
+                best = best_of.setdefault(d, {})
+                terms = np.unique(place[begin:end][known[begin:end]])
+                for n, score in zip(*self.search(terms), strict=True):
+                    best[n] = max(best.get(n, 0.0), score)
+            for d, best in best_of.items():
                 a, b = int(first[d]), int(first[d + 1])
-                best: dict[int, float] = {}
-                # passages of two windows, one window apart: whatever is no longer than a window is whole in one of them
-                begin = np.arange(a, max(a + 1, b - self.window), self.window)
-                end = np.minimum(begin + 2 * self.window, b)
-                for s, e in zip(begin[hit := worth[end] - worth[begin] >= 1 - 1e-9], end[hit], strict=True):
-                    terms = np.unique(place[s:e][known[s:e]])
-                    for n, score in zip(*self.search(terms), strict=True):
-                        best[n] = max(best.get(n, 0.0), score)
                 grams: dict[int, np.ndarray] = {}
                 for n in sorted(best):
                     item = self.items[n]
