@@ -33,7 +33,8 @@ def brute(rows, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_against_brute_force(spark, order):
+def test_against_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 900)
     rng = random.Random(order)
     rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.randint(0, 60)))) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(40)] + [(None, "w1 w2 w3"), (7, "w1 W2 w3"), (8, None)]

@@ -1,6 +1,6 @@
 """Stupid-backoff scores: count tables of n-grams partitioned by hash, joined to the n-grams of blocks of documents.
 
-Documents are read in blocks (Arrow batches). A block asks for each of its distinct n-grams once, with its own count, so
+Documents are read in blocks (parts of Arrow batches). A block asks for each of its distinct n-grams once, with its own count, so
 that a phrase that a third of all documents share costs one entry a block and not one a document. The asking goes to
 partitions by hash; each sums what all blocks have and answers every block with totals in the order that it asked. Back
 at the block the totals meet the texts, and scores are summed per document. Keys travel as packed sorted differences.
@@ -22,6 +22,8 @@ ORDER = 2
 BACKOFF = 0.4
 #: N-grams of two or more words that the corpus has fewer times are not in the tables.
 LEAST = 2
+#: A batch is cut into blocks of about so many bytes of text, which bounds a worker's memory.
+BLOCK_BYTES = 8_000_000
 U = np.uint64
 
 
@@ -68,9 +70,7 @@ def _blocks(docs: DataFrame, order: int, bits: int, asking: bool) -> DataFrame:
     """asking: rows (block, place, keys, counts) to ask; else (block, place -1, ids and texts). A block's number is a hash of what it holds."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in vec.parts(batches, 1, BLOCK_BYTES):
             grams, first = _grams(batch.column(1), order)
             whole = np.concatenate([np.array([batch.num_rows], U), vec.mix(grams[0]), first.astype(U) * U(0xD6E8FEB86659FD93)])
             ids = np.frombuffer(repr((batch.column(0)[0].as_py(), batch.column(0)[-1].as_py())).encode(), np.uint8).astype(U)

@@ -64,6 +64,17 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def parts(batches, column: int, size: int):
+    """Parts of record batches with about `size` bytes of text in `column`, so that a worker's memory doesn't grow with a batch."""
+    for batch in batches:
+        ends, row = flat(batch.column(column))[1][1:], 0
+        while row < batch.num_rows:
+            done = ends[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in `data`, and the number of the first word of each text (and of the end)."""
     if not len(data):
