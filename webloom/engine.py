@@ -59,8 +59,7 @@ class Engine:
             raise EngineError("tab_read_failed", f"no such tab: {tab_id}")
         if lines:
             return search.read_lines(own, "id", "markdown", *lines)
-        rows = search.lines(own, "id", "markdown")
-        return search.read_section(rows, section) if section else search.read_section(rows, "\0")
+        return search.read_section(own, "id", "markdown", section if section else "\0")
 
     def cache_stats(self) -> DataFrame:
         return cache.stats(self.entries, self.now)

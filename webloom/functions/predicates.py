@@ -11,6 +11,7 @@ from webloom.functions.urls import host, last_extension, path
 
 #: Unicode white space, spelled out so that every regex dialect agrees on it.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases of pages that turn an automated reader away.
@@ -42,7 +43,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def trimmed_bytes(c: Column) -> Column:

@@ -72,20 +72,20 @@ def headings(rows: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.char_length(F.regexp_extract("line", r"^\s*(#*)", 1)))
 
 
-def sections(rows: DataFrame, needle: str) -> DataFrame:
-    """(tab_id, start, end): the section under the first heading whose text holds `needle`; ends before the next heading of
-    no lower rank. A tab without one isn't returned."""
-    marked = headings(rows)
-    text = ascii_lower(F.trim(F.regexp_replace("line", r"^\s*#*", "")))
-    starts = marked.where(F.col("level").between(1, 6) & text.contains(needle.lower())).groupBy("tab_id").agg(F.min(F.struct("line_number", "level")).alias("s"))
-    both = marked.join(starts, "tab_id")
-    end = F.min(F.when((F.col("line_number") > F.col("s.line_number")) & F.col("level").between(1, F.col("s.level")), F.col("line_number") - 1))
-    return both.groupBy("tab_id", F.col("s.line_number").alias("start")).agg(F.coalesce(end, F.max("line_number")).alias("end"))
-
-
-def read_section(rows: DataFrame, needle: str) -> DataFrame:
-    """(tab_id, first, last, content): the section of each tab, or all of a tab that has none."""
-    found = sections(rows, needle)
-    both = rows.join(found, "tab_id", "left").where("start is null or line_number between start and end")
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n")
-    return both.groupBy("tab_id").agg(F.min("line_number").alias("first"), F.max("line_number").alias("last"), content.alias("content"))
+def read_section(docs: DataFrame, id_col: str, text_col: str, needle: str) -> DataFrame:
+    """(tab_id, first, last, content): the section under a tab's first heading whose text holds `needle`, to before the
+    next heading of no lower rank; all of a tab that has no such heading. Narrow: each tab is cut where it is read.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), r"\n\z", "")
+    level = lambda x: F.char_length(F.regexp_extract(x, r"^\s*(#*)", 1))
+    named = lambda x: ascii_lower(F.trim(F.regexp_replace(x, r"^\s*#*", ""))).contains(needle.lower())
+    out = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("tab_id"), F.split(text, "\n").alias("parts"))
+    out = out.withColumn("levels", F.transform("parts", level)).withColumn("n", F.size("parts"))
+    hits = F.transform("parts", lambda x, i: F.get("levels", i).between(1, 6) & named(x))
+    out = out.withColumn("start", F.array_position(hits, True)).withColumn("rank", F.get("levels", (F.col("start") - 1).cast("int")))
+    ends = F.transform("levels", lambda v, i: (i >= F.col("start")) & v.between(1, F.col("rank")))
+    out = out.withColumn("next", F.when(F.col("start") > 0, F.array_position(ends, True)).otherwise(0))
+    first = F.when(F.col("start") > 0, F.col("start")).otherwise(1)
+    last = F.when(F.col("next") > 0, F.col("next") - 1).otherwise(F.col("n"))
+    content = F.array_join(F.slice("parts", first.cast("int"), (last - first + 1).cast("int")), "\n")
+    return out.select("tab_id", first.cast("long").alias("first"), last.cast("long").alias("last"), content.alias("content"))

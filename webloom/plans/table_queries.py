@@ -62,7 +62,7 @@ _SECTION = """m AS (SELECT *, length(regexp_extract(line, '^\\s*(#*)', 1)) AS le
     r AS (SELECT m.tab_id, s.start, coalesce(min(line_number) FILTER (WHERE line_number > s.start AND m.level BETWEEN 1 AND s.level) - 1, max(line_number)) AS stop FROM m JOIN s USING (tab_id) GROUP BY ALL)"""
 R.add(
     "read_section",
-    lambda s, d: S.read_section(_page_lines(s, d), "body").withColumn("content", F.md5("content")),
+    lambda s, d: S.read_section(V.page_md(s, d), "page_id", "md", "body").withColumn("content", F.md5("content")),
     V.sql("SELECT tab_id, min(line_number) AS first, max(line_number) AS last, md5(string_agg(line, chr(10) ORDER BY line_number)) AS content FROM lines LEFT JOIN r USING (tab_id) WHERE start IS NULL OR line_number BETWEEN start AND stop GROUP BY tab_id", "page_md").replace(
         "\nSELECT tab_id, min", f",\n{_PAGE_LINES},\n{_SECTION.format('body')}\nSELECT tab_id, min", 1
     ),
