@@ -28,6 +28,13 @@ def test_density_finds_the_article_without_semantic_tags():
     assert got.count("Paragraph") == 10 and got.startswith("Paragraph 0") and "cookies" not in got and "Popular" not in got and "disagree" not in got
 
 
+def test_reader_comments_under_many_names():
+    for attributes in ("id=readerComments", 'class="user-comments"', "class=usercomments", 'class="comment-list wp"', "id=disqus_thread"):
+        assert extract(SITE % f"<article>{BODY}<div {attributes}><p>Nonsense, all of it!</p></div></article>") == WANT
+    assert extract(SITE % f"<article>{BODY}</article><section><article class='comment-body'><p>Me too</p></article></section>") == WANT
+    assert extract(SITE % f"<article class='post no-comments'>{BODY}<p class=commentary>Kept.</p></article>") == WANT + "\n\nKept."
+
+
 def test_broken_markup():
     assert extract("<article><p><b>one<br><p>two</p>three < four & five</article") == "one\n\ntwo\n\nthree < four & five"
     assert extract("just text") == "just text"

@@ -26,6 +26,9 @@ FURNITURE_WORDS = frozenset(
     "disclaimer discussion disqus footer gdpr login menu modal nav navbar navigation navigation newsletter notice notices notification overlay pager pagination paywall "
     "popup promo promoted promotion recommended related replies reply respond share sharing shoutbox sidebar sidenav signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Beginnings and ends of words that were written together.
+FURNITURE_STARTS = ("sidebar", "cookie", "advert", "newsletter", "breadcrumb", "comments", "commentlist")
+FURNITURE_ENDS = ("comments", "sidebar", "cookies", "advert", "newsletter", "navbar", "footer", "breadcrumbs", "popup")
 CONTENT_WORDS = frozenset("article content entry main post story body".split())
 SECTIONS = frozenset("article main body html".split())
 #: A start tag of the key closes an open element of the value, up to the scope's edge.
@@ -39,7 +42,7 @@ HEAD_ONLY = frozenset("head title meta link base style script".split())
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 
@@ -75,9 +78,14 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     if not attributes or "=" not in attributes:
         return bool(re.search(r"\bhidden\b", attributes)) if attributes else False
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, written = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = written.lower()
+        if name in ("class", "id") and tag == "article" and re.search(r"(?:^|\s)(?:comment|reply)", value):
+            return True
         if name in ("class", "id") and tag not in SECTIONS:
-            words = set(WORDS.findall(value))
+            words = {w.lower() for w in WORDS.findall(written)}
+            if any(w.startswith(FURNITURE_STARTS) or w.endswith(FURNITURE_ENDS) for w in words):
+                return True
             if words & FURNITURE_WORDS and not (words & CONTENT_WORDS and not words & {"comment", "comments", "ad", "ads", "advert", "sidebar", "related"}):
                 return True
             if not inside_article and "header" in words and not words & CONTENT_WORDS:
