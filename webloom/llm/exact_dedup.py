@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import checkpointed, merge_copies, run_of, table
 
+#: At most so many rows to drop (100 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -44,16 +46,25 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each text, all its columns; which one: see exact_copies. Rows without an id are kept if
-    no row with an id has their text; repeated rows (same id and text) stay once.
+    no row with an id has their text; repeated rows (same id and text) stay once. Texts are not shuffled while the
+    rows to drop are few enough to broadcast.
     """
-    found = exact_copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    found = exact_copies(docs, id_col, text_col).groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    found = checkpointed(found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
-    marked = docs.withColumn("__text_sha", F.sha2(text, 256)).withColumn("__row_no", F.monotonically_increasing_id())
-    ids = docs.select(F.col(id_col).alias("__id")).groupBy("__id").count().where("count > 1").select("__id")
-    joined = marked.join(found, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__text_sha") == F.col("__sha"))).drop("__id", "__sha")
-    repeated = joined.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__text_sha"])
-    single = joined.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn("__text_sha", F.sha2(text, 256))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("__id", "__sha")
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    left = marked.join(listed(found.where("not kept")), same, "left_anti")
+    repeated = found.where("kept and rows > 1")
+    if repeated.limit(1).count():
+        again = listed(repeated)
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, "__text_sha"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
