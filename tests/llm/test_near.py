@@ -60,6 +60,7 @@ def corpus(seed, groups=25, copies=8):
 @pytest.mark.parametrize(("k", "percent", "big"), [(3, 90, 64), (5, 80, 9), (2, 50, 9)])
 def test_components_against_brute_force(spark, monkeypatch, k, percent, big):
     monkeypatch.setattr(near, "BIG", big)
+    monkeypatch.setattr(near, "PIECE", 7)
     rows = corpus(k) + [(10_000, None), (10_001, ""), (10_002, "One two"), (10_003, "one  TWO"), (10_004, "one")]
     rows += [(20_000, rows[0][1]), (20_000, "a b c d e f"), (20_001, "a b c d e f")]
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), k, percent).collect()
@@ -86,6 +87,32 @@ def test_trees_lose_no_link(sets, percent):
                 assert (i, j) in pairs
 
 
+def test_overlaps():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for cells in (30, 100, 10**6):
+        got = near.overlaps(sets, cells)
+        assert all(got[i, j] == want[i][j] for i in range(30) for j in range(30) if i != j)
+
+
+def test_a_large_group_that_mostly_just_misses(spark, monkeypatch):
+    monkeypatch.setattr(near, "PIECE", 20)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        v = list(base)
+        for j in rng.sample(range(100), rng.choice([0, 1, 2, 3])):
+            v[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(v)))
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90).collect()
+    want = brute(rows, 3, 90)
+    assert {r.doc_id: r.component_id for r in got} == want and 10 < len(set(want.values())) < 290
+
+
 def test_one_large_group_of_near_copies(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]

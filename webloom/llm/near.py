@@ -23,8 +23,12 @@ from webloom.llm.common import checkpointed, merge_copies, run_of, table
 FREQUENT = 2e-4
 MANY = 8
 LEAF = 8
-#: Blocks of more sets are first joined to their first set and their neighbours, then their components to each other.
+#: Blocks of more sets don't list their pairs; their members are compared as clusters.
 BIG = 64
+#: Texts are turned into sets in parts of about so many bytes.
+PART_BYTES = 16_000_000
+#: Members of a piece of a cluster.
+PIECE = 1024
 #: At most so many ids (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SAMPLE = 48
@@ -133,7 +137,7 @@ def _measure(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: (id, n, fingerprint) of each row; kind 1: (shingle, documents of a batch that have it) where several do."""
 
     def run(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 1, PART_BYTES):
             sets = list(vec.sets(batch.column(1), k))
             n = pa.array([len(s) for s in sets], pa.int64())
             prints = pa.array([_fingerprint(s) for s in sets], pa.int64())
@@ -152,7 +156,7 @@ def _blocks(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, tier: n
     """A row per set and block that it goes to; sets that a batch holds more than once go once, as the smallest id."""
 
     def run(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 1, PART_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             first: dict[tuple[int, int], int] = {}
@@ -188,12 +192,12 @@ def _blocks(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, tier: n
     return docs.mapInArrow(run, "token long, print long, id long, n long, low long, high long")
 
 
-_PAIRS = "kind int, a long, b long, na long, nb long, low long, high long"
+_PAIRS = "kind int, a long, b long, na long, nb long"
 
 
-def _out(kind: int, rows: list[tuple]) -> pa.RecordBatch:
-    columns = np.array(rows, "i8").reshape(len(rows), 6)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, "i4")), *(pa.array(columns[:, c].copy()) for c in range(6))], names=["kind", "a", "b", "na", "nb", "low", "high"])
+def _out(rows: list[tuple]) -> pa.RecordBatch:
+    columns = np.array(rows, "i8").reshape(len(rows), 4)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), "i4")), *(pa.array(columns[:, c].copy()) for c in range(4))], names=["kind", "a", "b", "na", "nb"])
 
 
 def _runs(batches, names):
@@ -219,7 +223,8 @@ def _bits(low: int, high: int) -> int:
 
 
 def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pairs (a, b, their sizes) that may link, once for each block; kind 1: members (token, id, size, bitmap) of big blocks."""
+    """kind 0: pairs (a, b, their sizes) that may link, once for each block; of big blocks kind 1: the members (a), once for
+    each block, and kind 2: each member (b) with the smallest id (a) of those that links may reach by size."""
     names = ["token", "print", "id", "n", "low", "high"]
 
     def run(batches):
@@ -238,65 +243,160 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
                 pair = (block[i] == block[j]) & (100 * n[i] >= percent * n[j])
                 i, j = i[pair], j[pair]
                 if len(i):
-                    zero = np.zeros(len(i), "i8")
-                    columns = [ids[i], ids[j], n[i], n[j], zero, zero]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), "i4")), *map(pa.array, columns)], names=["kind", "a", "b", "na", "nb", "low", "high"])
+                    columns = [ids[i], ids[j], n[i], n[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), "i4")), *map(pa.array, columns)], names=["kind", "a", "b", "na", "nb"])
             for x in np.flatnonzero(length > LEAF):
                 s, e = int(edges[x]), int(edges[x + 1])
                 if e - s <= BIG:
                     bits = [_bits(int(a), int(b)) for a, b in zip(low[s:e], high[s:e], strict=True)]
                     pairs = [(s + i, s + j) for i, j in tree_pairs(n[s:e].tolist(), bits, percent)]
                 else:
-                    pairs = [(s, j) for j in range(s + 1, e) if 100 * n[s] >= percent * n[j]]
-                    pairs += [(j, j + 1) for j in range(s + 1, e - 1) if 100 * n[j] >= percent * n[j + 1]]
-                    yield _out(1, [(int(token[j]), int(ids[j]), int(n[j]), 0, int(low[j]), int(high[j])) for j in range(s, e)])
+                    pairs = []
+                    # a gap in the sizes that no link can bridge parts the members
+                    part = np.concatenate([[0], np.cumsum(100 * n[s : e - 1] < percent * n[s + 1 : e])])
+                    leader = np.minimum.reduceat(ids[s:e], np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])))[part]
+                    other = leader != ids[s:e]
+                    for kind, a, b in ((1, ids[s:e], ids[s:e]), (2, leader[other], ids[s:e][other])):
+                        zero = pa.array(np.zeros(len(a), "i8"))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, "i4")), pa.array(a), pa.array(b), zero, zero], names=["kind", "a", "b", "na", "nb"])
                 if pairs:
-                    yield _out(0, [(int(ids[i]), int(ids[j]), int(n[i]), int(n[j]), 0, 0) for i, j in pairs])
+                    yield _out([(int(ids[i]), int(ids[j]), int(n[i]), int(n[j])) for i, j in pairs])
 
     dealt = blocks.repartition("token").sortWithinPartitions("token", "n", "print", "id")
     return dealt.mapInArrow(run, _PAIRS)
 
 
-def _between(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within the big blocks; members: token, id, n, low, high, comp."""
-    names = ["token", "id", "n", "low", "high", "comp"]
+def overlaps(sets: list[np.ndarray], cells: int = 4_000_000) -> np.ndarray:
+    """The overlaps of all pairs of sets, as products of their incidence matrix taken in strips of at most `cells` entries."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    values, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = uses > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, wide = np.zeros((m, m), np.float32), max(1, cells // m)
+    for start in range(0, int(shared.sum()), wide):
+        a, b = np.searchsorted(column, [start, start + wide])
+        strip = np.zeros((m, wide), np.float32)
+        strip[row[a:b], column[a:b] - start] = 1
+        out += strip @ strip.T
+    return out
 
-    def run(batches):
-        for rows in _runs(batches, names):
-            edges = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1], [True]]))
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                bits = [_bits(int(a), int(b)) for a, b in zip(rows["low"][s:e], rows["high"][s:e], strict=True)]
-                ids, n = rows["id"][s:e], rows["n"][s:e]
-                pairs = tree_pairs(n.tolist(), bits, percent, rows["comp"][s:e].tolist())
-                if pairs:
-                    yield _out(0, [(int(ids[i]), int(ids[j]), int(n[i]), int(n[j]), 0, 0) for i, j in pairs])
 
-    return members.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(run, _PAIRS).select("a", "b", "na", "nb").distinct()
+def leaf_pairs(root: Node, percent: int) -> list[tuple[range, range]]:
+    """Pairs of leaves of which some members may link, by dual traversal."""
+    stack, out = [(root, root)], []
+    while stack:
+        x, y = stack.pop()
+        if not can_link(x, y, percent):
+            continue
+        if x.children or y.children:
+            xs, ys = x.children or (x,), y.children or (y,)
+            stack += [(xs[i], ys[j]) for i in range(len(xs)) for j in range(i if x is y else 0, len(ys))]
+        else:
+            out.append((x.members, y.members))
+    return out
+
 
+def joined(ids: list[int], comp: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, one for each two components that meet (a spanning forest)."""
+    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    ids, comp, sets = ([x[i] for i in order] for x in (ids, comp, sets))
+    size = [len(s) for s in sets]
+    near = np.zeros((len(ids), len(ids)), bool)
+    for x, y in leaf_pairs(tree(size, [_bits(*signature(s)) for s in sets], comp), percent):
+        near[x.start : x.stop, y.start : y.stop] = True
+    if not near.any():
+        return []
+    n, label = np.array(size), np.array(comp)
+    both = overlaps(sets)
+    near &= (100 * both >= percent * (n[:, None] + n - both)) & (label[:, None] != label)
+    i, j = np.nonzero(near)
+    _, first = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])]), axis=1, return_index=True)
+    up, out = {c: c for c in comp}, []
+
+    def root(c):
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    for i, j in zip(i[first].tolist(), j[first].tolist(), strict=True):  # noqa: B020
+        a, b = root(comp[i]), root(comp[j])
+        if a != b:
+            up[a] = b
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
+def _compared(dealt: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components within each group; dealt: (group, id, comp). Each text is read once, and
+    each set goes once to every group that it is in."""
+    needed = checkpointed(dealt.select("id").distinct())
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link, with their overlap. Only texts of documents in a pair are read again."""
-    pairs = checkpointed(pairs)
-    needed = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    rows = needed.count()
+    def sets_of(batches):
+        for batch in vec.parts(batches, 1, PART_BYTES // 4):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in vec.sets(batch.column(1), k)], pa.binary())], names=["id", "s"])
 
-    def run(batches):
+    def grouped(batches):
+        group, rows = None, []
         for batch in batches:
-            sets = list(vec.sets(batch.column(1), k))
-            at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype("i4"))
-            values = np.concatenate(sets).view("i8") if sets else np.zeros(0, "i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(values))], names=["id", "n", "s"])
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "comp", "s")), strict=True):
+                if g != group:
+                    yield rows
+                    group, rows = g, []
+                rows.append(row)
+        yield rows
+
+    def links(batches):
+        for rows in grouped(batches):
+            if len(rows) > 1:
+                # an id with several texts is several members of one component
+                ids, comp, sets = zip(*rows, strict=True)
+                found = joined(list(ids), list(comp), [np.frombuffer(x, U) for x in sets], percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    sets = docs.join(_maybe_broadcast(needed, needed.count()), "id", "left_semi").mapInArrow(sets_of, "id long, s binary").where("octet_length(s) > 0")
+    rows = sets.join(dealt, "id").select("group", "id", "comp", "s")
+    return checkpointed(rows.repartition("group").sortWithinPartitions("group").mapInArrow(links, "a long, b long").distinct())
+
+
+def _links(candidates: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what links among the candidate pairs (a, b), and within what they connect.
+
+    Candidates connect ids into clusters. A cluster is cut into pieces of PIECE members by a hash, and the members of a piece
+    are compared. If it has several pieces, its largest component so far and its other members are cut again, and each
+    piece of the others meets every piece: the largest component is never compared to itself, and no task holds more
+    than two pieces or so.
+    """
+    clusters = components(candidates).withColumnRenamed("comp", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    clusters = checkpointed(clusters.join(sizes, "cluster"))
+    piece = F.pmod(F.xxhash64("id", F.lit(7)), F.col("pieces"))
+    links = _compared(checkpointed(clusters.select(F.xxhash64("cluster", piece).alias("group"), "id", F.col("id").alias("comp"))), docs, k, percent)
+    large = clusters.where("pieces > 1").select("cluster", "id")
+    if not large.limit(1).count():
+        return links
+    ids = checkpointed(large.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    counts = ids.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    counts = counts.where("all > most").withColumns({"mains": F.ceil(F.col("most") / PIECE).cast("int"), "others": F.ceil((F.col("all") - F.col("most")) / PIECE).cast("int")})
+    dealt = ids.join(_maybe_broadcast(counts, counts.count()), "cluster").withColumn("is_main", F.col("comp") == F.col("main"))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda x, y, kind: F.xxhash64("cluster", x, y, F.lit(kind))
+    own = F.transform(upto("others"), lambda x: key(F.least(x, F.col("piece")), F.greatest(x, F.col("piece")), "other"))
+    groups = F.when(F.col("is_main"), F.transform(upto("others"), lambda x: key(x, F.col("piece"), "main"))).otherwise(F.concat(own, F.transform(upto("mains"), lambda y: key(F.col("piece"), y, "main"))))
+    dealt = checkpointed(dealt.select(F.explode(groups).alias("group"), "id", "comp"))
+    return links.union(_compared(dealt, docs, k, percent))
 
-    texts = docs.join(_maybe_broadcast(needed, rows), "id", "left_semi")
-    sets = texts.mapInArrow(run, "id long, n long, s array<long>")
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    other = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    found = pairs.join(other, ["b", "nb"]).join(one, ["a", "na"]).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return checkpointed(found.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct())
+
+def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,8 +438,7 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     found = checkpointed(_candidates(_blocks(texts, k, percent, frequent, tier), percent))
 
     # A pair that links shares more than so many first shingles; blocks too big to list all pairs may hide as many as either set has there
-    big = checkpointed(found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("na").alias("n"), "low", "high"))
-    hidden = checkpointed(big.groupBy("id").agg(F.count(F.lit(1)).alias("hidden")))
+    hidden = checkpointed(found.where("kind = 1").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("hidden")))
     few = hidden.count()
     pairs = found.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     for c in ("a", "b"):
@@ -347,19 +446,15 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
     least = 1 + overlap - F.greatest(*(F.expr(f"({percent} * {n} + 99) div 100") for n in ("na", "nb")))
     most = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    links = _verified(pairs.where(most >= least).select("a", "b", "na", "nb"), texts, k, percent)
+    # Members of a big block stay connected through the smallest of them
+    stars = found.where("kind = 2").select("a", "b").distinct()
+    links = _links(checkpointed(pairs.where(most >= least).select("a", "b").union(stars)), texts, k, percent)
 
     merged = merge_copies(rows.where("id is not null and n > 0"), ["print", "n"], "id").select("id", "n", "print", "run", "keep")
     merged = checkpointed(merged)
     several = merged.groupBy("id").agg(F.min("keep").alias("x"), F.max("keep").alias("y")).where("x <> y")
     shared_ids = several.select(F.col("x").alias("a"), F.col("id").alias("b")).union(several.select("y", "id"))
     links = checkpointed(links.union(shared_ids).where("a <> b"))
-    if few:
-        comp = components(links)
-        members = big.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        more = _between(checkpointed(members.join(mixed, "token", "left_semi")), percent)
-        links = checkpointed(links.union(_verified(more, texts, k, percent)))
     comp = components(links)
     ids = merged.select("print", "n", "run", "keep").distinct().join(comp.withColumnRenamed("id", "keep"), "keep", "left")
     ids = ids.select("print", "n", "run", F.coalesce("comp", "keep").alias("component"))
