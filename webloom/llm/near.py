@@ -20,7 +20,7 @@ from webloom.llm import vec
 from webloom.llm.common import checkpointed, merge_copies, run_of, table
 
 #: A shingle in at least this share of all documents (and in MANY at least) is frequent; at most mean set size / FREQUENT of them are broadcast.
-FREQUENT = 2e-4
+FREQUENT = 1e-4
 MANY = 8
 LEAF = 8
 #: Blocks of more sets don't list their pairs; their members are compared as clusters.
@@ -145,7 +145,7 @@ def _measure(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), batch.column(0), n, prints], names=["kind", "id", "n", "value"])
             if rows:
                 seen, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= 3
+                often = count >= 2
                 seen, count = seen[often], count[often]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), "i4")), pa.nulls(len(seen), pa.int64()), pa.array(count), pa.array(seen.view("i8"))], names=["kind", "id", "n", "value"])
 
