@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from webloom.llm import decontaminate
@@ -80,3 +81,21 @@ def test_planted_items_of_the_table(spark):
     docs, items = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/benchmark.parquet")
     want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()])
     assert {(r.doc_id, r.item_id) for r in find_contamination(docs, items).collect()} == want and want
+
+
+def test_short_items_at_every_offset(spark):
+    items = [(0, "What is the capital of Peru? Lima."), (1, "What is the capital of Chile? Santiago.")]
+    items += [(i, f"What is the capital of land{i}? Town{i}.") for i in range(2, 300)]
+    docs = [(1000 * i + n, f"{'filler ' * n}{text} {'rest ' * (n % 50)}") for i, (_, text) in enumerate(items[:2]) for n in range(100)]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and {(d, d // 1000) for d, _ in docs} <= want
+
+
+def test_a_fifth_of_five_shingles_may_be_missing():
+    assert [decontaminate._lost(n) for n in range(12)] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 2, 2]
+    item = (0, "Q0 q1 q2 q3 q4. R0 r1 r2 r3")
+    index = decontaminate.Index.build([item, *((i, f"Other{i} words{i}. Of{i} it{i}") for i in range(1, 40))])
+    for n in range(80):
+        text = f"{'filler ' * n}x {item[1].split(' ', 1)[1]}"
+        assert [m[1] for m in index.matches(pa.array([text]))] == [i for _, i in brute([(0, text)], [item])] == [0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,11 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+def _lost(n: int) -> int:
+    """How many of n shingles a copy may lack; exact, since 0.2 times 5 is below 1 in floats."""
+    return math.floor((1 - Fraction(str(OVERLAP))) * n)
+
+
 @dataclass
 class Item:
     id: object
@@ -100,7 +106,7 @@ class Index:
             idf = {t: math.log(1 + (len(keep) - df[t] + 0.5) / (df[t] + 0.5)) for t in tf}
             weight = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(word) / mean)) for t, c in tf.items()}
             # at most `lost` shingles of a copy are missing, so at most lost + k - 1 words; were they the heaviest, this is left
-            lost = math.floor((1 - OVERLAP) * len(items[-1].question)) + math.floor((1 - OVERLAP) * len(items[-1].answer))
+            lost = _lost(len(items[-1].question)) + _lost(len(items[-1].answer))
             spare = lost + k - 1 if lost else 0
             floor = sum(sorted(weight.values())[: max(1, len(weight) - spare)])
             vectors.append((weight, max(floor, 1e-9)))
@@ -147,7 +153,7 @@ class Index:
 
         Texts are cut into cells of one window; a passage is two cells, so that whatever is no longer than a window is
         whole in one. Only essential postings are read, for all cells at once: an item is in reach of a passage if they
-        score, repeats counted, what they must.
+        score, repeats counted, what they must. A passage may begin one cell before them, with the item's other words.
         """
         length = np.diff(first)
         cells = -(-length // self.window)
@@ -162,6 +168,10 @@ class Index:
         n = len(self.items)
         key, inverse = np.unique(np.repeat(cell, count) * n + self.essential_item[flat], return_inverse=True)
         score = np.bincount(inverse, self.essential[flat], len(key))
+        cell = key // n
+        before = key[cell > cell_at[np.searchsorted(cell_at, cell, "right") - 1]] - n
+        own, key = key, np.union1d(key, before)
+        score = np.bincount(np.searchsorted(key, own), score, len(key))
         cell, item = key // n, key % n
         following = np.searchsorted(key, key + n)
         following[following == len(key)] = 0
