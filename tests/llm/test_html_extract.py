@@ -28,6 +28,16 @@ def test_density_finds_the_article_without_semantic_tags():
     assert got.count("Paragraph") == 10 and got.startswith("Paragraph 0") and "cookies" not in got and "Popular" not in got and "disagree" not in got
 
 
+def test_density_decides_beside_an_article_tag():
+    long = "".join(f"<p>Paragraph {i} has a good number of words, as an article has, and goes on for a while.</p>" for i in range(9))
+    teaser = "<article><a href=/x>More</a> <a href=/y>stories</a> to read</article>"
+    got = extract(SITE % f"<div>{teaser}</div><div>{long}</div>")
+    assert got.count("Paragraph") == 9 and "cookies" not in got
+    got = extract(SITE % f"<article><p>A short lead of some words.</p></article><div>{long}</div>")
+    assert got.count("Paragraph") == 9 and "disagree" not in got
+    assert extract(SITE % f"<article>{BODY}</article><ul><li><a href=/a>Other</a><li><a href=/b>pages</a><li><a href=/c>here</a></ul>") == WANT
+
+
 def test_reader_comments_under_many_names():
     for attributes in ("id=readerComments", 'class="user-comments"', "class=usercomments", 'class="comment-list wp"', "id=disqus_thread"):
         assert extract(SITE % f"<article>{BODY}<div {attributes}><p>Nonsense, all of it!</p></div></article>") == WANT

@@ -196,7 +196,7 @@ def _walk(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Counts characters, tags and those of links below each node, then its composite density and its children's sum."""
+    """Counts characters, tags and those of links below each node, then its composite density and the sum of its blocks'."""
     nodes = _walk(root)
     for node in reversed(nodes):
         for c in node.children:
@@ -216,18 +216,13 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(1, c - node.links) * lc + link_rate * c + math.e)
             node.density = c / t * (math.log(max(c / lc * t / lt, 1.0 + 1e-9)) / base)
     for node in nodes:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.skip)
+        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.skip and c.tag not in INLINE)
     return nodes
 
 
 def main_node(root: Node) -> Node | None:
-    """The subtree with the largest sum of child densities, widened while siblings are as dense as the path to the body."""
-    nodes = [n for n in measure(root) if not n.skip and n.chars]
-    articles = [n for n in nodes if n.tag == "article"] or [n for n in nodes if n.tag == "main"]
-    outer = [a for a in articles if not any(up.tag == a.tag for up in _above(a))]
-    if len(outer) == 1 and outer[0].chars > outer[0].links:
-        return outer[0]
-    nodes = [n for n in nodes if n.tag not in INLINE and n.tag != "html"]
+    """The subtree with the largest sum of its blocks' densities, widened while siblings are as dense as the path to the body."""
+    nodes = [n for n in measure(root) if not n.skip and n.chars and n.tag not in INLINE and n.tag != "html"]
     if not nodes:
         return root if root.chars else None
     best = max(nodes, key=lambda n: (n.total, n.density))
