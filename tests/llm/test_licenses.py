@@ -44,3 +44,20 @@ def test_odd_rows(spark, odd, none):
     rows = [(None, "Released under the MIT License."), (1, "Released under the MIT License.\nx\nReleased under the MIT License."), (1, None)]
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((repr(r.doc_id), r.paragraph, r.family) for r in got) == [("1", 0, "mit"), ("1", 2, "mit"), ("None", 0, "mit")]
+
+
+def test_lines_without_usual_words_are_scored(spark):
+    line = "Available under Apache-2.0 or MIT."
+    (got,) = scan_licenses(spark.createDataFrame([(1, f"Intro.\n{line}\nEnd")], "doc_id long, text string")).collect()
+    assert (got.paragraph, got.family) == (1, brute(line)[0]) == (1, "mit")
+
+
+def test_every_line_of_the_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        for n, line in enumerate((r.text or "").split("\n")):
+            family, p = brute(line)
+            if family != "unknown" and p >= 0.5:
+                want[r.doc_id, n] = family
+    assert {(r.doc_id, r.paragraph): r.family for r in scan_licenses(docs).collect()} == want

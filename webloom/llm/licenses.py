@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -104,7 +105,7 @@ UNKNOWN = [
     "Conditions were met with prior notice and written consent.",
     "The team worked on version 3 of the plan and on version 2.0 of the map.",
 ]
-#: A paragraph without any of these is unknown without being scored.
+#: Used by the oracle only: the query scores every paragraph that could reach a family, see _reach.
 CUES = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|rights reserved|proprietary|\bgnu\b|\bcc[ -]by\b|\bcc0\b|unencumbered|mozilla public|general public"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CLASSES = ["unknown", *TEMPLATES]
@@ -186,6 +187,54 @@ def _template_grams() -> list[tuple[str, int, str, int]]:
     return out
 
 
+#: n-grams are looked up by so many values of their checksum.
+BUCKETS = 1 << 16
+
+
+@functools.cache
+def _bounds() -> tuple[list[int], list[list[float]], list[float]]:
+    """Slots by bucket (0: none), by family what the n-grams of a slot can raise it above unknown, and the rise that it needs.
+
+    A named family is likelier than unknown, so its n-grams' weights less those of unknown must make up for the biases.
+    A slot counts all model n-grams of its bucket that raise the family and none that lower it, so a sum over the distinct
+    slots of a paragraph is never below the true rise.
+    """
+    model, slot, rise = train(), [0] * BUCKETS, [[0.0] * len(TEMPLATES)]
+    for gram, w in sorted(model.items()):
+        gains = [max(0.0, v - w[0]) for v in w[1:]]
+        if gram and any(gains):
+            a, *b = [zlib.crc32(x.encode()) for x in gram.split(" ")]
+            at = (a * 31 + b[0] if b else a) % BUCKETS
+            if not slot[at]:
+                slot[at] = len(rise)
+                rise.append([0.0] * len(TEMPLATES))
+            rise[slot[at]] = [x + y for x, y in zip(rise[slot[at]], gains, strict=True)]
+    return slot, [list(r) for r in zip(*rise, strict=True)], [model[""][0] - v for v in model[""][1:]]
+
+
+def _reach(line: Column) -> Column:
+    """Whether a paragraph could be named: true for every one that is, whatever else it lets through; no text is built."""
+    slot, rises, needs = _bounds()
+    constant = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")  # noqa: E731  # folded once
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # a lambda's argument is evaluated once
+    slots = constant(slot, "int")
+    at = lambda h: F.get(slots, (h % BUCKETS).cast("int"))
+
+    def total(hits: Column, rise: list[float]) -> Column:
+        gains = constant(rise, "double")
+        return F.aggregate(hits, F.lit(0.0), lambda x, i: x + F.get(gains, i))
+
+    def named(hits: Column) -> Column:
+        return functools.reduce(lambda a, b: a | b, [total(hits, r) >= n - 1e-3 for r, n in zip(rises, needs, strict=True)])
+
+    def hits(h: Column) -> Column:
+        pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.coalesce(at(a * 31 + b), F.lit(0)))
+        return F.array_distinct(F.filter(F.concat(F.transform(h, at), pairs), lambda i: i > 0))
+
+    sums_of = lambda words: once(F.transform(words, lambda w: F.crc32(w.cast("binary"))), lambda h: once(hits(h), named))
+    return once(_words(line), sums_of)
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({WORD})"), F.lit(1))
 
@@ -203,7 +252,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     model = train()
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "line"))
-    lines = checkpointed(lines.where(F.col("line").rlike(CUES)).withColumn("uid", F.monotonically_increasing_id()))
+    lines = checkpointed(lines.where(_reach(F.col("line"))).withColumn("uid", F.monotonically_increasing_id()))
     words = lines.select("uid", _words(F.col("line")).alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     pairs = F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))
