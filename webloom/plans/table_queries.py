@@ -366,7 +366,7 @@ R.add(
     lambda s, d: V.read(s, d, "pages").select("page_id", A.consent_detected(F.concat("html", F.when(F.col("page_id") % 4 == 0, F.lit('<button id="cookiebot-accept">x</button>')).when(F.col("page_id") % 4 == 1, F.lit("<button> Accept all cookies</button>")).otherwise(F.lit("<p>accept</p>")))).alias("consent")),
     "SELECT page_id, page_id % 4 < 2 AS consent FROM pages",
 )
-R.add("pdf_tier", lambda s, d: T.pdf(V.captures(s, d).withColumn("text", F.col("body")).withColumn("body", F.encode(F.concat(F.lit("%PDF-"), "body"), "UTF-8")), F.col("text")).select("url", "source", F.md5("markdown").alias("md5")), None)
+R.add("pdf_tier", lambda s, d: T.pdf(V.captures(s, d).join(V.pages_text(s, d).select("page_id", "v"), "page_id").withColumn("text", F.when(F.col("body") == "Just a moment... Checking your browser", F.col("body")).otherwise(F.col("v"))).withColumn("body", F.encode(F.concat(F.lit("%PDF-"), "text"), "UTF-8")), F.col("text")).select("url", "source", F.md5("markdown").alias("md5")), None)
 
 # Arrow functions: rows only
 R.add("html_to_markdown", lambda s, d: V.read(s, d, "pages").select("page_id", H.html_to_markdown(F.col("html")).alias("markdown")))
@@ -374,8 +374,8 @@ R.add("raw_fallback", lambda s, d: H.with_raw_fallback(V.read(s, d, "pages")).se
 R.add("parse_html", lambda s, d: T.parse_html(V.captures(s, d).drop("url", "body").join(V.read(s, d, "pages"), "page_id")))
 R.add("truncate_utf8", lambda s, d: V.page_md(s, d).select("page_id", Z.truncated(F.col("md"), 300).alias("md")))
 R.add("finalize", lambda s, d: _host_md(s, d).select("host", Z.finalize(F.col("md"), True, 2000).alias("md")))
-R.add("hn_thread", lambda s, d: _docs(s, d).select("doc_id", A.hn_thread(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array(F.struct(F.col("lang").alias("author"), F.col("short").alias("text"))).alias("children")))).alias("md")))
-R.add("reddit_thread", lambda s, d: _docs(s, d).select("doc_id", A.reddit_thread(F.concat(F.lit('[{"data":{"children":[{"data":{"title":"t"}}]}},{"data":{"children":[{"kind":"t1","data":'), F.to_json(F.struct(F.col("short").alias("body"))), F.lit("}]}}]"))).alias("md")))
+R.add("hn_thread", lambda s, d: V.read(s, d, "documents").select("doc_id", A.hn_thread(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array(F.struct(F.col("lang").alias("author"), F.col("text").alias("text"))).alias("children")))).alias("md")))
+R.add("reddit_thread", lambda s, d: V.read(s, d, "documents").select("doc_id", A.reddit_thread(F.concat(F.lit('[{"data":{"children":[{"data":{"title":"t"}}]}},{"data":{"children":[{"kind":"t1","data":'), F.to_json(F.struct(F.col("text").alias("body"))), F.lit("}]}}]"))).alias("md")))
 R.add(
     "decode_charset",
     lambda s, d: Z.decoded(V.read(s, d, "pages").select("page_id", F.concat(F.lit("text/html; charset="), F.when(F.col("page_id") % 3 == 0, "ISO-8859-1").otherwise("utf-8")).alias("content_type"), F.when(F.col("page_id") % 3 == 0, F.encode(F.translate("url", "é", "e"), "ISO-8859-1")).otherwise(F.encode("html", "UTF-8")).alias("body"))).select("page_id", F.md5("text").alias("md5"), "charset"),
