@@ -60,3 +60,12 @@ def test_odd_rows(spark, odd, none):
 def test_a_model_without_terms():
     model = build(np.array([1, 2]), [1, 0], np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
     assert 0 <= model.score(np.zeros(0, "i8"), np.zeros(0))[0] <= 1
+
+
+def test_calibration_reads_all_examples():
+    n = 4400
+    labels = [0] * 4100 + [1] * (n - 4100)
+    term = np.array([0] * 4100 + [1] * (n - 4100))
+    model = build(np.arange(n), labels, np.arange(n), term, np.ones(n), np.arange(2, dtype=np.uint64), np.ones(2))
+    assert model.calibration.tolist() != [0.0, 1.0]
+    assert model.score(np.array([1]), np.ones(1))[0] > 0.5 > model.score(np.array([0]), np.ones(1))[0]

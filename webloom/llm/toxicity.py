@@ -171,7 +171,7 @@ def build(ids, labels, doc, term, count, vocabulary, idf) -> Model:
     weight = np.concatenate([model.unit(term[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] or [np.zeros(0)])
     model.index = Index.build(len(vocabulary), ids, labels, doc, term, weight)
     votes, truth = [], []
-    for i in np.flatnonzero(~empty)[:4000]:
+    for i in np.flatnonzero(~empty):
         examples, similarity = model.index.nearest(term[at[i] : at[i + 1]], weight[at[i] : at[i + 1]], NEIGHBOURS + 1)
         other = examples != i
         votes.append(model.vote(examples[other], similarity[other]))
