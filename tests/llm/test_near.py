@@ -57,9 +57,11 @@ def corpus(seed, groups=25, copies=8):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent", "big"), [(3, 90, 64), (5, 80, 9), (2, 50, 9)])
-def test_components_against_brute_force(spark, monkeypatch, k, percent, big):
-    monkeypatch.setattr(near, "BIG", big)
+@pytest.mark.parametrize(("k", "percent", "listed", "hot", "forest"), [(3, 90, 64, 4096, 10**6), (5, 80, 9, 12, 20), (2, 50, 9, 20, 10**6), (2, 50, 9, 10, 30)])
+def test_components_against_brute_force(spark, monkeypatch, k, percent, listed, hot, forest):
+    monkeypatch.setattr(near, "LISTED", listed)
+    monkeypatch.setattr(near, "HOT", hot)
+    monkeypatch.setattr(near, "FOREST_ROWS", forest)
     monkeypatch.setattr(near, "PIECE", 7)
     rows = corpus(k) + [(10_000, None), (10_001, ""), (10_002, "One two"), (10_003, "one  TWO"), (10_004, "one")]
     rows += [(20_000, rows[0][1]), (20_000, "a b c d e f"), (20_001, "a b c d e f")]
@@ -80,13 +82,74 @@ def test_trees_lose_no_link(sets, percent):
     sets = sorted(sets, key=len)
     hashed = [np.sort(vec.mix(np.array(sorted(s), np.uint64))) for s in sets]
     bits = [low | high << 64 for low, high in map(near.signature, hashed)]
-    pairs = set(tree_pairs([len(s) for s in sets], bits, percent))
+    size = [len(s) for s in sets]
+    pairs, forest = set(tree_pairs(size, bits, percent)), near.tree_forest(size, bits, percent)
+    one, other = near.Sets(len(sets)), near.Sets(len(sets))
+    for i, j in forest:
+        assert one.join(i, j) and (i, j) in pairs
+    for i, j in pairs:
+        other.join(i, j)
     for j in range(len(sets)):
+        assert one.root(j) == other.root(j)
         for i in range(j):
             if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 assert (i, j) in pairs
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=40), st.sampled_from([50, 80, 90]), st.integers(1, 50))
+def test_pieces_against_brute_force(sets, percent, names):
+    import numpy as np
+
+    from webloom.llm import vec
+
+    hashed = [np.sort(vec.mix(np.array(sorted(s), np.uint64))) for s in sets]
+    comp = [i % names for i in range(len(sets))]
+    up = near.Sets(len(sets) + 1)
+    for i in range(len(sets)):
+        up.join(i, comp[i])
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up.join(i, j)
+    want = [up.root(i) for i in range(len(sets))]
+    assert near.joined(list(range(len(sets))), comp, hashed, percent) == want
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=60))
+def test_roots(edges):
+    import numpy as np
+
+    a, b = (np.array([e[c] for e in edges], "i8") for c in (0, 1))
+    up = near.Sets(41)
+    for x, y in edges:
+        up.join(x + 20, y + 20)
+    node, root = near.roots(a, b)
+    assert node.tolist() == sorted({x for e in edges for x in e}) and root.tolist() == [up.root(x + 20) - 20 for x in node]
+
+
+@settings(deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), max_size=12), max_size=6), st.integers(1, 6))
+def test_runs(batches, hot):
+    """Every row of a block comes once; blocks are whole unless they have more than HOT rows."""
+    import pyarrow as pa
+
+    flat = sorted(x for b in batches for x in b)
+    cut, parts = 0, []
+    for b in batches:
+        own, cut = flat[cut : cut + len(b)], cut + len(b)
+        parts.append(pa.RecordBatch.from_arrays([pa.array(own, pa.int64())] * 6, names=near._BLOCKS))
+    before, near.HOT = near.HOT, hot
+    try:
+        got = [(w, r["token"].tolist()) for w, r in near._runs(iter(parts))]
+    finally:
+        near.HOT = before
+    assert [x for _, r in got for x in r] == flat
+    for t in set(flat):
+        own = [(w, r) for w, r in got if t in r]
+        assert len(own) == 1 or all(not w for w, _ in own) and flat.count(t) > hot
+
+
 def test_overlaps():
     import numpy as np
 
@@ -126,7 +189,9 @@ def test_one_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 3, 90)
 
 
-def test_chain(spark):
+@pytest.mark.parametrize("forest", [10**6, 40])
+def test_chain(spark, monkeypatch, forest):
+    monkeypatch.setattr(near, "FOREST_ROWS", forest)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     assert {r.id: r.comp for r in components(edges).collect()} == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
