@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
@@ -23,33 +24,49 @@ PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞€]*")
 
 
 @functools.cache
-def _encoders(vocabulary: str, ranks: str | None):
+def _library(vocabulary: str, special_as_text: bool):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
-    whole.encode_special_tokens = True  # the strings of special tokens are ordinary text
-    if ranks is None:
-        return whole, None
+    found = Tokenizer.from_file(vocabulary)
+    found.encode_special_tokens = special_as_text
+    return found
+
+
+@functools.cache
+def _ranks(path: str):
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    with open(ranks, "rb") as lines:
+    with open(path, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return whole, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
 
+def special_tokens(vocabulary: str) -> tuple[str, ...]:
+    """The strings that the library takes for special tokens wherever a text holds them."""
+    with open(vocabulary, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file).get("added_tokens", []))
 
-def encode(text: str, vocabulary: str, ranks: str | None = None) -> np.ndarray:
-    """The ids of the tokenizers library for `text`, without special tokens, as unsigned 32-bit integers."""
-    whole, fast = _encoders(vocabulary, ranks)
-    if fast is not None and PLAIN.fullmatch(text):
-        return np.asarray(fast.encode_ordinary(text), dtype="<u4")
-    return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+def encode(text: str, vocabulary: str, ranks: str | None = None, special: tuple[str, ...] | None = None, special_as_text: bool = False) -> np.ndarray:
+    """The ids of the tokenizers library for `text` with add_special_tokens=False, as unsigned 32-bit integers.
+
+    special: what special_tokens() says, for the caller to read once. A string of a special token in a text has that token's
+    id, unless special_as_text. A worker loads the encoders that its texts need, one of them as a rule.
+    """
+    if ranks is not None and PLAIN.fullmatch(text):
+        if special is None:
+            special = special_tokens(vocabulary)
+        if special_as_text or not any(s in text for s in special):
+            return np.asarray(_ranks(ranks).encode_ordinary(text), dtype="<u4")
+    return np.asarray(_library(vocabulary, special_as_text).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-def pieces(docs: DataFrame, vocabulary: str, ranks: str | None, length: int, end_id: int, ids: bool, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, ranks: str | None, length: int, end_id: int, ids: bool, id_col: str, text_col: str, special_as_text: bool = False) -> DataFrame:
     """One row per piece of a document: id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+    special = special_tokens(vocabulary)
     fields = [("id", docs.schema[id_col].dataType.simpleString()), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
     fields += [("ids", "array<long>")] * ids
     arrow = {"id": None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int64())}
@@ -59,7 +76,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None, length: int, end
             out = {name: [] for name, _ in fields}
             keys = batch.column(0)
             for row, text in enumerate(batch.column(1)):
-                found = np.append(encode(text.as_py() or "", vocabulary, ranks), np.uint32(end_id))
+                found = np.append(encode(text.as_py() or "", vocabulary, ranks, special, special_as_text), np.uint32(end_id))
                 start, piece = 0, 0
                 while start < len(found):
                     take = (len(found) - start) % length or length
@@ -88,6 +105,7 @@ def pack_documents(
     ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Packs all documents into sequences of at most `length` ids by best-fit decreasing.
 
@@ -95,9 +113,10 @@ def pack_documents(
     which the first may be shorter. Returns per piece: id, piece, start, length, ids_crc32, sequence_id, offset and,
     with `ids`, the ids. Pieces of one length are interchangeable: the plan is made from the histogram of lengths (at
     most `length` rows), and a piece finds its place from its rank within its length. Null ids stay null; repeated
-    rows are packed each; an empty table gives an empty result; other columns are not read.
+    rows are packed each; an empty table gives an empty result; other columns are not read. The string of a special token
+    in a text has that token's id, as the library gives it; with special_as_text it is ordinary text.
     """
-    cut = checkpointed(pieces(docs, vocabulary, ranks, length, end_id, ids, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
+    cut = checkpointed(pieces(docs, vocabulary, ranks, length, end_id, ids, id_col, text_col, special_as_text).withColumn("uid", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = sorted(pack(counts, length), key=lambda r: (r.size, r.first))
     size, first, start, per_bin, offset = (np.array([getattr(r, k) for r in runs], dtype="i8") for k in ("size", "first", "bin", "per_bin", "offset"))
