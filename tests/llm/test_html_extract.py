@@ -1,10 +1,12 @@
 import html
+import math
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from webloom.llm.html_extract import extract, extract_pages, parse
+from webloom.llm.html_extract import INLINE, extract, extract_pages, measure, parse
 
 SITE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <header class="site-header"><a href=/>Home</a> Welcome banner</header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
@@ -45,6 +47,67 @@ def test_reader_comments_under_many_names():
     assert extract(SITE % f"<article class='post no-comments'>{BODY}<p class=commentary>Kept.</p></article>") == WANT + "\n\nKept."
 
 
+def test_parts_of_an_article_named_like_furniture():
+    inner = "<h2 id='related-work'>Related work</h2><p>%s</p><section id='discussion'><h2 class='share-prices'>Share prices</h2><p class='social-history'>Social history.</p></section>" % ("Some words here. " * 9).strip()
+    assert extract(SITE % f"<article>{inner}</article>") == "\n\n".join(["Related work", ("Some words here. " * 9).strip(), "Share prices", "Social history."])
+    links = "<ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul>"
+    assert extract(SITE % f"<article>{BODY}{links}</article>") == WANT + "\n\nOne\n\nTwo\n\nThree"
+    assert extract(SITE % f"<article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == WANT + "\n\nSo x=2 holds."
+    assert extract(SITE % f"<article>{BODY}<p class='ad'>Buy this.</p><ol id='thread'><li>me too</ol></article>").startswith(WANT)
+    assert "Buy" not in extract(SITE % f"<article>{BODY}<p class='ad'>Buy this.</p></article>")
+
+
+def test_headline_beside_the_chosen_node():
+    long = "".join(f"<p>Paragraph {i} has a good number of words, as an article has, and goes on for a while.</p>" for i in range(9))
+    got = extract(SITE % f"<div><h1>The headline</h1><div class=meta><a href=/x>x</a></div><div>{long}</div></div>")
+    assert got.startswith("The headline\n\n") and got.count("Paragraph") == 9 and got.count("headline") == 1
+
+
+def test_ends_of_comments():
+    assert extract(SITE % f"<article><!-->{BODY}<!-- a --!><!---></article>") == WANT
+
+
+def test_stray_end_tags_take_linear_time():
+    began = time.perf_counter()
+    extract("<div>" * 20_000 + "</section>" * 20_000 + "x")
+    assert time.perf_counter() - began < 3
+
+
+def naive(node):
+    """Composite density of a node and the sum of its blocks', each counted anew from its subtree."""
+    def count(n, in_link=False):
+        chars = links = tags = link_tags = 0
+        for c in n.children:
+            if isinstance(c, str):
+                chars += len(re.sub(r"\s+", "", c))
+            elif not c.skip:
+                a = count(c)
+                chars, links, tags, link_tags = chars + a[0], links + a[1], tags + a[2] + 1, link_tags + a[3] + (c.tag == "a")
+        return chars, chars if n.tag == "a" else links, tags, link_tags
+
+    root = node
+    while root.parent:
+        root = root.parent
+    rate = count(root)[1] / max(1, count(root)[0])
+
+    def density(n):
+        c, lc, t, lt = count(n)
+        if n.skip or not c:
+            return 0.0
+        t1, lc1, lt1 = max(1, t), max(1, lc), max(1, lt)
+        return c / t1 * math.log(max(c / lc1 * t1 / lt1, 1 + 1e-9)) / math.log(c / max(1, c - lc) * lc1 + rate * c + math.e)
+
+    return density(node), sum(density(c) for c in node.children if not isinstance(c, str) and not c.skip and c.tag not in INLINE)
+
+
+def test_densities_against_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()][:12] + [SITE % f"<div>{BODY}<div>{BODY}</div></div>"]
+    for page in pages:
+        for node in measure(parse(page)):
+            density, total = naive(node)
+            assert math.isclose(node.density, density, abs_tol=1e-9) and math.isclose(node.total, total, abs_tol=1e-9)
+
+
 def test_broken_markup():
     assert extract("<article><p><b>one<br><p>two</p>three < four & five</article") == "one\n\ntwo\n\nthree < four & five"
     assert extract("just text") == "just text"

@@ -14,18 +14,23 @@ from webloom.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover semantics".split())
 #: Elements whose text is never part of an article.
 FURNITURE = frozenset(
-    "script style noscript template iframe svg math object embed canvas video audio head title nav aside footer form button select option textarea input menu dialog datalist fieldset noembed noframes xmp".split()
+    "script style noscript template iframe svg annotation object embed canvas video audio head title nav aside footer form button select option textarea input menu dialog datalist fieldset noembed noframes xmp".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
 #: Words of class and id attributes that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "disclaimer discussion disqus footer gdpr login menu modal nav navbar navigation navigation newsletter notice notices notification overlay pager pagination paywall "
-    "popup promo promoted promotion recommended related replies reply respond share sharing shoutbox sidebar sidenav signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
+    "popup promo promoted promotion recommended related replies reply respond share sharing shoutbox sidebar sidenav signup skyscraper social sponsor sponsored subscribe subscription talkback thread toolbar widget".split()
 )
+#: Of these, words that a part of an article may be named by as well: inside an article they count for no section or running text.
+TOPICS = frozenset("banner disclaimer discussion login menu notice notices notification overlay promotion recommended related reply respond share sharing social subscription thread toolbar widget".split())
+#: Elements of running text: named by a furniture word only if by nothing else. Headings never are.
+TEXT = frozenset("p blockquote pre figure figcaption dl dt dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Beginnings and ends of words that were written together.
 FURNITURE_STARTS = ("sidebar", "cookie", "advert", "newsletter", "breadcrumb", "comments", "commentlist")
 FURNITURE_ENDS = ("comments", "sidebar", "cookies", "advert", "newsletter", "navbar", "footer", "breadcrumbs", "popup")
@@ -44,6 +49,8 @@ QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+#: A comment may also end at once ("<!-->") or with "--!>".
+COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 
 
 class Node:
@@ -82,10 +89,17 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
         value = written.lower()
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|\s)(?:comment|reply)", value):
             return True
-        if name in ("class", "id") and tag not in SECTIONS:
+        if name in ("class", "id") and tag not in SECTIONS and tag not in HEADINGS:
             words = {w.lower() for w in WORDS.findall(written)}
+            strong = words & FURNITURE_WORDS - TOPICS
+            if tag in TEXT:
+                if words and words <= FURNITURE_WORDS and (strong or not inside_article):
+                    return True
+                continue
             if any(w.startswith(FURNITURE_STARTS) or w.endswith(FURNITURE_ENDS) for w in words):
                 return True
+            if tag == "section" and inside_article and not strong:
+                continue
             if words & FURNITURE_WORDS and not (words & CONTENT_WORDS and not words & {"comment", "comments", "ad", "ads", "advert", "sidebar", "related"}):
                 return True
             if not inside_article and "header" in words and not words & CONTENT_WORDS:
@@ -103,6 +117,18 @@ def parse(page: str) -> Node:
     """A lenient DOM: unclosed and stray tags are repaired, raw-text elements and comments are skipped as wholes."""
     root = Node("html", None, False)
     node, at, missing, in_article = root, 0, set(), 0
+    opened: dict[str, int] = {}  # open elements by tag: a stray end tag needs no walk
+
+    def close(last: Node) -> None:
+        """Ends the open elements up to `last`."""
+        nonlocal node, in_article
+        while True:
+            done, node = node, node.parent
+            opened[done.tag] -= 1
+            in_article -= done.tag in ("article", "main")
+            if done is last:
+                return
+
     while at < len(page):
         lt = page.find("<", at)
         if lt < 0:
@@ -112,8 +138,8 @@ def parse(page: str) -> Node:
         if lt == len(page):
             break
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = len(page) if end < 0 else end + 3
+            end = COMMENT_END.search(page, lt + 4)
+            at = len(page) if end is None else end.end()
             continue
         if page.startswith("<![CDATA[", lt):
             end = page.find("]]>", lt)
@@ -130,41 +156,41 @@ def parse(page: str) -> Node:
             continue
         tag, at = m[1].lower(), _tag_end(page, m.end(), missing)
         if page[lt + 1] == "/":
-            up = node
+            up = node if opened.get(tag) else root
             while up is not root and up.tag != tag:
                 if tag in INLINE and up.tag not in INLINE:
                     up = root  # an inline end tag doesn't close a block
                     break
                 up = up.parent
             if up is not root:
-                while node is not up:
-                    in_article -= node.tag in ("article", "main")
-                    node = node.parent
-                in_article -= up.tag in ("article", "main")
-                node = up.parent
+                close(up)
             elif tag == "p":
                 node.children.append(Node("p", node, False))
             continue
         if tag in ("html", "body"):
             if tag == "body" and node.tag in ("head", "html"):
                 while node is not root and node.tag != "html":
-                    node = node.parent
+                    close(node)
                 node.children.append(body := Node("body", node, False))
                 node = body
+                opened["body"] = opened.get("body", 0) + 1
             continue
         if tag not in INLINE:
             if node.tag == "head" and tag not in HEAD_ONLY:
-                node = node.parent
-            ends = CLOSES.get(tag)
-            up = node
-            while up is not root:
-                if up.tag == "p" or ends and up.tag in ends:
-                    node = up.parent
-                    if up.tag == "p":
+                close(node)
+            ends, last = CLOSES.get(tag), None
+            if opened.get("p") or ends:
+                up = node
+                while up is not root:
+                    if up.tag == "p" or ends and up.tag in ends:
+                        last = up
+                        if up.tag == "p":
+                            break
+                    elif up.tag in SCOPE:
                         break
-                elif up.tag in SCOPE:
-                    break
-                up = up.parent
+                    up = up.parent
+            if last is not None:
+                close(last)
         attributes = page[m.end() : at - 1]
         skip = node.skip or _furniture(tag, attributes, in_article > 0)
         child = Node(tag, node, skip)
@@ -181,6 +207,7 @@ def parse(page: str) -> Node:
                 at = page.find(">", end.start()) + 1 or len(page)
             continue
         in_article += tag in ("article", "main")
+        opened[tag] = opened.get(tag, 0) + 1
         node = child
     return root
 
@@ -247,8 +274,28 @@ def _menu(node: Node) -> bool:
     return node.link_tags >= 3 and node.links > 0.8 * node.chars and node.tag not in SECTIONS
 
 
+def headline(chosen: Node) -> list[Node]:
+    """Headings h1 that stand before the chosen node beside it or what holds it, where it has none itself."""
+    if any(n.tag == "h1" and not n.skip for n in _walk(chosen)):
+        return []
+    below, found = chosen, []
+    for node in _above(chosen):
+        before = []
+        for c in node.children:
+            if c is below:
+                break
+            if isinstance(c, Node) and c.tag in ("h1", "header", "hgroup") and not c.skip:
+                before += [n for n in _walk(c) if n.tag == "h1" and not n.skip and n.chars]
+        found, below = before + found, node
+    return found
+
+
 def blocks(root: Node) -> list[str]:
-    """The texts of the blocks below `root` in page order: references decoded, white space turned into single spaces."""
+    """The texts of the blocks below `root` in page order: references decoded, white space turned into single spaces.
+
+    Blocks of nothing but links are left out, except in an article: there they belong to it.
+    """
+    in_article = any(n.tag in ("article", "main") for n in (root, *_above(root)))
     out, buffer = [], []
 
     def flush() -> None:
@@ -272,7 +319,7 @@ def blocks(root: Node) -> list[str]:
                 flush()
         elif c.tag in ("br", "wbr", "img"):
             buffer.append("" if c.tag == "wbr" else " ")
-        elif not _menu(c):
+        elif in_article or c.tag in ("article", "main") or not _menu(c):
             block = c.tag not in INLINE
             if block:
                 flush()
@@ -286,7 +333,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     node = main_node(parse(page))
-    return "\n\n".join(blocks(node)) if node else ""
+    return "\n\n".join([b for n in [*headline(node), node] for b in blocks(n)]) if node else ""
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
