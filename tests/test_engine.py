@@ -27,6 +27,9 @@ def test_calls(engine):
     assert engine.read_tab("t1", section="none").first().content.endswith("bye")
     assert engine.read_tab("t1", lines=(5, 99)).first().content == "## End\nbye"
     assert engine.read_tab("t1").first().last == 6
+    assert [tuple(r) for r in engine.read_tab("t3").collect()] == [("t3", 1, 1, "")] == [tuple(r) for r in engine.read_tab("t3", section="x").collect()]
+    assert engine.search(r"\p{L}+ World", "regex").first().regex_fallback_error is None
+    assert engine.search("(?P<x>hello)", "regex").count() == 0 and engine.search("#+ (", "regex").count() == 0
     assert tuple(engine.cache_stats().first()) == (2, 1, 1, 2_000, 3_000)
     assert engine.cache_get("https://x.y/2").first().canonical_url == "https://c"
     assert [tuple(r) for r in engine.sessions().select("id", "note", "tabs", "ready").collect()] == [("a", "n", 2, 2), ("c", None, 0, 0), ("b", None, 1, 0)]
@@ -42,8 +45,12 @@ def test_fetch(engine, spark):
     long = "a good sentence with several words in it. " * 20
     rows = [("https://x.y/1", 6, "parse", long), ("https://n/1", 1, "accept_md", "tiny"), ("https://n/1", 6, "parse", long), ("https://n/2", 6, "parse", "Access Denied"), ("https://n/3", 6, "parse", None)]
     got = {r.url: r for r in engine.fetch(spark.createDataFrame(rows, "url string, tier int, source string, markdown string")).collect()}
-    assert set(got) == {"https://n/1", "https://n/2"} and got["https://n/1"].source == "parse"
-    assert got["https://n/2"].banner and "rejection page of n," in got["https://n/2"].markdown
+    assert set(got) == {"https://x.y/1", "https://n/1", "https://n/2"} and got["https://n/1"].source == "parse"
+    assert got["https://n/2"].banner and "rejection page of n," in got["https://n/2"].markdown and not got["https://n/2"].cached
+    stored = got["https://x.y/1"]
+    assert stored.cached and stored.tier == 6 and stored.markdown.strip() == "# Intro\nhello World\n## Usage\nrun it\n## End\nbye"
+    again = engine.fetch(spark.createDataFrame(rows, "url string, tier int, source string, markdown string"), FetchOptions(no_cache=True))
+    assert [r.cached for r in again.where("url = 'https://x.y/1'").collect()] == [False]
 
 
 def test_comment_trees(spark):

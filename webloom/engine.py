@@ -39,14 +39,23 @@ class Engine:
         self.tabs, self.agents, self.entries, self.now = tabs, agents, entries, F.lit(now_ms)
 
     def fetch(self, candidates: DataFrame, options: FetchOptions | None = None) -> DataFrame:
-        """(url, tier, source, markdown, banner) for the URLs of `candidates`, without those that are fresh in the cache."""
+        """(url, tier, source, markdown, banner, cached) for the URLs of `candidates`; those that are fresh in the cache are answered
+        from their tab, whose text was finished when it was stored."""
         o = options or FetchOptions()
         asked = candidates
         if not (o.no_cache or o.raw):
-            fresh = cache.lookup_fresh(self.entries, self.tabs, self.now).select("url")
-            asked = candidates.join(fresh, "url", "left_anti")
-        chosen = waterfall.with_banner(waterfall.decide(asked, o.mode))
-        return chosen if o.raw else chosen.withColumn("markdown", finalize(F.col("markdown"), o.link_table, o.max_tokens))
+            fresh = cache.lookup_fresh(self.entries, self.tabs, self.now).join(candidates.select("url").distinct(), "url", "left_semi")
+            asked = candidates.join(fresh.select("url"), "url", "left_anti")
+        chosen = waterfall.with_banner(waterfall.decide(asked, o.mode)).withColumn("cached", F.lit(False))
+        if o.raw:
+            return chosen
+        chosen = chosen.withColumn("markdown", finalize(F.col("markdown"), o.link_table, o.max_tokens))
+        if o.no_cache:
+            return chosen
+        stored = fresh.select("url", "tab_id", "source").join(self.tabs.select(F.col("id").alias("tab_id"), "markdown"), "tab_id")
+        text = finalize(F.col("markdown"), False, o.max_tokens)
+        stored = stored.select("url", waterfall.tier_of(F.col("source")).alias("tier"), "source", text.alias("markdown"), F.lit(False).alias("banner"), F.lit(True).alias("cached"))
+        return chosen.unionByName(stored)
 
     def search(self, query: str, mode: str = "plain", limit: int = 50, before: int = 0, after: int = 0) -> DataFrame:
         if mode not in ("plain", "regex", "fuzzy"):
@@ -59,7 +68,10 @@ class Engine:
             raise EngineError("tab_read_failed", f"no such tab: {tab_id}")
         if lines:
             return search.read_lines(own, "id", "markdown", *lines)
-        return search.read_section(own, "id", "markdown", section if section else "\0")
+        whole = search.read_whole(own, "id", "markdown")
+        if not section:
+            return whole
+        return search.read_section(own, "id", "markdown", section).unionByName(whole.where("content = ''"))
 
     def cache_stats(self) -> DataFrame:
         return cache.stats(self.entries, self.now)

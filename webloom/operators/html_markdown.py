@@ -167,14 +167,23 @@ def html_to_markdown(html: Column, raw: bool = False) -> Column:
     return _raw_udf(html) if raw else _main_udf(html)
 
 
+@F.pandas_udf(T.StructType([T.StructField("markdown", T.StringType()), T.StructField("whole", T.StringType())]))
+def _both_udf(html: pd.Series) -> pd.DataFrame:
+    main = html.map(to_markdown)
+    # whatever could be a stub (under 200 bytes or 40 words) is converted again; which of these is one is decided outside
+    short = main.map(lambda x: len(x.encode()) < 1000 or len(x.split()) < 80)
+    return pd.DataFrame({"markdown": main, "whole": [to_markdown(h, raw=True) if again else None for h, again in zip(html, short, strict=True)]})
+
+
 def with_raw_fallback(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds title and markdown: the main content, or the whole page where the former is a stub and the latter strictly longer.
 
-    The second conversion runs on stub rows only: they are split off by a filter, since a UDF under CASE would run on all.
+    One Arrow function reads each page once and converts only short results a second time.
     """
-    first = pages.withColumn("title", title_of(F.col(html_col))).withColumn("markdown", html_to_markdown(F.col(html_col)))
-    stub = F.coalesce(looks_like_stub(F.col("markdown")), F.lit(True))
-    again = first.where(stub).withColumn("whole", html_to_markdown(F.col(html_col), raw=True))
-    longer = F.coalesce(trimmed_bytes(F.col("whole")) > trimmed_bytes(F.col("markdown")), F.lit(False))
-    again = again.withColumn("markdown", F.when(longer, F.col("whole")).otherwise(F.col("markdown"))).drop("whole")
-    return first.where(~stub).unionByName(again)
+    both = "both"
+    while both in pages.columns:
+        both += "_"
+    rows = pages.withColumn("title", title_of(F.col(html_col))).withColumn(both, _both_udf(F.col(html_col)))
+    main, whole = F.col(both)["markdown"], F.col(both)["whole"]
+    longer = looks_like_stub(main) & (trimmed_bytes(whole) > trimmed_bytes(main))
+    return rows.withColumn("markdown", F.when(F.coalesce(longer, F.lit(False)), whole).otherwise(main)).drop(both)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +41,8 @@ def linkify(markdown: str) -> str:
     """Links whose URL occurs again become references L1, L2, ... in order of first use, with a table of them at the end."""
     found = list(_scan(markdown))
     urls = [u for *_, u in found]
-    labels = {u: f"L{i}" for i, u in enumerate(dict.fromkeys(u for u in urls if urls.count(u) > 1), 1)}
+    uses = Counter(urls)
+    labels = {u: f"L{i}" for i, u in enumerate((u for u in uses if uses[u] > 1), 1)}
     if not labels:
         return markdown
     out, done = [], 0

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.predicates import ascii_lower
@@ -17,15 +18,20 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("tab_id", (F.col("n") + 1).cast("long").alias("line_number"), "line")
 
 
+def regex_error(query: str) -> str | None:
+    """Why Java, which runs the pattern, doesn't take it as one; None if it does."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(query)
+    except IllegalArgumentException as e:
+        return str(e).splitlines()[0]
+    return None
+
+
 def matcher(line: Column, query: str, mode: str = "plain") -> Column:
     """plain: substring, case-sensitive only if the query has an ASCII capital; regex: Java syntax, an invalid one is
     taken literally; fuzzy: a word within one edit of the query (two from six letters on)."""
     if mode == "regex":
-        try:
-            re.compile(query)
-            return line.rlike(query)
-        except re.error:
-            return line.contains(query)
+        return line.rlike(query) if regex_error(query) is None else line.contains(query)
     if mode == "fuzzy":
         most = 1 if len(query) < 6 else 2
         words = F.split(ascii_lower(line), r"[^\p{L}\p{N}]+")
@@ -37,7 +43,10 @@ def matcher(line: Column, query: str, mode: str = "plain") -> Column:
 
 
 def search(rows: DataFrame, query: str, mode: str = "plain", limit: int | None = 50, before: int = 0, after: int = 0) -> DataFrame:
-    """Matching lines of `lines(...)` in order, with the lines around them; `limit` is the caller's page size."""
+    """Matching lines of `lines(...)` in order, with the lines around them; `limit` is the caller's page size.
+
+    In regex mode a column says why the query was taken literally (null: it wasn't).
+    """
     hits = rows
     if before or after:
         by_tab = Window.partitionBy("tab_id").orderBy("line_number")
@@ -48,6 +57,8 @@ def search(rows: DataFrame, query: str, mode: str = "plain", limit: int | None =
         hits = rows.join(tabs, "tab_id", "left_semi")
         hits = hits.withColumn("context_before", around(-before, -1) if before else empty).withColumn("context_after", around(1, after) if after else empty)
     hits = hits.where(matcher(F.col("line"), query, mode))
+    if mode == "regex":
+        hits = hits.withColumn("regex_fallback_error", F.lit(regex_error(query)).cast("string"))
     return hits.orderBy("tab_id", "line_number").limit(limit) if limit is not None else hits
 
 
@@ -60,13 +71,18 @@ def search_stats(rows: DataFrame, query: str, mode: str = "plain") -> DataFrame:
 def read_lines(docs: DataFrame, id_col: str, text_col: str, start: int, end: int) -> DataFrame:
     """(tab_id, total_lines, first, last, content): lines start..end, both clamped to what there is; none if start > end."""
     text = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), r"\n\z", "")
-    parts = docs.select(F.col(id_col).alias("tab_id"), F.when(F.col(text_col) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")).alias("parts"))
+    parts = docs.select(F.col(id_col).alias("tab_id"), F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")).alias("parts"))
     n = F.size("parts")
     first, last = F.greatest(F.lit(1), F.least(F.lit(start), n)), F.greatest(F.lit(1), F.least(F.lit(end), n))
     content = F.when((n > 0) & (first <= last), F.array_join(F.slice("parts", first, last - first + 1), "\n")).otherwise("")
     return parts.select("tab_id", n.alias("total_lines"), first.alias("first"), last.alias("last"), content.alias("content"))
 
 
+def read_whole(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(tab_id, first, last, content) of whole tabs, empty ones too."""
+    return read_lines(docs, id_col, text_col, 1, 2**31 - 1).select("tab_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "content")
+
+
 def headings(rows: DataFrame) -> DataFrame:
     """Adds `level` (the run of # that a line begins with, after blanks; 0: none) to lines."""
     return rows.withColumn("level", F.char_length(F.regexp_extract("line", r"^\s*(#*)", 1)))

@@ -82,6 +82,24 @@ def snapshots(answers: DataFrame) -> DataFrame:
     return rows.where(P.snapshot_usable(F.col("j.available"), F.col("j.status"))).select("url", F.coalesce(U.archive_raw(F.col("j.url")), F.col("j.url")).alias("snapshot"))
 
 
+def wayback(answers: DataFrame, captures: DataFrame, html_col: str = "html") -> DataFrame:
+    """Tier 8: usable archive answers (url, body JSON) with the capture of their snapshot, converted; `url` stays the page's own."""
+    found = snapshots(answers).join(captures.withColumnRenamed("url", "snapshot").where("status < 400"), "snapshot")
+    return _rendered(found, html_col, 8, "wayback")
+
+
+def headless(captures: DataFrame, html_col: str = "html") -> DataFrame:
+    """Tier 7: what a browser rendered, converted like any page; a rendered page has no declared type to go by."""
+    return _rendered(captures.where((F.col("fetcher") == "headless") & (F.col("status") < 400)), html_col, 7, "headless")
+
+
+def _rendered(pages: DataFrame, html_col: str, tier: int, source: str) -> DataFrame:
+    from webloom.operators.html_markdown import with_raw_fallback
+
+    done = with_raw_fallback(pages, html_col).withColumn("markdown", X.postprocess(F.col("markdown"))).where(P.trimmed(F.col("markdown")) != "")
+    return done.select("url", F.lit(tier).alias("tier"), F.lit(source).alias("source"), "markdown", "title")
+
+
 def quiet_at(log: DataFrame, gap_ms: int = 1500) -> DataFrame:
     """(page, quiet_ms): when a page was first silent for `gap_ms` after an event; log: (page, at_ms)."""
     from pyspark.sql import Window

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.predicates import looks_like_bot_block, looks_like_stub, trimmed_bytes, worth_escalating
@@ -10,6 +10,12 @@ from webloom.functions.text import block_banner
 from webloom.functions.urls import host
 
 CHEAP, HEADLESS, ARCHIVE = 6, 7, 8
+#: Tiers by the source that they sign with.
+TIERS = {"accept_md": 1, "cloudflare": 2, "llms_full": 3, "llms_index": 3, "adapter": 4, "pdf": 5, "parse": CHEAP, "headless": HEADLESS, "wayback": ARCHIVE}
+
+
+def tier_of(source: Column) -> Column:
+    return F.coalesce(*[F.when(source == s, F.lit(t)) for s, t in TIERS.items()])
 
 
 def classify(candidates: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def captures(spark, d) -> DataFrame:
     fetcher = F.element_at(F.array(F.lit("plain"), F.lit("stealth"), F.lit("headless")), (n % 3 + 1).cast("int"))
     ends = F.element_at(F.array(*[F.lit(x) for x in ("", ".md", "/a.pdf", "/doc.MD", "/web/2009/x")]), (n % 5 + 1).cast("int"))
     url = F.concat(F.regexp_replace("url", "[?#].*$", ""), ends)
-    body = F.when(n % 13 == 3, "Just a moment... Checking your browser").otherwise(F.substring(F.col("v"), F.lit(1), (40 * (n % 9)).cast("int")))
+    body = F.when(n % 13 == 3, "Just a moment... Checking your browser").otherwise(F.when(n % 9 == 0, "").otherwise(F.col("v")))
     return pages_text(spark, d).select("page_id", url.alias("url"), kind.alias("content_type"), status.alias("status"), fetcher.alias("fetcher"), body.alias("body"))
 
 
@@ -74,9 +74,9 @@ def candidates(spark, d) -> DataFrame:
     """(page_id, url, tier, source, markdown, latency_ms): tiers 1 and 6, headless and archive results for each page; null failed."""
     p = read(spark, d, "pages").select("page_id", "url", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), visible_text(F.col("html")).alias("v"))
     n = F.col("page_id")
-    cut = F.substring(F.col("v"), F.lit(1), (100 * (n % 5)).cast("int"))
+    cut = F.when(n % 5 == 0, "").when(n % 5 == 1, F.col("title")).otherwise(F.col("v"))
     parse = F.when(n % 10 == 3, "Just a moment...").when(n % 10 == 7, F.lit(None)).otherwise(cut)
-    head = F.when(n % 4 == 0, F.col("v")).when(n % 4 == 1, F.substring("v", 1, 90)).when(n % 4 == 2, F.lit("Access Denied"))
+    head = F.when(n % 4 == 0, F.col("v")).when(n % 4 == 1, F.concat("title", F.lit(" - "), "title")).when(n % 4 == 2, F.lit("Access Denied"))
     old = F.when(n % 6 == 1, F.concat(F.col("v"), F.lit(" archived")))
     rows = F.array(
         *[
@@ -108,7 +108,7 @@ SQL = {
     "captures": f"""SELECT page_id, regexp_replace(url, '[?#].*$', '') || ['', '.md', '/a.pdf', '/doc.MD', '/web/2009/x'][page_id % 5 + 1] AS url,
         ['text/html; charset=utf-8', 'Text/HTML', 'text/plain', 'text/markdown', NULL, 'application/pdf', 'text/plain; charset=gbk'][page_id % 7 + 1] AS content_type,
         CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END AS status, ['plain', 'stealth', 'headless'][page_id % 3 + 1] AS fetcher,
-        CASE WHEN page_id % 13 = 3 THEN 'Just a moment... Checking your browser' ELSE substring(v, 1, 40 * (page_id % 9)) END AS body FROM (SELECT page_id, url, {_V} AS v FROM pages)""",
+        CASE WHEN page_id % 13 = 3 THEN 'Just a moment... Checking your browser' WHEN page_id % 9 = 0 THEN '' ELSE v END AS body FROM (SELECT page_id, url, {_V} AS v FROM pages)""",
     "tabs": """SELECT e.event_id AS id, e.user_id AS agent_id, p.url, CASE WHEN e.event_id % 2 = 0 THEN regexp_replace(p.url, '#.*$', '') END AS canonical_url,
         CASE e.event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'ready' END AS status,
         ['accept_md', 'llms_full', 'adapter', 'parse', 'headless', 'wayback'][e.event_id % 6 + 1] AS source,
@@ -119,8 +119,8 @@ SQL = {
         UNION ALL SELECT -1 - agent_id, 'idle-' || agent_id, min(opened_at), min(opened_at), NULL FROM tabs WHERE agent_id < 5 GROUP BY agent_id""",
     "candidates": f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, {_V} AS v FROM pages)
         SELECT page_id, url, 1 AS tier, 'accept_md' AS source, title AS markdown, page_id * 37 % 16000 AS latency_ms FROM p
-        UNION ALL SELECT page_id, url, 6, 'parse', CASE WHEN page_id % 10 = 3 THEN 'Just a moment...' WHEN page_id % 10 = 7 THEN NULL ELSE substring(v, 1, 100 * (page_id % 5)) END, page_id * 611 % 16000 FROM p
-        UNION ALL SELECT page_id, url, 7, 'headless', CASE page_id % 4 WHEN 0 THEN v WHEN 1 THEN substring(v, 1, 90) WHEN 2 THEN 'Access Denied' END, page_id * 997 % 16000 FROM p
+        UNION ALL SELECT page_id, url, 6, 'parse', CASE WHEN page_id % 10 = 3 THEN 'Just a moment...' WHEN page_id % 10 = 7 THEN NULL WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN title ELSE v END, page_id * 611 % 16000 FROM p
+        UNION ALL SELECT page_id, url, 7, 'headless', CASE page_id % 4 WHEN 0 THEN v WHEN 1 THEN title || ' - ' || title WHEN 2 THEN 'Access Denied' END, page_id * 997 % 16000 FROM p
         UNION ALL SELECT page_id, url, 8, 'wayback', CASE WHEN page_id % 6 = 1 THEN v || ' archived' END, page_id * 1409 % 16000 FROM p""",
     "eval_runs": """SELECT k::BIGINT AS run_ts, source AS category, 'https://e/' || doc_id AS url, CASE WHEN doc_id % 17 = k THEN 3 ELSE 0 END AS rc,
         CASE WHEN k = 1 OR quality = 1 THEN text ELSE 'stub' END AS body, doc_id * (7 + k) % 900 AS ms

@@ -30,8 +30,13 @@ _doc_lines = lambda s, d: S.lines(V.read(s, d, "documents"), "doc_id", "text")
 _page_lines = lambda s, d: S.lines(V.page_md(s, d), "page_id", "md")
 _LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 R.add("search_plain", lambda s, d: S.search(_doc_lines(s, d), "license", limit=None), f"WITH {_LINES} SELECT * FROM lines WHERE contains({_LOW}, 'license')")
-R.add("search_regex", lambda s, d: S.search(_doc_lines(s, d), r"(?i)licensed? under .* v", "regex", None), f"WITH {_LINES} SELECT * FROM lines WHERE regexp_matches(line, '(?i)licensed? under .* v')")
-R.add("search_regex_fallback", lambda s, d: S.search(_doc_lines(s, d), "the (", "regex", None), f"WITH {_LINES} SELECT * FROM lines WHERE contains(line, 'the (')")
+R.add("search_regex", lambda s, d: S.search(_doc_lines(s, d), r"(?i)licensed? under .* v", "regex", None), f"WITH {_LINES} SELECT *, CAST(NULL AS VARCHAR) AS regex_fallback_error FROM lines WHERE regexp_matches(line, '(?i)licensed? under .* v')")
+R.add("search_regex_unicode", lambda s, d: S.search(_doc_lines(s, d), r"\p{Lu}\p{Ll}+ under ", "regex", None), f"WITH {_LINES} SELECT *, CAST(NULL AS VARCHAR) AS regex_fallback_error FROM lines WHERE regexp_matches(line, '\\p{{Lu}}\\p{{Ll}}+ under ')")
+R.add(
+    "search_regex_fallback",
+    lambda s, d: S.search(_page_lines(s, d), "](", "regex", None),
+    V.sql("SELECT *, 'Unclosed group near index 2' AS regex_fallback_error FROM lines WHERE contains(line, '](')", "page_md").replace("\nSELECT *,", f",\n{_PAGE_LINES}\nSELECT *,", 1),
+)
 R.add(
     "search_context",
     lambda s, d: S.search(_doc_lines(s, d), "MIT License", limit=None, before=2, after=1).select("tab_id", "line_number", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after")),
@@ -80,7 +85,7 @@ R.add("session_list", lambda s, d: G.session_list(V.agents(s, d), V.tabs(s, d)),
 R.add("dashboard_agents", lambda s, d: G.recent_agents(V.agents(s, d), V.tabs(s, d)), V.sql(_SESSION + " ORDER BY a.last_seen_at DESC, a.id LIMIT 50", "tabs", "agents"))
 R.add("dashboard_tabs", lambda s, d: G.recent_tabs(V.tabs(s, d)), V.sql("SELECT * FROM tabs ORDER BY opened_at DESC, id DESC LIMIT 200", "tabs"))
 R.add("dashboard_tabs_agent", lambda s, d: G.recent_tabs(V.tabs(s, d), 7), V.sql("SELECT * FROM tabs WHERE agent_id = 7 ORDER BY opened_at DESC, id DESC LIMIT 200", "tabs"))
-R.add("tab_meta", lambda s, d: V.tabs(s, d).where("id % 97 = 0").select("id", "status", F.coalesce("canonical_url", "url").alias("canonical_url")), V.sql("SELECT id, status, coalesce(canonical_url, url) AS canonical_url FROM tabs WHERE id % 97 = 0", "tabs"))
+R.add("tab_meta", lambda s, d: V.tabs(s, d).select("id", "status", F.coalesce("canonical_url", "url").alias("canonical_url")), V.sql("SELECT id, status, coalesce(canonical_url, url) AS canonical_url FROM tabs", "tabs"))
 R.add(
     "ensure_agents",
     lambda s, d: G.ensure_agents(V.agents(s, d), V.read(s, d, "customer").select(F.concat(F.lit("agent-"), F.col("c_custkey") % 300).alias("name"), (F.col("c_custkey") * 1000).alias("at"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).alias("note"))).drop("id"),
@@ -270,21 +275,21 @@ R.add(
 )
 R.add(
     "markdown_probe",
-    lambda s, d: T.markdown_probe(V.captures(s, d).where("page_id % 2 = 0").select(F.regexp_replace("url", r"\.md$", "").alias("url")), V.captures(s, d)).select("url", "source", F.md5("markdown").alias("md5")),
+    lambda s, d: T.markdown_probe(V.captures(s, d).select(F.regexp_replace("url", r"\.md$", "").alias("url")), V.captures(s, d)).select("url", "source", F.md5("markdown").alias("md5")),
     V.sql(
-        f"""SELECT a.url, 'cloudflare' AS source, md5(c.body) AS md5 FROM (SELECT regexp_replace(url, '\\.md$', '') AS url FROM captures WHERE page_id % 2 = 0) a JOIN captures c
+        f"""SELECT a.url, 'cloudflare' AS source, md5(c.body) AS md5 FROM (SELECT regexp_replace(url, '\\.md$', '') AS url FROM captures) a JOIN captures c
         ON c.url = regexp_extract(a.url, '^([a-z]+://[^/]*)', 1) || CASE WHEN regexp_extract(a.url, '^[a-z]+://[^/]*(.*)$', 1) IN ('', '/') THEN '/index.md' ELSE regexp_replace(regexp_extract(a.url, '^[a-z]+://[^/]*(.*)$', 1), '/$', '') || '.md' END
         WHERE list_last(string_split(regexp_extract(a.url, '^[a-z]+://[^/]*(.*)$', 1), '.')) NOT IN ('md', 'markdown', 'txt', 'json', 'xml', 'css', 'js', 'MD') AND c.status < 400 AND coalesce(regexp_matches(lower(c.content_type), '^text/(plain|(x-)?markdown)'), false)
         AND {trim_size('c.body')} >= 32 AND len(regexp_extract_all(c.body, '\\S+')) >= 8""",
         "captures",
     ),
 )
-_INDEX = "idx AS (SELECT {0} AS host, '# Docs' || chr(10) || string_agg('- [page ' || page_id || '](' || regexp_replace(url, '#.*$', '') || '): x', chr(10) ORDER BY page_id) AS text FROM pages WHERE page_id % 2 = 0 GROUP BY 1)".format(url_host("url"))
+_INDEX = "idx AS (SELECT {0} AS host, '# Docs' || chr(10) || string_agg('- [page ' || page_id || '](' || regexp_replace(url, '#.*$', '') || '): x', chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1)".format(url_host("url"))
 
 
 def _indexes(s, d):
     line = F.concat(F.lit("- [page "), "page_id", F.lit("]("), F.regexp_replace("url", "#.*$", ""), F.lit("): x"))
-    rows = V.read(s, d, "pages").where("page_id % 2 = 0").groupBy(U.host(F.col("url")).alias("host")).agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("x"))
+    rows = V.read(s, d, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("x"))
     return rows.select("host", F.concat(F.lit("# Docs\n"), F.array_join(F.transform("x", lambda e: e["line"]), "\n")).alias("text"))
 
 
@@ -323,29 +328,29 @@ R.add(
     lambda s, d: s.createDataFrame([(u,) for u, *_ in _ROUTES], "url string").select("url", A.adapter(F.col("url")).alias("adapter"), A.api_url(F.col("url")).alias("api")),
     f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_q, r)) + ')' for r in _ROUTES)}) t(url, adapter, api)",
 )
-_docs = lambda s, d: V.read(s, d, "documents").withColumn("short", F.substring("text", 1, 80))
+_docs = lambda s, d: V.read(s, d, "documents")
 R.add(
     "github_issue_md",
-    lambda s, d: _docs(s, d).select("doc_id", A.github_issue(F.to_json(F.struct(F.col("doc_id").alias("number"), F.col("source").alias("title"), F.when(F.col("doc_id") % 3 > 0, F.col("short")).alias("body"), F.lit("open").alias("state"), F.lit("h").alias("html_url"), F.when(F.col("doc_id") % 2 > 0, F.struct(F.col("lang").alias("login"))).alias("user"))), F.col("doc_id") % 5 == 0).alias("md")),
+    lambda s, d: _docs(s, d).select("doc_id", A.github_issue(F.to_json(F.struct(F.col("doc_id").alias("number"), F.col("source").alias("title"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("body"), F.lit("open").alias("state"), F.lit("h").alias("html_url"), F.when(F.col("doc_id") % 2 > 0, F.struct(F.col("lang").alias("login"))).alias("user"))), F.col("doc_id") % 5 == 0).alias("md")),
     """SELECT doc_id, '# ' || source || chr(10) || chr(10) || '_' || CASE WHEN doc_id % 5 = 0 THEN 'PR' ELSE 'Issue' END || ' #' || doc_id || ' · open · @' || CASE WHEN doc_id % 2 > 0 THEN lang ELSE '?' END || '_' || chr(10) || chr(10)
-       || CASE WHEN doc_id % 3 > 0 THEN substring(text, 1, 80) ELSE '_(no body)_' END || chr(10) AS md FROM documents""",
+       || CASE WHEN doc_id % 3 > 0 THEN text ELSE '_(no body)_' END || chr(10) AS md FROM documents""",
 )
 R.add(
     "npm_md",
-    lambda s, d: _docs(s, d).select("doc_id", A.npm_package(F.col("source"), F.to_json(F.struct(F.when(F.col("doc_id") % 3 > 0, F.col("short")).alias("readme"), F.col("lang").alias("description"), F.when(F.col("doc_id") % 4 > 0, F.lit("1.0")).alias("version"), F.lit("").alias("homepage"))), F.when(F.col("doc_id") % 6 == 0, F.lit("from unpkg"))).alias("md")),
+    lambda s, d: _docs(s, d).select("doc_id", A.npm_package(F.col("source"), F.to_json(F.struct(F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("readme"), F.col("lang").alias("description"), F.when(F.col("doc_id") % 4 > 0, F.lit("1.0")).alias("version"), F.lit("").alias("homepage"))), F.when(F.col("doc_id") % 6 == 0, F.lit("from unpkg"))).alias("md")),
     """SELECT doc_id, '# ' || source || chr(10) || chr(10) || '_npm package · v' || CASE WHEN doc_id % 4 > 0 THEN '1.0' ELSE '?' END || '_' || chr(10) || chr(10) || '_' || lang || '_' || chr(10) || chr(10)
-       || CASE WHEN doc_id % 3 > 0 AND text <> '' THEN '---' || chr(10) || chr(10) || substring(text, 1, 80) || chr(10) WHEN doc_id % 6 = 0 THEN '---' || chr(10) || chr(10) || 'from unpkg' || chr(10) ELSE '_(no README found in registry or unpkg)_' || chr(10) END AS md FROM documents""",
+       || CASE WHEN doc_id % 3 > 0 AND text <> '' THEN '---' || chr(10) || chr(10) || text || chr(10) WHEN doc_id % 6 = 0 THEN '---' || chr(10) || chr(10) || 'from unpkg' || chr(10) ELSE '_(no README found in registry or unpkg)_' || chr(10) END AS md FROM documents""",
 )
 R.add(
     "pypi_md",
-    lambda s, d: _docs(s, d).select("doc_id", A.pypi_project(F.col("source"), F.to_json(F.struct(F.struct(F.col("lang").alias("summary"), F.col("short").alias("description"), F.when(F.col("doc_id") % 2 == 0, F.lit("text/markdown")).alias("description_content_type"), F.lit("2").alias("version"), F.when(F.col("doc_id") % 3 == 0, F.lit("https://h")).alias("project_url")).alias("info")))).alias("md")),
+    lambda s, d: _docs(s, d).select("doc_id", A.pypi_project(F.col("source"), F.to_json(F.struct(F.struct(F.col("lang").alias("summary"), F.col("text").alias("description"), F.when(F.col("doc_id") % 2 == 0, F.lit("text/markdown")).alias("description_content_type"), F.lit("2").alias("version"), F.when(F.col("doc_id") % 3 == 0, F.lit("https://h")).alias("project_url")).alias("info")))).alias("md")),
     """SELECT doc_id, '# ' || source || chr(10) || chr(10) || '_PyPI · 2_' || chr(10) || chr(10) || '_' || lang || '_' || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '**Homepage:** https://h' || chr(10) || chr(10) ELSE '' END
-       || CASE WHEN text = '' THEN '' WHEN doc_id % 2 = 0 THEN '---' || chr(10) || chr(10) || substring(text, 1, 80) || chr(10) ELSE '---' || chr(10) || chr(10) || '```rst' || chr(10) || substring(text, 1, 80) || chr(10) || '```' || chr(10) || chr(10) END AS md FROM documents""",
+       || CASE WHEN text = '' THEN '' WHEN doc_id % 2 = 0 THEN '---' || chr(10) || chr(10) || text || chr(10) ELSE '---' || chr(10) || chr(10) || '```rst' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) END AS md FROM documents""",
 )
 R.add(
     "github_readme",
-    lambda s, d: _docs(s, d).select("doc_id", A.github_readme(F.to_json(F.struct(F.base64(F.encode("short", "UTF-8")).alias("content"), F.when(F.col("doc_id") % 4 == 0, F.lit("none")).otherwise("base64").alias("encoding"), F.lit("h").alias("html_url")))).alias("md")),
-    f"SELECT doc_id, CASE WHEN doc_id % 4 > 0 AND {trim_size('substring(text, 1, 80)')} > 0 THEN substring(text, 1, 80) END AS md FROM documents",
+    lambda s, d: _docs(s, d).select("doc_id", A.github_readme(F.to_json(F.struct(F.base64(F.encode("text", "UTF-8")).alias("content"), F.when(F.col("doc_id") % 4 == 0, F.lit("none")).otherwise("base64").alias("encoding"), F.lit("h").alias("html_url")))).alias("md")),
+    f"SELECT doc_id, CASE WHEN doc_id % 4 > 0 AND {trim_size('text')} > 0 THEN text END AS md FROM documents",
 )
 R.add(
     "reddit_listing",
@@ -370,6 +375,33 @@ R.add("pdf_tier", lambda s, d: T.pdf(V.captures(s, d).join(V.pages_text(s, d).se
 
 # Arrow functions: rows only
 R.add("html_to_markdown", lambda s, d: V.read(s, d, "pages").select("page_id", H.html_to_markdown(F.col("html")).alias("markdown")))
+R.add(
+    "headless_tier",
+    lambda s, d: T.headless(V.captures(s, d).drop("url", "body").join(V.read(s, d, "pages"), "page_id")).select("url", "tier", "source", "title"),
+    V.sql("SELECT p.url, 7 AS tier, 'headless' AS source, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM captures JOIN pages p USING (page_id) WHERE fetcher = 'headless' AND status < 400", "captures"),
+)
+
+
+def _archive(s, d):
+    """Answers of the archive for every page, and captures of the snapshots that they name."""
+    p, n = V.read(s, d, "pages"), F.col("page_id")
+    own = F.concat(F.lit("http://web.archive.org/web/20200101"), "page_id", F.lit("/"), "url")
+    closest = F.struct((n % 4 > 0).alias("available"), own.alias("url"), F.lit("200").alias("status"))
+    answers = p.select("url", F.to_json(F.struct(F.struct(closest.alias("closest")).alias("archived_snapshots"))).alias("body"))
+    captured = p.select(U.archive_raw(own).alias("url"), F.when(n % 5 == 0, 404).otherwise(200).alias("status"), "html")
+    return answers, captured
+
+
+R.add(
+    "wayback_tier",
+    lambda s, d: T.wayback(*_archive(s, d)).select("url", "tier", "source", "title"),
+    "SELECT url, 8 AS tier, 'wayback' AS source, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0",
+)
+R.add(
+    "wikipedia_md",
+    lambda s, d: V.read(s, d, "documents").select("doc_id", A.wikipedia_page(F.concat(F.lit("https://en.wikipedia.org/wiki/Some_page%20"), "doc_id"), F.concat(F.lit("<section><p>"), "source", F.lit(" <b>"), "n_chars", F.lit("</b></p></section>"))).alias("md")),
+    "SELECT doc_id, '# Some page ' || doc_id || chr(10) || chr(10) || source || ' **' || n_chars || '**' || chr(10) AS md FROM documents",
+)
 R.add("raw_fallback", lambda s, d: H.with_raw_fallback(V.read(s, d, "pages")).select("page_id", "title", "markdown"))
 R.add("parse_html", lambda s, d: T.parse_html(V.captures(s, d).drop("url", "body").join(V.read(s, d, "pages"), "page_id")))
 R.add("truncate_utf8", lambda s, d: V.page_md(s, d).select("page_id", Z.truncated(F.col("md"), 300).alias("md")))

@@ -161,8 +161,8 @@ R.add(
 )
 R.add(
     "pdf_postprocess",
-    lambda s, d: V.read(s, d, "documents").select("doc_id", X.pdf_text(F.replace(F.replace(F.substring("text", 1, 400), F.lit("fi"), F.lit("ﬁ")), F.lit("th"), F.lit("t-\nh"))).alias("text"), X.pdf_title(F.concat(F.lit("\n \n"), "text", F.lit("\n---\n"))).alias("title")),
-    """SELECT doc_id, regexp_replace(replace(replace(substring(text, 1, 400), 'fi', 'ﬁ'), 'th', 't-' || chr(10) || 'h'), '(\\p{L})-\\n([a-z])', '\\1\\2', 'g').replace('ﬁ', 'fi') AS text,
+    lambda s, d: V.read(s, d, "documents").select("doc_id", X.pdf_text(F.replace(F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ")), F.lit("th"), F.lit("t-\nh"))).alias("text"), X.pdf_title(F.concat(F.lit("\n \n"), "text", F.lit("\n---\n"))).alias("title")),
+    """SELECT doc_id, regexp_replace(replace(replace(text, 'fi', 'ﬁ'), 'th', 't-' || chr(10) || 'h'), '(\\p{L})-\\n([a-z])', '\\1\\2', 'g').replace('ﬁ', 'fi') AS text,
        list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS title FROM documents""",
 )
 R.add(
@@ -193,8 +193,8 @@ R.add(
 R.add("ellipsis_truncate", lambda s, d: V.read(s, d, "documents").select("doc_id", X.ellipsis(F.col("text"), 60).alias("short")), "SELECT doc_id, CASE WHEN length(text) > 60 THEN substring(text, 1, 59) || '…' ELSE text END AS short FROM documents")
 R.add(
     "shell_escape",
-    lambda s, d: V.read(s, d, "documents").select("doc_id", X.shell_quote(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("it's "), F.substring("text", 1, 20))).otherwise(F.col("source"))).alias("arg")),
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''' || replace('it''s ' || substring(text, 1, 20), '''', '''\\''''') || '''' ELSE source END AS arg FROM documents""",
+    lambda s, d: V.read(s, d, "documents").select("doc_id", X.shell_quote(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("it's "), "text")).otherwise(F.col("source"))).alias("arg")),
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''' || replace('it''s ' || text, '''', '''\\''''') || '''' ELSE source END AS arg FROM documents""",
 )
 R.add("token_estimate", lambda s, d: V.read(s, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")), "SELECT doc_id, strlen(text) // 4 AS tokens FROM documents")
 R.add("token_count", lambda s, d: V.read(s, d, "documents").select("doc_id", P.word_count(F.col("text")).alias("words")), f"SELECT doc_id, {_WORDS.format('text')} AS words FROM documents")
@@ -212,8 +212,8 @@ R.add(
 R.add("base64_readme", lambda s, d: V.read(s, d, "documents").select("doc_id", F.md5(X.base64_text(F.base64(F.encode("text", "UTF-8")))).alias("md5")), "SELECT doc_id, md5(text) AS md5 FROM documents")
 R.add(
     "hn_strip_html",
-    lambda s, d: V.read(s, d, "documents").select("doc_id", X.comment_text(F.concat(F.lit("<p>"), F.substring("text", 1, 50), F.lit("</p>a<br>b<br/><i>&lt;c&gt;</i> &amp;quot;"))).alias("text")),
-    "SELECT doc_id, chr(10) || chr(10) || substring(text, 1, 50) || 'a' || chr(10) || 'b' || chr(10) || '<c> &quot;' AS text FROM documents",
+    lambda s, d: V.read(s, d, "documents").select("doc_id", X.comment_text(F.concat(F.lit("<p>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>a<br>b<br/><i>&lt;c&gt;</i> &amp;quot;"))).alias("text")),
+    "SELECT doc_id, chr(10) || chr(10) || text || 'a' || chr(10) || 'b' || chr(10) || '<c> &quot;' AS text FROM documents",
 )
 _BANNER = "'> [!warning] **webloom: site rejected our automated request**' || chr(10) || '>' || chr(10) || '> The body below is the rejection page of ' || {h} || ', not real content.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {b}"
 R.add(

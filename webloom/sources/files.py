@@ -20,8 +20,8 @@ def without_header(content: Column, label: str = LABEL) -> Column:
 
 
 def write_tabs(tabs: DataFrame, path: str) -> None:
-    """Bodies as Parquet, a directory for each source, sorted so that row groups prune by id."""
-    tabs.repartition("source").sortWithinPartitions("id").write.partitionBy("source").mode("overwrite").parquet(path)
+    """Bodies as Parquet, a directory for each source, in ranges of (source, id) so that no source is one task's and ids prune."""
+    tabs.repartitionByRange("source", "id").sortWithinPartitions("source", "id").write.partitionBy("source").mode("overwrite").parquet(path)
 
 
 def read_tab_files(spark: SparkSession, path: str) -> DataFrame:
