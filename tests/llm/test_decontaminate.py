@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -99,3 +100,14 @@ def test_a_fifth_of_five_shingles_may_be_missing():
     for n in range(80):
         text = f"{'filler ' * n}x {item[1].split(' ', 1)[1]}"
         assert [m[1] for m in index.matches(pa.array([text]))] == [i for _, i in brute([(0, text)], [item])] == [0]
+
+
+def test_index_of_many_items_is_small():
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(25)) + ". Yes it is.") for i in range(6000)]
+    index = decontaminate.Index.build(items)
+    size = sum(x.nbytes for x in vars(index).values() if hasattr(x, "nbytes"))
+    assert size < 3 * 8 * 6000 * 30 * 3
+    terms = np.unique(np.searchsorted(index.vocabulary, decontaminate._words([items[17][1]])[0]))
+    found, score = index.search(terms)
+    assert 17 in [index.items[n].id for n in found] and (score >= 1 - 1e-9).all()

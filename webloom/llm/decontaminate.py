@@ -20,7 +20,7 @@ OVERLAP = 0.8
 K1, B = 1.2, 0.75
 BLOCK = 16
 #: Items are indexed in slices of at most about so many bytes; a larger benchmark takes more passes over the passages.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 16_000_000
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -51,6 +51,12 @@ def _lost(n: int) -> int:
     return math.floor((1 - Fraction(str(OVERLAP))) * n)
 
 
+def _spans(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The places at[r]..at[r + 1] - 1 of all rows r, one after the other."""
+    count = at[rows + 1] - at[rows]
+    return np.repeat(at[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+
 @dataclass
 class Item:
     id: object
@@ -72,7 +78,9 @@ class Index:
     term_at: np.ndarray
     posting_item: np.ndarray
     posting: np.ndarray
-    block_max: np.ndarray  # by term and block
+    bound_at: np.ndarray  # by term: where its blocks' bounds begin
+    bound_block: np.ndarray
+    bound: np.ndarray  # largest weight of the term in the block
     window: int
     floors: np.ndarray
 
@@ -111,42 +119,47 @@ class Index:
             floor = sum(sorted(weight.values())[: max(1, len(weight) - spare)])
             vectors.append((weight, max(floor, 1e-9)))
         vocabulary = np.array(sorted(df), np.uint64)
-        place = {int(t): i for i, t in enumerate(vocabulary)}
-        postings = sorted((place[t], n, w / floor) for n, (weight, floor) in enumerate(vectors) for t, w in weight.items())
-        term = np.array([p[0] for p in postings])
-        item = np.array([p[1] for p in postings])
-        value = np.array([p[2] for p in postings])
-        blocks = (len(items) + BLOCK - 1) // BLOCK
-        key = term * blocks + item // BLOCK
-        most = np.zeros(len(vocabulary) * blocks)
-        np.maximum.at(most, key, value)
-        most = most.reshape(len(vocabulary), blocks)
+        item = np.repeat(np.arange(len(vectors)), [len(w) for w, _ in vectors])
+        term = np.searchsorted(vocabulary, np.fromiter((t for w, _ in vectors for t in w), np.uint64, len(item)))
+        floors = np.array([f for _, f in vectors])
+        value = np.fromiter((x for w, _ in vectors for x in w.values()), "f8", len(item)) / floors[item]
+        # of an item, its most frequent terms are spared as long as less than half its threshold depends on them
+        often = np.array([df[int(t)] for t in vocabulary])
+        spared, need = np.zeros(len(item), bool), np.ones(len(items))
+        order = np.lexsort((vocabulary[term], -often[term], item))
+        for i, n in zip(order.tolist(), item[order].tolist(), strict=True):
+            if need[n] - value[i] > 0.5:
+                need[n] -= value[i]
+                spared[i] = True
+        order = np.lexsort((item, term))
+        term, item, value, spared = term[order], item[order], value[order], spared[order]
+        starts = lambda t: np.searchsorted(t, np.arange(len(vocabulary) + 1))
+        block = item // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
         longest = max(len(words[n]) for n in keep)
-        need, spared = np.ones(len(items)), set()
-        for n, (weight, floor) in enumerate(vectors):
-            for t in sorted(weight, key=lambda t: (-df[t], t)):
-                if need[n] - weight[t] / floor > 0.5:
-                    need[n] -= weight[t] / floor
-                    spared.add((place[t], n))
-        kept = np.array([(t, n) not in spared for t, n, _ in postings])
-        essential_at = np.searchsorted(term[kept], np.arange(len(vocabulary) + 1))
-        return Index(items, vocabulary, essential_at, item[kept], value[kept], need, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, value, most, max(longest, 32), np.array([f for _, f in vectors]))
+        return Index(
+            items, vocabulary, starts(term[~spared]), item[~spared], value[~spared], need, starts(term), item, value,
+            starts(term[new]), block[new], np.maximum.reduceat(value, new), max(longest, 32), floors,
+        )
 
     def search(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items whose score for the distinct `terms` of a passage reaches their threshold, and the scores over it.
 
         The blocks' bounds come first; postings are read in those blocks only whose bound reaches 1.
         """
-        bound = self.block_max[terms].sum(axis=0)
-        open_blocks = bound >= 1 - 1e-9
-        if not open_blocks.any():
+        at = _spans(self.bound_at, terms)
+        blocks, place = np.unique(self.bound_block[at], return_inverse=True)
+        blocks = blocks[np.bincount(place, self.bound[at], len(blocks)) >= 1 - 1e-9]
+        if not len(blocks):
             return np.zeros(0, "i8"), np.zeros(0)
-        spans = [np.arange(self.term_at[t], self.term_at[t + 1]) for t in terms]
-        at = np.concatenate(spans)
-        at = at[open_blocks[self.posting_item[at] // BLOCK]]
-        score = np.bincount(self.posting_item[at], self.posting[at], len(self.items))
-        found = np.flatnonzero(score >= 1 - 1e-9)
-        return found, score[found]
+        at = _spans(self.term_at, terms)
+        block = self.posting_item[at] // BLOCK
+        place = np.minimum(np.searchsorted(blocks, block), len(blocks) - 1)
+        at = at[blocks[place] == block]
+        items, place = np.unique(self.posting_item[at], return_inverse=True)
+        score = np.bincount(place, self.posting[at], len(items))
+        found = score >= 1 - 1e-9
+        return items[found], score[found]
 
     def _passages(self, first: np.ndarray, known: np.ndarray, place: np.ndarray):
         """(text, begin, end) of the passages that may reach some item's threshold.
@@ -162,9 +175,8 @@ class Index:
         at = at[self.essential_at[place[at] + 1] > self.essential_at[place[at]]]
         text = np.searchsorted(first, at, "right") - 1
         cell = cell_at[text] + (at - first[text]) // self.window
-        start = self.essential_at[place[at]]
-        count = self.essential_at[place[at] + 1] - start
-        flat = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        count = self.essential_at[place[at] + 1] - self.essential_at[place[at]]
+        flat = _spans(self.essential_at, place[at])
         n = len(self.items)
         key, inverse = np.unique(np.repeat(cell, count) * n + self.essential_item[flat], return_inverse=True)
         score = np.bincount(inverse, self.essential[flat], len(key))
@@ -210,6 +222,7 @@ class Index:
 
 
 def _indexes(items: DataFrame, id_col: str, text_col: str):
+    """A broadcast index for each slice of the items; a slice's bytes bound what the driver holds and what is broadcast."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(text_col) + 16), F.lit(0))).first()[0]
     parts = 1 + size // SLICE_BYTES
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -217,7 +230,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part) if parts > 1 else rows
         index = Index.build(sorted(((r["id"], r["text"]) for r in own.distinct().collect()), key=repr))
         if index is not None:
-            yield index
+            yield items.sparkSession.sparkContext.broadcast(index)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -236,7 +249,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
         def run(batches, index=index):
             for batch in batches:
-                found = list(index.matches(batch.column(1)))
+                found = list(index.value.matches(batch.column(1)))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 rest = [pa.array([f[i] for f in found]) for i in (1, 2, 3, 4)] if found else [pa.nulls(0)] * 4
                 if found:
@@ -253,7 +266,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
         def keep(batches, index=index):
             for batch in batches:
-                bad = {m[0] for m in index.matches(batch.column(batch.schema.get_field_index(text_col)))}
+                bad = {m[0] for m in index.value.matches(batch.column(batch.schema.get_field_index(text_col)))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
