@@ -105,8 +105,6 @@ UNKNOWN = [
     "Conditions were met with prior notice and written consent.",
     "The team worked on version 3 of the plan and on version 2.0 of the map.",
 ]
-#: Used by the oracle only: the query scores every paragraph that could reach a family, see _reach.
-CUES = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|rights reserved|proprietary|\bgnu\b|\bcc[ -]by\b|\bcc0\b|unencumbered|mozilla public|general public"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CLASSES = ["unknown", *TEMPLATES]
 #: A family must be so likely, and share so much of one of its templates' word pairs, to be confirmed.
@@ -295,8 +293,8 @@ def _sql() -> str:
 WITH weights(gram, {", ".join(names)}) AS (VALUES {weights}),
 templates(family, template, gram, grams) AS (VALUES {templates}),
 split_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph FROM documents),
-cued AS (SELECT doc_id, paragraph, line, row_number() OVER () AS uid FROM split_lines WHERE regexp_matches(line, {quote(CUES)})),
-w AS (SELECT uid, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM cued),
+numbered AS (SELECT doc_id, paragraph, line, row_number() OVER () AS uid FROM split_lines),
+w AS (SELECT uid, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM numbered),
 grams AS (SELECT DISTINCT uid, gram FROM (
     SELECT uid, '' AS gram FROM w UNION ALL SELECT uid, unnest(w) FROM w
     UNION ALL SELECT uid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)),
@@ -308,7 +306,7 @@ shared AS (SELECT uid, max(n / grams) AS similarity FROM (
     JOIN templates t ON t.family = k.family AND t.gram = g.gram GROUP BY ALL) GROUP BY uid)
 SELECT doc_id, paragraph::INT AS paragraph, family, round(probability, 4) AS probability, round(coalesce(similarity, 0), 4) AS similarity,
        coalesce(similarity, 0) >= {SIMILARITY} AS confirmed, line
-FROM cued JOIN kept USING (uid) LEFT JOIN shared USING (uid)"""
+FROM numbered JOIN kept USING (uid) LEFT JOIN shared USING (uid)"""
 
 
 SQL = {"op8_licenses": _sql}
