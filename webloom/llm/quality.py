@@ -14,8 +14,8 @@ from webloom.llm.common import table
 
 #: At most so many labelled rows are fitted, the ones with the smallest hash of their id; a score reads whole texts of all rows.
 FIT_ROWS = 12_000
-#: At most so many preference pairs.
-PAIRS = 60_000
+#: Preference pairs drawn for each fitted row; all pairs are fitted where there are no more.
+PAIRS_PER_ROW = 5
 #: Score at the quantile that divides the documents.
 CUT = 0.7
 
@@ -109,7 +109,7 @@ def _newton(d: np.ndarray, y: np.ndarray, l2: float, rounds: int = 25) -> np.nda
     return w
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Model:
+def fit(x: np.ndarray, label: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, seed: int = 7) -> Model:
     """Bradley-Terry: P(a is preferred to b) = sigmoid(s(a) - s(b)) with s linear in the features.
 
     Every preference sets a text of label 1 above one of label 0. Scores are cut at the quantile that agrees with most
@@ -123,8 +123,12 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
         return Model(mean, scale, np.zeros(x.shape[1]), 0.0 if len(good) else 1.0, 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
-    n = min(pairs, len(good) * len(bad))
-    d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
+    n = pairs_per_row * len(x)
+    if len(good) * len(bad) <= n:
+        n = len(good) * len(bad)
+        d = (z[good][:, None] - z[bad]).reshape(n, -1)
+    else:
+        d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
     weight = _newton(d, np.ones(n), l2=1e-3 * n)
     s = z @ weight
     order = np.argsort(s)
