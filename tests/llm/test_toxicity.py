@@ -3,6 +3,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from webloom.llm import toxicity
 from webloom.llm.toxicity import BLOCK, Index, build, drop_toxic, score_toxicity, terms, train, vectors
 
 ENTRY = st.tuples(st.integers(0, 400), st.integers(0, 12), st.floats(0.05, 1))
@@ -69,3 +70,37 @@ def test_calibration_reads_all_examples():
     model = build(np.arange(n), labels, np.arange(n), term, np.ones(n), np.arange(2, dtype=np.uint64), np.ones(2))
     assert model.calibration.tolist() != [0.0, 1.0]
     assert model.score(np.array([1]), np.ones(1))[0] > 0.5 > model.score(np.array([0]), np.ones(1))[0]
+
+
+def test_scores_against_brute_force(spark):
+    """Every score of the table from cosines with all examples, the nearest of which vote."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = train(docs, labels)
+    index = model.index
+    dense = np.zeros((len(index.ids), len(model.vocabulary)))
+    for t in range(len(model.vocabulary)):
+        for b in range(index.term_at[t], index.term_at[t + 1]):
+            for at in range(index.block_at[b], index.block_at[b + 1]):
+                dense[index.examples[at], t] = index.weights[at]
+    got = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
+    for r in docs.collect():
+        doc, term, count = vectors(pa.array([r.text], pa.string()), model.vocabulary)
+        if not len(term):
+            assert got[r.doc_id].score == model.none
+            continue
+        v = np.zeros(len(model.vocabulary))
+        v[term] = (1 + np.log(count)) * model.idf[term]
+        cosine = dense @ (v / np.sqrt((v * v).sum()))
+        near = sorted((-c, i) for i, c in enumerate(cosine) if c > 0)[: toxicity.NEIGHBOURS]
+        total = sum(-c for c, _ in near)
+        vote = (sum(-c * index.labels[i] for c, i in near) + 0.05 * model.prior) / (total + 0.05)
+        assert abs(got[r.doc_id].score - model.calibrated(vote)) < 1e-6
+
+
+def test_ids_that_are_strings(spark):
+    rows = [(f"d{i}", ("vile scum words " if i % 3 == 0 else "kind gentle words ") * (1 + i % 4) + f"w{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(300)], "doc_id string, toxic int")
+    got = score_toxicity(docs, train(docs, labels)).collect()
+    assert len(got) == 300 and all(e.id.startswith("d") for r in got for e in r.evidence) and any(r.evidence for r in got)

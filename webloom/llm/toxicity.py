@@ -282,9 +282,13 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     Null and empty texts, and texts without a telling term, get the calibrated rate of such examples and no evidence. A
     null id is never held out; repeated rows are scored each; an empty table gives an empty result. Only the text decides.
+    The evidence's ids are long if the examples' ids are whole numbers, else strings.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, score double, predicted int, evidence array<struct<id:long,similarity:double,label:int>>"
+    # examples come from a table whose ids may be of another kind than those of `docs`
+    numbers = model.index.ids.dtype.kind in "iu"
+    index_kind, arrow_id, plain = ("long", pa.int64(), int) if numbers else ("string", pa.string(), str)
+    schema = f"id {kind}, held_out boolean, score double, predicted int, evidence array<struct<id:{index_kind},similarity:double,label:int>>"
     index = model.index
 
     def run(batches):
@@ -295,8 +299,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             why: list = [[]] * batch.num_rows
             for i in np.flatnonzero(np.diff(at)):
                 score[i], examples, similarity = model.score(t[at[i] : at[i + 1]], n[at[i] : at[i + 1]].astype("f8"))
-                why[i] = [{"id": int(index.ids[e]), "similarity": float(s), "label": int(index.labels[e])} for e, s in zip(examples[:evidence], similarity, strict=False)]
-            why = pa.array(why, pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))
+                why[i] = [{"id": plain(index.ids[e]), "similarity": float(s), "label": int(index.labels[e])} for e, s in zip(examples[:evidence], similarity, strict=False)]
+            why = pa.array(why, pa.list_(pa.struct([("id", arrow_id), ("similarity", pa.float64()), ("label", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype("i4")), why], names=["id", "held_out", "score", "predicted", "evidence"])
 
     chosen = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
