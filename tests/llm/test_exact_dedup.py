@@ -40,3 +40,9 @@ def test_many_runs(spark):
     rows = spark.range(0, 5000, 1, 40).selectExpr("4999 - id as doc_id", "concat('t', id % 7) as text")
     got = exact_copies(rows).collect()
     assert {r.keep_id for r in got} == set(range(7)) and sum(r.group_size for r in got if r.kept) == 5000
+
+
+def test_columns_named_like_helpers(spark):
+    rows = [(1, "a", "q", "i", "s"), (2, "a", "r", "j", "t")]
+    got = drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, text_sha string, id string, sha string")).collect()
+    assert [tuple(r) for r in got] == rows[:1]

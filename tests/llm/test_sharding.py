@@ -2,7 +2,7 @@ import zlib
 from collections import defaultdict
 
 from tests.llm.conftest import ODD
-from webloom.llm.sharding import shard_by_capacity, shard_evenly
+from webloom.llm.sharding import op4_sharding, shard_by_capacity, shard_evenly
 
 
 def invariants(rows, want):
@@ -39,3 +39,34 @@ def test_fixed_capacity(spark, odd):
     for r in rows:
         sums[r.shard] += r.size
     assert sorted(sums.values())[-1] == max(r.size for r in rows) and all(s <= 50 for s in sorted(sums.values())[:-1])
+
+
+def naive_fill(sizes, capacity):
+    """Bins of item-by-item best-fit decreasing."""
+    left = []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b in range(len(left)) if left[b] >= size]
+        if fits:
+            left[min(fits, key=lambda b: (left[b], b))] -= size
+        else:
+            left.append(capacity - size)
+    return [capacity - x for x in left]
+
+
+def test_balance_of_the_whole_query(spark):
+    """The shards' bytes are those of item-by-item best-fit decreasing at the least capacity that needs 16 bins."""
+    d = "/root/testdata/sf0.001"
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(d + "/documents.parquet").collect()]
+    rows = op4_sharding(spark, d).collect()
+    invariants(rows, texts)
+    groups, sums = defaultdict(int), defaultdict(int)
+    for _, t in texts:
+        groups[t or ""] += len((t or "").encode()) + 1
+    for r in rows:
+        sums[r.shard] += r.size
+    sizes = list(groups.values())
+    low = max(max(sizes), -(-sum(sizes) // 16))
+    assert max(sizes) * 16 <= sum(sizes) or max(sums.values()) == max(sizes)
+    if max(sizes) * 16 <= sum(sizes):
+        got = max(sums.values())
+        assert len(naive_fill(sizes, got)) <= 16 and (got == low or len(naive_fill(sizes, got - 1)) > 16) or sorted(sums.values()) == sorted(naive_fill(sizes, got))

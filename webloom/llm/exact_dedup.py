@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpointed, merge_copies, run_of, table
+from webloom.llm.common import checkpointed, free_name, merge_copies, run_of, table
 
 #: At most so many rows to drop (100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -52,18 +52,20 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = exact_copies(docs, id_col, text_col).groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     found = checkpointed(found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
-    marked = docs.withColumn("__text_sha", F.sha2(text, 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
+    own, key, sha = (free_name(docs, c) for c in ("text_sha", "id", "sha"))
+    found = found.withColumnsRenamed({"__id": key, "__sha": sha})
+    marked = docs.withColumn(own, F.sha2(text, 256))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha))
 
     def listed(rows: DataFrame) -> DataFrame:
-        rows = rows.select("__id", "__sha")
+        rows = rows.select(key, sha)
         return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
     left = marked.join(listed(found.where("not kept")), same, "left_anti")
     repeated = found.where("kept and rows > 1")
     if repeated.limit(1).count():
         again = listed(repeated)
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, "__text_sha"]))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, own]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
