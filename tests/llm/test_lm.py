@@ -8,24 +8,27 @@ import pytest
 
 from tests.llm.conftest import ODD
 from webloom.llm import lm
-from webloom.llm.lm import _pack, _unpack, score_documents
+from webloom.llm.lm import _narrow, _pack, _unpack, _wide, score_documents
 
 
 def brute(rows, order):
+    """Scores by the counts of all other rows."""
     docs = [re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
-    counts = Counter(tuple(w[i : i + k]) for w in docs for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    own = [Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in docs]
+    whole = sum(own, Counter())
     size = sum(map(len, docs))
     out = []
-    for (doc, _), w in zip(rows, docs, strict=True):
+    for (doc, _), w, mine in zip(rows, docs, own, strict=True):
         total = 0.0
         for i in range(len(w)):
             factor = 1.0
             for k in range(min(order, i + 1), 0, -1):
                 g = tuple(w[i - k + 1 : i + 1])
+                n = whole[g] - mine[g]
                 if k == 1:
-                    total += math.log(factor * counts[g] / size)
-                elif counts[g] >= lm.LEAST:
-                    total += math.log(factor * counts[g] / counts[g[:-1]])
+                    total += math.log(factor * max(n, 1) / size)
+                elif n > 0:
+                    total += math.log(factor * n / (whole[g[:-1]] - mine[g[:-1]]))
                     break
                 factor *= lm.BACKOFF
         out.append((doc, len(w), round(total, 6)))
@@ -50,8 +53,13 @@ def test_packing_of_keys():
         assert (_unpack(_pack(keys, 7 << 60), 7 << 60) == keys).all()
 
 
+def test_packing_of_counts():
+    for n in ([], [0, 1, 254], [255, 3, 256, 1 << 40, 0]):
+        assert _wide(_narrow(np.array(n, "i8")), len(n)).tolist() == n
+
+
 def test_odd_rows(spark, odd, none):
     rows = score_documents(odd).collect()
-    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in rows), key=repr) == brute([r[:2] for r in ODD], 2)
+    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in rows), key=repr) == brute([r[:2] for r in ODD], 3)
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in rows)
     assert score_documents(none).count() == 0

@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from webloom.llm import vec
 from webloom.llm.common import checkpointed, shuffle_width, table
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-#: N-grams of two or more words that the corpus has fewer times are not in the tables.
-LEAST = 2
 #: A batch is cut into blocks of about so many bytes of text, which bounds a worker's memory.
 BLOCK_BYTES = 8_000_000
 U = np.uint64
@@ -58,12 +56,18 @@ def _unpack(data: bytes, base: int) -> np.ndarray:
 
 
 def _narrow(n: np.ndarray) -> bytes:
-    """Counts in 4 or 8 bytes, told apart by the number of keys."""
-    return n.astype("<u4" if not len(n) or n.max() < 1 << 32 else "<u8").tobytes()
+    """Counts as compressed bytes; the few above 254 follow in eight bytes each."""
+    large = n[n >= 255].astype("<u8")
+    data = np.minimum(n, 255).astype(np.uint8).tobytes() + large.tobytes()
+    return len(large).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8").astype("i8")
+    large = int.from_bytes(data[:4], "little")
+    raw = pa.decompress(data[4:], n + 8 * large, "zstd", asbytes=True)
+    out = np.frombuffer(raw, np.uint8, n).astype("i8")
+    out[out == 255] = np.frombuffer(raw, "<u8", large, n)
+    return out
 
 
 def _blocks(docs: DataFrame, order: int, bits: int, asking: bool) -> DataFrame:
@@ -128,7 +132,10 @@ def _answers(asked: DataFrame, bits: int) -> DataFrame:
 def _score_block(texts: pa.Array, order: int, bits: int, answers: dict[int, bytes]):
     """Per text: words, sum of log scores without the corpus size, and how many words fell back to it."""
     grams, first = _grams(texts, order)
-    totals = []
+    n, length = len(grams[0]), np.diff(first)
+    text = np.repeat(np.arange(len(length)).astype(U), length)
+    before = np.arange(n) - np.repeat(first[:-1], length)
+    others = []  # by order: how often other texts of the corpus hold the n-gram that ends here
     for k, g in enumerate(grams):
         seen, at = np.unique(g, return_inverse=True)
         real = seen != 0
@@ -139,29 +146,30 @@ def _score_block(texts: pa.Array, order: int, bits: int, answers: dict[int, byte
             parts.append(_wide(answers[k << 32 | int(b)], cuts[b + 1] - cuts[b]))
         if parts:
             counts[real] = np.concatenate(parts)
-        totals.append(counts[at] if len(g) else counts)
-    n = len(grams[0])
-    score = np.log(np.maximum(totals[0], 1)) + (order - 1) * math.log(BACKOFF)
+        # the place of a text's n-gram among the block's, and which text: no two pairs are equal
+        pair = at.astype(U) * U(max(1, len(length))) + text
+        _, where, own = np.unique(pair, return_inverse=True, return_counts=True)
+        others.append(np.where(g != 0, counts[at] - own[where], 0) if n else counts)
+    steps = np.minimum(order - 1, before)
+    score = np.log(np.maximum(others[0], 1)) + steps * math.log(BACKOFF)
     to_size = np.ones(n, bool)
-    before = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-    score -= np.maximum(0, order - 1 - before) * math.log(BACKOFF)  # a text's first words have no longer n-gram to fall back from
     for k in range(1, order):
-        seen = totals[k] >= LEAST
-        context = np.concatenate([[1], totals[k - 1][:-1]]) if n else totals[k - 1]
-        steps = np.minimum(order - 1, before) - k
-        score = np.where(seen, np.log(np.maximum(totals[k], 1)) - np.log(np.maximum(context, 1)) + steps * math.log(BACKOFF), score)
+        seen = others[k] > 0
+        context = np.concatenate([[1], others[k - 1][:-1]]) if n else others[k - 1]
+        score = np.where(seen, np.log(np.maximum(others[k], 1)) - np.log(np.maximum(context, 1)) + (steps - k) * math.log(BACKOFF), score)
         to_size &= ~seen
     sums = np.concatenate([[0.0], np.cumsum(score)])
     falls = np.concatenate([[0], np.cumsum(to_size)])
-    return np.diff(first), sums[first[1:]] - sums[first[:-1]], falls[first[1:]] - falls[first[:-1]]
+    return length, sums[first[1:]] - sums[first[:-1]], falls[first[1:]] - falls[first[:-1]]
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_words, log_score (natural logarithm, summed over words), mean_log_score.
 
-    A word scores count(n-gram) / count(its context) for the longest n-gram up to `order` that the corpus has at least
-    LEAST times, times BACKOFF for each shorter step; failing all, its count over the corpus's words. Words: runs of
-    bytes other than ASCII white space, A-Z lower-cased. Null and empty texts have no words, score 0 and a null mean; a
+    A text is scored by the n-grams of all others: every count is the whole corpus's less the text's own (with its own, no
+    n-gram would ever be missing). A word scores count(n-gram) / count(its context) for the longest n-gram up to `order`
+    that is left, times BACKOFF for each shorter step; failing all, its count (1 at least) over the corpus's words. Words:
+    runs of bytes other than ASCII white space, A-Z lower-cased. Null and empty texts have no words, score 0 and a null mean; a
     null id stays; repeated rows count and are scored each; an empty table gives an empty result; other columns are not
     read. Counts cover all rows.
     """
@@ -210,12 +218,21 @@ def op5_lm_score(spark, sf_dir: str) -> DataFrame:
 SQL = {
     "op5_lm_score": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i, unnest(list_concat([NULL], w[:-2])) AS v FROM w WHERE len(w) > 0),
-c1 AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-c2 AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
-s AS (SELECT t.doc_id, CASE WHEN c2.n IS NOT NULL THEN ln(c2.n / cv.n)
-                            ELSE ln(cw.n / (SELECT sum(n) FROM c1)) + CASE WHEN t.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
-      FROM t JOIN c1 cw ON cw.w = t.w LEFT JOIN c1 cv ON cv.w = t.v LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w)
+t AS (SELECT doc_id, i, w[i + 1] AS w, CASE WHEN i > 0 THEN w[i] END AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w)),
+o1 AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
+o2 AS (SELECT doc_id, v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL),
+o3 AS (SELECT doc_id, u, v, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL),
+x1 AS (SELECT doc_id, w, sum(n) OVER (PARTITION BY w) - n AS n FROM o1),
+x2 AS (SELECT doc_id, v, w, sum(n) OVER (PARTITION BY v, w) - n AS n FROM o2),
+x3 AS (SELECT doc_id, u, v, w, sum(n) OVER (PARTITION BY u, v, w) - n AS n FROM o3),
+s AS (SELECT t.doc_id, CASE WHEN x3.n > 0 THEN ln(x3.n / cuv.n)
+                            WHEN x2.n > 0 THEN ln(x2.n / cv.n) + CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END
+                            ELSE ln(greatest(x1.n, 1) / (SELECT count(*) FROM t)) + least(t.i, 2) * ln(0.4) END AS s
+      FROM t JOIN x1 ON x1.doc_id = t.doc_id AND x1.w = t.w
+      LEFT JOIN x1 cv ON cv.doc_id = t.doc_id AND cv.w = t.v
+      LEFT JOIN x2 ON x2.doc_id = t.doc_id AND x2.v = t.v AND x2.w = t.w
+      LEFT JOIN x2 cuv ON cuv.doc_id = t.doc_id AND cuv.v = t.u AND cuv.w = t.v
+      LEFT JOIN x3 ON x3.doc_id = t.doc_id AND x3.u = t.u AND x3.v = t.v AND x3.w = t.w)
 SELECT w.doc_id, len(w.w) AS n_words, round(coalesce(sum(s.s), 0), 3) AS log_score, round(avg(s.s), 5) AS mean_log_score
 FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id, len(w.w)"""
 }
