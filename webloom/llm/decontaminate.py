@@ -53,8 +53,25 @@ def _lost(n: int) -> int:
 
 def _spans(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The places at[r]..at[r + 1] - 1 of all rows r, one after the other."""
-    count = at[rows + 1] - at[rows]
-    return np.repeat(at[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    first = at[rows]
+    count = at[rows + 1] - first
+    ends = count.cumsum()
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; for short arrays faster than np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _held(x: np.ndarray, among: np.ndarray) -> float:
+    """The share of `x` that sorted `among` holds."""
+    if not len(among):
+        return 0.0
+    at = among.searchsorted(x)
+    at[at == len(among)] = 0
+    return float((among[at] == x).mean())
 
 
 @dataclass
@@ -147,19 +164,20 @@ class Index:
 
         The blocks' bounds come first; postings are read in those blocks only whose bound reaches 1.
         """
+        blocks = -(-len(self.items) // BLOCK)
         at = _spans(self.bound_at, terms)
-        blocks, place = np.unique(self.bound_block[at], return_inverse=True)
-        blocks = blocks[np.bincount(place, self.bound[at], len(blocks)) >= 1 - 1e-9]
-        if not len(blocks):
+        open_blocks = np.flatnonzero(np.bincount(self.bound_block[at], self.bound[at], blocks) >= 1 - 1e-9)
+        if not len(open_blocks):
             return np.zeros(0, "i8"), np.zeros(0)
+        rank = np.full(blocks, -1)
+        rank[open_blocks] = np.arange(len(open_blocks))
         at = _spans(self.term_at, terms)
-        block = self.posting_item[at] // BLOCK
-        place = np.minimum(np.searchsorted(blocks, block), len(blocks) - 1)
-        at = at[blocks[place] == block]
-        items, place = np.unique(self.posting_item[at], return_inverse=True)
-        score = np.bincount(place, self.posting[at], len(items))
-        found = score >= 1 - 1e-9
-        return items[found], score[found]
+        item = self.posting_item[at]
+        place = rank[item // BLOCK]
+        at, item, place = (x[place >= 0] for x in (at, item, place))
+        score = np.bincount(place * BLOCK + item % BLOCK, self.posting[at], len(open_blocks) * BLOCK)
+        found = np.flatnonzero(score >= 1 - 1e-9)
+        return open_blocks[found // BLOCK] * BLOCK + found % BLOCK, score[found]
 
     def _passages(self, first: np.ndarray, known: np.ndarray, place: np.ndarray):
         """(text, begin, end) of the passages that may reach some item's threshold.
@@ -206,7 +224,7 @@ class Index:
             best_of: dict[int, dict[int, float]] = {}
             for d, begin, end in self._passages(first, known, place):
                 best = best_of.setdefault(d, {})
-                terms = np.unique(place[begin:end][known[begin:end]])
+                terms = _distinct(place[begin:end][known[begin:end]])
                 for n, score in zip(*self.search(terms), strict=True):
                     best[n] = max(best.get(n, 0.0), score)
             for d, best in best_of.items():
@@ -215,8 +233,8 @@ class Index:
                 for n in sorted(best):
                     item = self.items[n]
                     if item.k not in grams:
-                        grams[item.k] = _grams(word[a:b], item.k) if b - a >= item.k else np.zeros(0, np.uint64)
-                    q, r = (np.isin(x, grams[item.k]).mean() for x in (item.question, item.answer))
+                        grams[item.k] = np.sort(_grams(word[a:b], item.k)) if b - a >= item.k else np.zeros(0, np.uint64)
+                    q, r = (_held(x, grams[item.k]) for x in (item.question, item.answer))
                     if q >= OVERLAP and r >= OVERLAP:
                         yield row + int(d), item.id, best[n] * self.floors[n], float(q), float(r)
 
