@@ -48,11 +48,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, writing each stage's rows to the shared folder before the next reads them."""
+    """Applies STAGES to documents, writing each stage's rows to the shared folder before the next reads them.
+
+    A stage's rows are deleted when the next stage has written its own; the last stage's are what is returned. The folder's
+    name is drawn anew for each run, so that runs side by side don't meet.
+    """
     docs = table(spark, sf_dir, "documents")
     place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
