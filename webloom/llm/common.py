@@ -49,23 +49,26 @@ def shuffle_width(spark: SparkSession) -> int:
 def merge_copies(rows: DataFrame, keys: list[str], first: str, fan_in: int = 8) -> DataFrame:
     """Adds `keep` (smallest `first` of the rows equal in `keys`) and `group_size` to every row of `rows`.
 
-    `rows` must be checkpointed and carry an int column `run`. Each run starts as its own table of keys; in every
-    round `fan_in` neighbouring runs are merged into one (aggregated before they are shuffled), until one is left.
+    `rows` must be checkpointed and carry an int column `run`; the first of `keys` is a binary digest. Each input
+    partition combines its rows into a run, sorted by digest. In every round `fan_in` neighbouring runs (three binomial
+    steps at once) are sent to where they meet and merged in order of their digests; only what is equal in all of `keys`
+    merges, and the smallest `first` is retained. A run lies in lanes, ranges of the digest, so a merge has as many tasks
+    as lanes even where one run is left, and its pieces in order of lane are the sorted run.
     The result then goes back down the same tree, so a key that holds a third of all rows never meets in one task:
     at most `fan_in` rows a key in each merge, and the rows of one run in the last join.
     """
     runs = 1 + (rows.agg(F.max("run")).first()[0] or 0)
-    level, levels = rows.groupBy(*keys, "run").agg(F.min(first).alias("keep"), F.count(F.lit(1)).alias("group_size")), []
+    at, lane = free_name(rows, "lane"), _lane(F.col(keys[0]), shuffle_width(rows.sparkSession))
+    order = ["run", at, *keys]
+    level = rows.withColumn(at, lane).groupBy(*order).agg(F.min(first).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    levels = []
     while True:
-        levels.append(level)
+        levels.append(level.drop(at))
         if runs <= 1:
             break
         runs = math.ceil(runs / fan_in)
-        level = (
-            level.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
-            .groupBy(*keys, "run")
-            .agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
-        )
+        met = level.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")).repartition("run", at).sortWithinPartitions(*order)
+        level = met.groupBy(*order).agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
     down = levels.pop()
     while levels:
         up = levels.pop().select(*keys, F.col("run").alias("own"), F.expr(f"cast(run div {fan_in} as int)").alias("run"))
@@ -73,6 +76,12 @@ def merge_copies(rows: DataFrame, keys: list[str], first: str, fan_in: int = 8)
     return rows.join(down, [*keys, "run"])
 
 
+def _lane(digest: Column, lanes: int) -> Column:
+    """Which of `lanes` equal ranges a digest falls into, by its first four bytes."""
+    head = F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long")
+    return F.floor(head * lanes / 2**32).cast("int")
+
+
 def run_of(spark: SparkSession, fan_in: int = 8) -> Column:
     """The run that an input partition feeds; as many as the shuffle is wide, rounded up to a power of the fan-in."""
     width = fan_in ** max(1, math.ceil(math.log(shuffle_width(spark), fan_in)))

@@ -16,7 +16,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of ASCII white space became one space. Every input partition is a
-    run of (digest, smallest id); runs are merged in rounds (see merge_copies), each level keeping the smallest id. A
+    run of (digest, smallest id), sorted by digest; runs meet and are merged in rounds (see merge_copies). A
     match is verified by more than its SHA-256: the byte length and an independent 64-bit hash belong to the key.
 
     Null text counts as empty. Among rows of one text, the smallest id stays; rows without an id come last; of
