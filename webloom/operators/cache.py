@@ -49,10 +49,14 @@ def lookup_fresh(cache: DataFrame, tabs: DataFrame, now: Column) -> DataFrame:
     return get(cache.where(fresh_for_lookup(F.col("expires_at"), now)), tabs, now)
 
 
-def stats(cache: DataFrame, now: Column) -> DataFrame:
+def stats(cache: DataFrame, now: Column, stored: DataFrame | None = None, md_col: str = "markdown") -> DataFrame:
+    """entries, fresh, expired, oldest, newest; with the stored tabs also md_bytes, of all of them, cached or not."""
     fresh = F.count_if(fresh_for_stats(F.col("expires_at"), now))
     n = F.count(F.lit(1))
-    return cache.agg(n.alias("entries"), fresh.alias("fresh"), (n - fresh).alias("expired"), F.min("fetched_at").alias("oldest"), F.max("fetched_at").alias("newest"))
+    out = cache.agg(n.alias("entries"), fresh.alias("fresh"), (n - fresh).alias("expired"), F.min("fetched_at").alias("oldest"), F.max("fetched_at").alias("newest"))
+    if stored is None:
+        return out
+    return out.crossJoin(stored.agg(F.coalesce(F.sum(F.octet_length(md_col)), F.lit(0)).cast("long").alias("md_bytes")))  # one row each
 
 
 def clear(cache: DataFrame, tabs: DataFrame, everything: bool) -> DataFrame:
@@ -62,6 +66,11 @@ def clear(cache: DataFrame, tabs: DataFrame, everything: bool) -> DataFrame:
     return n.crossJoin(t)  # one row each
 
 
+def cleared(cache: DataFrame, tabs: DataFrame, everything: bool) -> tuple[DataFrame, DataFrame]:
+    """Cache and tabs after a clear, for the caller to write: no cache rows, and tabs only if not everything goes."""
+    return cache.limit(0), tabs.limit(0) if everything else tabs
+
+
 def gating(requests: DataFrame) -> DataFrame:
     """Adds reads_cache and writes_cache: raw requests do neither, no_cache ones still write."""
     return requests.withColumn("reads_cache", ~(F.col("no_cache") | F.col("raw"))).withColumn("writes_cache", ~F.col("raw"))

@@ -100,10 +100,18 @@ def _rendered(pages: DataFrame, html_col: str, tier: int, source: str) -> DataFr
     return done.select("url", F.lit(tier).alias("tier"), F.lit(source).alias("source"), "markdown", "title")
 
 
-def quiet_at(log: DataFrame, gap_ms: int = 1500) -> DataFrame:
-    """(page, quiet_ms): when a page was first silent for `gap_ms` after an event; log: (page, at_ms)."""
+def quiet_at(log: DataFrame, gap_ms: int = 1500, cap_ms: int | None = None) -> DataFrame:
+    """(page, quiet_ms): when a page was first silent for `gap_ms` after an event; log: (page, at_ms).
+
+    With `cap_ms` a page is taken as it is so long after its first event at the latest (a render: 12 s), and `capped` says so.
+    """
     from pyspark.sql import Window
 
-    following = F.lead("at_ms").over(Window.partitionBy("page").orderBy("at_ms"))
-    gaps = log.withColumn("next", following).where((F.col("next") - F.col("at_ms") >= gap_ms) | F.col("next").isNull())
-    return gaps.groupBy("page").agg((F.min("at_ms") + gap_ms).alias("quiet_ms"))
+    by_page = Window.partitionBy("page").orderBy("at_ms")
+    gaps = log.withColumn("next", F.lead("at_ms").over(by_page))
+    silent = (F.col("next") - F.col("at_ms") >= gap_ms) | F.col("next").isNull()
+    quiet = F.min(F.when(silent, F.col("at_ms"))) + gap_ms
+    if cap_ms is None:
+        return gaps.groupBy("page").agg(quiet.alias("quiet_ms"))
+    both = gaps.groupBy("page").agg(quiet.alias("quiet"), (F.min("at_ms") + cap_ms).alias("cap"))
+    return both.select("page", F.least("quiet", "cap").alias("quiet_ms"), (F.col("quiet") > F.col("cap")).alias("capped"))

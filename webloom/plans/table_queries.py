@@ -134,7 +134,7 @@ R.add("cache_ttl", lambda s, d: V.tabs(s, d).select("source").distinct().select(
 _GET = "SELECT c.url, c.tab_id, c.source, coalesce(t.canonical_url, t.url) AS canonical_url, c.expires_at, (now - c.fetched_at) // 1000 AS age_s FROM cache c JOIN tabs t ON t.id = c.tab_id, now"
 R.add("cache_get", lambda s, d: C.get(*_cache(s, d)), _cache_sql(_GET))
 R.add("cache_lookup_fresh", lambda s, d: C.lookup_fresh(*_cache(s, d)), _cache_sql(_GET + " WHERE expires_at >= now"))
-R.add("cache_stats", lambda s, d: (lambda c, _, now: C.stats(c, now))(*_cache(s, d)), _cache_sql("SELECT count(*) AS entries, count(*) FILTER (WHERE expires_at > now) AS fresh, count(*) FILTER (WHERE expires_at <= now) AS expired, min(fetched_at) AS oldest, max(fetched_at) AS newest FROM cache, now"))
+R.add("cache_stats", lambda s, d: (lambda c, _, now: C.stats(c, now, V.page_md(s, d), "md"))(*_cache(s, d)), _cache_sql("SELECT count(*) AS entries, count(*) FILTER (WHERE expires_at > now) AS fresh, count(*) FILTER (WHERE expires_at <= now) AS expired, min(fetched_at) AS oldest, max(fetched_at) AS newest, (SELECT sum(strlen(md))::BIGINT FROM page_md) AS md_bytes FROM cache, now").replace("WITH ", f"WITH page_md AS ({V.SQL['page_md']}), ", 1))
 R.add("cache_clear", lambda s, d: (lambda c, t, _: C.clear(c, t, True))(*_cache(s, d)), _cache_sql("SELECT (SELECT count(*) FROM cache) AS cache_rows, (SELECT count(*) FROM tabs) AS tab_rows"))
 R.add(
     "cache_gating",
@@ -198,7 +198,9 @@ R.add(
     lambda s, d: W.decide(V.candidates(s, d), "on"),
     _w("SELECT url, tier, source, markdown, false AS banner FROM c WHERE tier = 7 AND outcome <> 'failed'"),
 )
-R.add("waterfall_banner", lambda s, d: W.with_banner(W.decide(V.candidates(s, d), "off")).select("url", F.md5("markdown").alias("md5"), "banner"), None)
+R.add("waterfall_banner", lambda s, d: W.with_banner(W.decide(V.candidates(s, d), "off")).select("url", F.md5("markdown").alias("md5"), "banner"), f"""SELECT url, banner, md5(CASE WHEN banner THEN '> [!warning] **webloom: site rejected our automated request**' || chr(10) || '>' || chr(10)
+    || '> The body below is the rejection page of ' || {url_host('url')} || ', not real content.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || markdown) AS md5
+    FROM ({_w(_DECIDE).replace(V.SQL['candidates'], f"SELECT * FROM ({V.SQL['candidates']}) WHERE tier <> 7", 1)})""")
 
 # evaluation
 _EVAL = f"e AS (SELECT *, CASE WHEN rc <> 0 THEN '❌ err(' || rc || ')' WHEN {eval_pass('body')} THEN '✅' ELSE '⚠️ stub' END AS result, strlen(body) AS bytes FROM eval_runs)"
@@ -406,8 +408,16 @@ R.add("raw_fallback", lambda s, d: H.with_raw_fallback(V.read(s, d, "pages")).se
 R.add("parse_html", lambda s, d: T.parse_html(V.captures(s, d).drop("url", "body").join(V.read(s, d, "pages"), "page_id")))
 R.add("truncate_utf8", lambda s, d: V.page_md(s, d).select("page_id", Z.truncated(F.col("md"), 300).alias("md")))
 R.add("finalize", lambda s, d: _host_md(s, d).select("host", Z.finalize(F.col("md"), True, 2000).alias("md")))
-R.add("hn_thread", lambda s, d: V.read(s, d, "documents").select("doc_id", A.hn_thread(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array(F.struct(F.col("lang").alias("author"), F.col("text").alias("text"))).alias("children")))).alias("md")))
-R.add("reddit_thread", lambda s, d: V.read(s, d, "documents").select("doc_id", A.reddit_thread(F.concat(F.lit('[{"data":{"children":[{"data":{"title":"t"}}]}},{"data":{"children":[{"kind":"t1","data":'), F.to_json(F.struct(F.col("text").alias("body"))), F.lit("}]}}]"))).alias("md")))
+# lines of a comment, each below its author
+_SAID = "array_to_string(list_transform(string_split(regexp_replace(t, '\\n$', ''), chr(10)), lambda x: {0} || x || chr(10)), '')"
+R.add("hn_thread", lambda s, d: V.read(s, d, "documents").select("doc_id", A.hn_thread(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array(F.struct(F.col("lang").alias("author"), F.col("text").alias("text"))).alias("children")))).alias("md")),
+    f"""SELECT doc_id, '# ' || source || chr(10) || chr(10) || '_HN #' || doc_id || ' · 0↑ · by ?_' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Comments' || chr(10) || chr(10)
+    || CASE WHEN t <> '' THEN {_SAID.format("'**' || lang || '**: '")} || chr(10) ELSE '' END AS md FROM (SELECT *, replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM documents)""",
+)
+R.add("reddit_thread", lambda s, d: V.read(s, d, "documents").select("doc_id", A.reddit_thread(F.concat(F.lit('[{"data":{"children":[{"data":{"title":"t"}}]}},{"data":{"children":[{"kind":"t1","data":'), F.to_json(F.struct(F.col("text").alias("body"))), F.lit("}]}}]"))).alias("md")),
+    f"""SELECT doc_id, '# t' || chr(10) || chr(10) || '_r/? · 0↑ · 0c · u/?_' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Comments' || chr(10) || chr(10)
+    || CASE WHEN t <> '' THEN {_SAID.format("'**u/?** (0↑): '")} ELSE '' END || chr(10) AS md FROM (SELECT *, text AS t FROM documents)""",
+)
 R.add(
     "decode_charset",
     lambda s, d: Z.decoded(V.read(s, d, "pages").select("page_id", F.concat(F.lit("text/html; charset="), F.when(F.col("page_id") % 3 == 0, "ISO-8859-1").otherwise("utf-8")).alias("content_type"), F.when(F.col("page_id") % 3 == 0, F.encode(F.translate("url", "é", "e"), "ISO-8859-1")).otherwise(F.encode("html", "UTF-8")).alias("body"))).select("page_id", F.md5("text").alias("md5"), "charset"),
@@ -428,7 +438,22 @@ R.add(
     lambda s, d: N.host_gaps(_requests(s, d)),
     f"""WITH r AS ({_REQ}) SELECT host, count(*) AS requests, list_reduce(list(status::BIGINT ORDER BY ts, id), lambda g, x: CASE WHEN x = 429 THEN least(g * 2, 30000) WHEN x = 200 THEN greatest(g // 2, 250) ELSE g END, 250::BIGINT) AS gap_ms FROM r GROUP BY host""",
 )
-R.add("host_schedule", lambda s, d: N.host_schedule(_requests(s, d)))
+R.add(
+    "host_schedule",
+    lambda s, d: N.host_schedule(_requests(s, d)),
+    f"""WITH RECURSIVE r AS ({_REQ}), o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY arrival, id) AS n FROM r),
+    w AS (SELECT host, n, id, arrival AS at_ms, CASE status WHEN 429 THEN 500 ELSE 250 END AS gap FROM o WHERE n = 1
+    UNION ALL SELECT o.host, o.n, o.id, greatest(o.arrival, w.at_ms + w.gap), CASE o.status WHEN 429 THEN least(2 * w.gap, 30000) WHEN 200 THEN greatest(w.gap // 2, 250) ELSE w.gap END
+    FROM w JOIN o ON o.host = w.host AND o.n = w.n + 1) SELECT host, id, at_ms FROM w""",
+)
+R.add(
+    "restart_delays",
+    lambda s, d: N.restart_delays(V.read(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "click").alias("crashed"))),
+    """WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS id, event_type <> 'click' AS crashed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT key, n, id, crashed, 500 AS wait, CASE WHEN crashed THEN 1000 ELSE 500 END AS next FROM o WHERE n = 1
+    UNION ALL SELECT o.key, o.n, o.id, o.crashed, w.next, CASE WHEN o.crashed THEN least(2 * w.next, 30000) ELSE 500 END FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)
+    SELECT key, id, wait::BIGINT AS wait_ms FROM w WHERE crashed""",
+)
 _SESSIONS = "SELECT {0} AS {1}, min(ts) AS start, max(ts) + INTERVAL '{2}' AS \"end\", count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY {0} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY {0} ORDER BY ts, event_id) < INTERVAL '{2}' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY {0}, s"
 R.add("idle_recycle_sessions", lambda s, d: N.idle_sessions(V.read(s, d, "events"), "user_id", "ts", "10 minutes"), _SESSIONS.format("user_id", "user_id", "10 minutes"))
 R.add("quiescence_sessions", lambda s, d: N.idle_sessions(V.read(s, d, "events"), "event_type", "ts", "60 seconds"), _SESSIONS.format("event_type", "event_type", "60 seconds"))
@@ -437,6 +462,11 @@ R.add(
     lambda s, d: T.quiet_at(V.tabs(s, d).select(F.col("url").alias("page"), F.col("opened_at").alias("at_ms")), 3_600_000),
     _cache_sql("SELECT url AS page, min(opened_at) + 3600000 AS quiet_ms FROM (SELECT url, opened_at, lead(opened_at) OVER (PARTITION BY url ORDER BY opened_at) AS nxt FROM tabs) WHERE nxt IS NULL OR nxt - opened_at >= 3600000 GROUP BY url"),
 )
+R.add(
+    "quiet_pages_capped",
+    lambda s, d: T.quiet_at(V.tabs(s, d).select(F.col("url").alias("page"), F.col("opened_at").alias("at_ms")), 86_400_000, 172_800_000),
+    _cache_sql("SELECT page, least(quiet, cap) AS quiet_ms, quiet > cap AS capped FROM (SELECT url AS page, min(opened_at) FILTER (WHERE nxt IS NULL OR nxt - opened_at >= 86400000) + 86400000 AS quiet, min(opened_at) + 172800000 AS cap FROM (SELECT url, opened_at, lead(opened_at) OVER (PARTITION BY url ORDER BY opened_at) AS nxt FROM tabs) GROUP BY url)"),
+)
 R.add(
     "worker_recycling",
     lambda s, d: N.recycled(V.read(s, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"))).groupBy("key", "worker").agg(F.count(F.lit(1)).alias("renders")),

@@ -2,42 +2,127 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 LEAST_MS, MOST_MS = 250, 30_000
 
 
-def next_gap(gap: Column, status: Column) -> Column:
-    """Doubled after 403, 429, 503 or a network error (null), halved after success, else unchanged."""
-    slow = status.isNull() | status.isin(403, 429, 503)
-    return (
-        F.when(slow, F.least(gap * 2, F.lit(MOST_MS).cast("long")))
-        .when(status.between(200, 299), F.greatest(F.floor(gap / 2).cast("long"), F.lit(LEAST_MS).cast("long")))
-        .otherwise(gap)
-    )
-
-
-def host_gaps(requests: DataFrame) -> DataFrame:
-    """(host, requests, gap_ms) after all requests (host, ts, id, status) of a host in order of (ts, id)."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "id", "status")))
-    gap = F.aggregate(F.col("r"), F.lit(LEAST_MS).cast("long"), lambda g, x: next_gap(g, x["status"]))
-    return requests.groupBy("host").agg(ordered.alias("r")).select("host", F.size("r").cast("long").alias("requests"), gap.alias("gap_ms"))
-
-
-def host_schedule(requests: DataFrame) -> DataFrame:
-    """(host, id, at_ms): when each request (host, id, arrival ms, status) may go: the first at once, others a gap after the last."""
-    ordered = F.array_sort(F.collect_list(F.struct("arrival", "id", "status")))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(LEAST_MS).cast("long").alias("gap"), F.array().cast("array<struct<id:long,at_ms:long>>").alias("out"))
-
-    def step(s, x):
-        at = F.greatest(x["arrival"], F.coalesce(s["last"] + s["gap"], x["arrival"]))
-        return F.struct(at.alias("last"), next_gap(s["gap"], x["status"]).alias("gap"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), at.alias("at_ms")))).alias("out"))
-
-    out = F.aggregate(F.col("r"), start, step, lambda s: s["out"])
-    return requests.groupBy("host").agg(ordered.alias("r")).select("host", F.inline(out))
+#: Requests of a host are folded in pieces of a day, so that a busy host is many tasks' work.
+PIECE_MS = 86_400_000
+#: No request yet: earlier than any time, and far enough from the least long to add gaps to.
+NEVER = -(2**62)
+
+
+def ladder() -> list[int]:
+    """Every gap that can follow from the first one: a few dozen."""
+    found = [LEAST_MS]
+    for gap in found:
+        found += [g for g in dict.fromkeys((min(2 * gap, MOST_MS), max(gap // 2, LEAST_MS))) if g not in found]
+    return found
+
+
+def _pieces(requests: DataFrame, at: Column, piece: int) -> DataFrame:
+    """(host, piece, at, id, move): move is 1 where the gap doubles, -1 where it halves, 0 where it stays."""
+    s = F.col("status")
+    move = F.when(s.isNull() | s.isin(403, 429, 503), 1).when(s.between(200, 299), -1).otherwise(0)
+    return requests.select("host", F.floor(at / piece).cast("long").alias("piece"), at.alias("at"), F.col("id").cast("long").alias("id"), move.alias("move"))
+
+
+def _sweep(rows: DataFrame, by: list[str], order: list[str], fold, schema: T.StructType) -> DataFrame:
+    """Runs `fold` (an iterator of rows to an iterator of dicts) over rows that share a task by `by`, sorted by `order`."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        out = []
+        for row in fold(dict(zip(b.schema.names, r)) for b in batches for r in zip(*b.to_pydict().values())):
+            out.append(row)
+            if len(out) == 10_000:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.repartition(*by).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _effects(rows):
+    """What a piece does to its host's state, whatever that is: for each gap on the ladder that it may begin with, the gap
+    after it, and the time of its last request as max(floor, time of the request before the piece + shift)."""
+    gaps = np.array(ladder(), dtype=np.int64)
+    place = {g: i for i, g in enumerate(gaps.tolist())}
+    moves = {m: np.array([place[g] for g in to]) for m, to in ((1, np.minimum(2 * gaps, MOST_MS)), (-1, np.maximum(gaps // 2, LEAST_MS)))}
+    for (host, piece), group in groupby(rows, key=lambda r: (r["host"], r["piece"])):
+        state, floors, shifts, n = np.arange(len(gaps)), np.full(len(gaps), NEVER), np.zeros(len(gaps), dtype=np.int64), 0
+        for r in group:
+            floors, shifts, n = np.maximum(floors + gaps[state], NEVER if r["at"] is None else r["at"]), shifts + gaps[state], n + 1
+            state = moves[r["move"]][state] if r["move"] else state
+        yield {"host": host, "piece": piece, "requests": n, "ends": gaps[state].tolist(), "floors": floors.tolist(), "shifts": shifts.tolist()}
+
+
+def _starts(rows):
+    """Each piece's state before it and the gap after it, from the effects of its host's pieces in order."""
+    place = {g: i for i, g in enumerate(ladder())}
+    for host, group in groupby(rows, key=lambda r: r["host"]):
+        gap, last, n = LEAST_MS, NEVER, 0
+        for r in group:
+            i, n = place[gap], n + r["requests"]
+            yield {"host": host, "piece": r["piece"], "at": last, "gap": gap, "after": r["ends"][i], "requests": n}
+            gap, last = r["ends"][i], max(r["floors"][i], last + r["shifts"][i])
+
+
+def _states(pieces: DataFrame) -> DataFrame:
+    host, longs = pieces.schema["host"], T.ArrayType(T.LongType())
+    long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    effects = T.StructType([host, *long("piece", "requests"), *[T.StructField(n, longs) for n in ("ends", "floors", "shifts")]])
+    starts = T.StructType([host, *long("piece", "at", "gap", "after", "requests")])
+    done = _sweep(pieces, ["host", "piece"], ["host", "piece", "at", "id"], _effects, effects)
+    return _sweep(done, ["host"], ["host", "piece"], _starts, starts)
+
+
+def host_gaps(requests: DataFrame, piece_ms: int = PIECE_MS) -> DataFrame:
+    """(host, requests, gap_ms) after all requests (host, ts, id, status) of a host in order of (ts, id).
+
+    The fold is cut into pieces of `piece_ms`: a piece's effect on any gap is known without the pieces before it, so only
+    one short row a piece, never a host's requests, meets in one task. Requests without a time come first.
+    """
+    pieces = _pieces(requests, F.unix_micros(F.col("ts").cast("timestamp")), 1000 * piece_ms)
+    last = F.max_by(F.struct("requests", "after"), F.coalesce("piece", F.lit(NEVER)))
+    return _states(pieces).groupBy("host").agg(last.alias("x")).select("host", "x.requests", F.col("x.after").alias("gap_ms"))
+
+
+def _schedule(rows):
+    for _, group in groupby(rows, key=lambda r: (r["host"], r["piece"])):
+        for r in group:
+            if r["gap"] is not None:  # the state before the piece
+                gap, last = r["gap"], r["at"]
+                continue
+            last = max(r["at"], last + gap)
+            gap = min(2 * gap, MOST_MS) if r["move"] > 0 else max(gap // 2, LEAST_MS) if r["move"] < 0 else gap
+            yield {"host": r["host"], "id": r["id"], "at_ms": last}
+
+
+def host_schedule(requests: DataFrame, piece_ms: int = PIECE_MS) -> DataFrame:
+    """(host, id, at_ms): when each request (host, id, arrival ms, status) may go: the first at once, others a gap after the last.
+
+    In pieces as host_gaps; a second sweep gives each piece its times from the state before it. Requests without an
+    arrival are never scheduled.
+    """
+    pieces = _pieces(requests.where("arrival is not null"), F.col("arrival").cast("long"), piece_ms)
+    none = F.lit(None).cast("long")
+    marks = _states(pieces).select("host", "piece", "at", none.alias("id"), F.lit(0).alias("move"), "gap")
+    # a piece's state sorts before its requests
+    rows = pieces.withColumn("gap", none).unionByName(marks).withColumn("first", F.isnull("gap"))
+    out = T.StructType([pieces.schema["host"], T.StructField("id", T.LongType()), T.StructField("at_ms", T.LongType())])
+    return _sweep(rows, ["host", "piece"], ["host", "piece", "first", "at", "id"], _schedule, out)
 
 
 def stream_gaps(requests: DataFrame) -> DataFrame:
@@ -69,6 +154,18 @@ def recycled(renders: DataFrame, every: int = 200) -> DataFrame:
     return renders.withColumn("worker", F.ceil(n / every).cast("long"))
 
 
+def restart_delays(exits: DataFrame, first_ms: int = 500, most_ms: int = 30_000) -> DataFrame:
+    """Crashes of workers (key, at, id, crashed) with the wait before the restart: doubled from crash to crash, anew after a clean exit."""
+    from pyspark.sql import Window
+
+    by_key = Window.partitionBy("key").orderBy("at", "id")
+    spells = exits.withColumn("spell", F.count_if(~F.col("crashed")).over(by_key)).where("crashed")
+    n = F.row_number().over(Window.partitionBy("key", "spell").orderBy("at", "id"))
+    most = (most_ms // first_ms).bit_length()  # doublings that reach the cap
+    wait = F.least(F.lit(first_ms) * F.pow(F.lit(2), F.least(n - 1, F.lit(most))).cast("long"), F.lit(most_ms))
+    return spells.select("key", "id", wait.cast("long").alias("wait_ms"))
+
+
 def stream_cache(fetches: DataFrame, watermark: str = "1 day") -> DataFrame:
     """One cache entry per URL of a stream (url, at, ...) within the watermark; later ones are dropped as already cached."""
     return fetches.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["url"])
