@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, exact_dedup, html_extract, licenses, lm, near, packing, quality, sharding, toxicity
+from webloom.llm import decontaminate, exact_dedup, fim, html_extract, licenses, lm, near, packing, quality, sharding, toxicity
 
-MODULES = [html_extract, packing, decontaminate, sharding, lm, exact_dedup, toxicity, licenses, near, quality]
+MODULES = [html_extract, packing, decontaminate, sharding, lm, exact_dedup, toxicity, licenses, near, quality, fim]
 
 
 def queries() -> dict:
