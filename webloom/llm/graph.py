@@ -32,17 +32,18 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def looked_up(rows: DataFrame, n: int, key: str, values: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """rows (checkpointed, n of them) joined to values, which has each `key` once. Keys of many rows take their value from a
-    broadcast, so that they don't meet in one task; there are at most n / hot_rows of them, and never more than HOT_KEYS."""
+def looked_up(rows: DataFrame, n: int, key: str, values: DataFrame, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """rows (checkpointed, n of them) joined ("inner" or "left") to values, which has each `key` at most once. Keys of many rows
+    take their value from a broadcast, so that they don't meet in one task; there are at most n / hot_rows of them, and never
+    more than HOT_KEYS."""
     least = max(hot_rows or HOT_ROWS, math.ceil(n / HOT_KEYS))
     if n <= least:
-        return rows.join(values, key)
+        return rows.join(values, key, how)
     hot = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > least).select(key))
     if not hot.limit(1).count():
-        return rows.join(values, key)
-    few = values.join(F.broadcast(hot), key, "left_semi")
-    rest = rows.join(F.broadcast(hot), key, "left_anti").join(values, key)
+        return rows.join(values, key, how)
+    few = hot.join(values, key, how)
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(values, key, how)
     return rest.unionByName(rows.join(F.broadcast(few), key).select(*rest.columns))
 
 
@@ -67,9 +68,9 @@ def components(edges: DataFrame, forest_rows: int = FOREST_ROWS, hot_rows: int |
     labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("comp")))
     nodes = labels.count()
     while True:
-        near = looked_up(both, m, "b", labels.select(F.col("id").alias("b"), "comp"), hot_rows).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        near = looked_up(both, m, "b", labels.select(F.col("id").alias("b"), "comp"), hot_rows=hot_rows).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         step = checkpointed(labels.join(near, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("old")))
-        step = looked_up(step, nodes, "next", labels.select(F.col("id").alias("next"), F.col("comp").alias("further")), hot_rows)
+        step = looked_up(step, nodes, "next", labels.select(F.col("id").alias("next"), F.col("comp").alias("further")), hot_rows=hot_rows)
         step = checkpointed(step.select("id", F.least("next", "further").alias("comp"), "old"))
         labels = step.select("id", "comp")
         if not step.where("comp <> old").limit(1).count():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, exact_dedup, fim, html_extract, licenses, lm, near, packing, quality, sharding, simhash, toxicity
+from webloom.llm import decontaminate, exact_dedup, fim, html_extract, licenses, lm, near, packing, quality, sharding, simhash, spelling, toxicity
 
-MODULES = [html_extract, packing, decontaminate, sharding, lm, exact_dedup, toxicity, licenses, near, quality, simhash, fim]
+MODULES = [html_extract, packing, decontaminate, sharding, lm, exact_dedup, toxicity, licenses, near, quality, spelling, simhash, fim]
 
 
 def queries() -> dict:
