@@ -30,7 +30,7 @@ def test_calls(engine):
     assert [tuple(r) for r in engine.read_tab("t3").collect()] == [("t3", 1, 1, "")] == [tuple(r) for r in engine.read_tab("t3", section="x").collect()]
     assert engine.search(r"\p{L}+ World", "regex").first().regex_fallback_error is None
     assert engine.search("(?P<x>hello)", "regex").count() == 0 and engine.search("#+ (", "regex").count() == 0
-    assert tuple(engine.cache_stats().first()) == (2, 1, 1, 2_000, 3_000)
+    assert tuple(engine.cache_stats().first())[:5] == (2, 1, 1, 2_000, 3_000) and engine.cache_stats().first().md_bytes == 53
     assert engine.cache_get("https://x.y/2").first().canonical_url == "https://c"
     assert [tuple(r) for r in engine.sessions().select("id", "note", "tabs", "ready").collect()] == [("a", "n", 2, 2), ("c", None, 0, 0), ("b", None, 1, 0)]
 

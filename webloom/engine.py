@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import cache, registry, search, waterfall
 from webloom.operators.finalize import finalize
+from webloom.operators.textindex import TextIndex
 
 
 class EngineError(Exception):
@@ -35,8 +36,9 @@ class FetchOptions:
 class Engine:
     """Over tables of agents, tabs (with their markdown) and the URL cache; `now` is given, never read from a clock."""
 
-    def __init__(self, tabs: DataFrame, agents: DataFrame, entries: DataFrame, now_ms: int):
-        self.tabs, self.agents, self.entries, self.now = tabs, agents, entries, F.lit(now_ms)
+    def __init__(self, tabs: DataFrame, agents: DataFrame, entries: DataFrame, now_ms: int, index: TextIndex | None = None):
+        """index: of the tabs' markdown by their id; searches read what it leaves instead of every tab."""
+        self.tabs, self.agents, self.entries, self.now, self.index = tabs, agents, entries, F.lit(now_ms), index
 
     def fetch(self, candidates: DataFrame, options: FetchOptions | None = None) -> DataFrame:
         """(url, tier, source, markdown, banner, cached) for the URLs of `candidates`; those that are fresh in the cache are answered
@@ -60,7 +62,8 @@ class Engine:
     def search(self, query: str, mode: str = "plain", limit: int = 50, before: int = 0, after: int = 0) -> DataFrame:
         if mode not in ("plain", "regex", "fuzzy"):
             raise EngineError("search_failed", f"no such mode: {mode}")
-        return search.search(search.lines(self.tabs, "id", "markdown"), query, mode, limit, before, after)
+        tabs = self.index.narrowed(self.tabs, "id", query, mode) if self.index else self.tabs
+        return search.search_texts(tabs, "id", "markdown", query, mode, limit, before, after)
 
     def read_tab(self, tab_id, lines: tuple[int, int] | None = None, section: str | None = None) -> DataFrame:
         own = self.tabs.where(F.col("id") == tab_id)
@@ -74,7 +77,7 @@ class Engine:
         return search.read_section(own, "id", "markdown", section).unionByName(whole.where("content = ''"))
 
     def cache_stats(self) -> DataFrame:
-        return cache.stats(self.entries, self.now)
+        return cache.stats(self.entries, self.now, self.tabs, "markdown")
 
     def cache_clear(self, everything: bool = False) -> DataFrame:
         """What was removed; the engine's tables are empty afterwards."""

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.predicates import ascii_lower
+from webloom.functions.predicates import LOWER, UPPER, ascii_lower
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,21 +28,123 @@ def regex_error(query: str) -> str | None:
     return None
 
 
+def lowered(text: str) -> str:
+    """ASCII letters only, as ascii_lower does."""
+    return text.translate({ord(a): b for a, b in zip(UPPER, LOWER, strict=True)})
+
+
+def literals(query: str, mode: str = "plain") -> list[str] | None:
+    """Texts that each hit's line holds, ASCII case aside; None if nothing is known of it. Of a pattern these are the runs of plain
+    characters outside groups, classes and choices; a pattern with syntax beyond those is not looked into."""
+    if mode == "fuzzy":
+        return None
+    if mode == "plain" or regex_error(query) is not None:
+        return [query]
+    found, run, i, n = [], "", 0, len(query)
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", query)
+    if flags:
+        if set(flags[1]) - set("ims"):
+            return None
+        i = flags.end()
+    if re.search(r"\\[QEcxupPNkvHhRXG0-9]|\(\?[a-zA-Z-]+[:)]|&&|\[\^?\]|\[[^\]]*\[", query[i:]):
+        return None
+    depth = 0
+    while i < n:
+        c, i = query[i], i + 1
+        literal = ""
+        if c == "\\":
+            c, i = query[i], i + 1
+            literal = "" if c.isalnum() else c
+        elif c == "[":
+            while query[i] != "]":
+                i += 1 + (query[i] == "\\")
+            i += 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|":
+            if not depth:
+                return None
+        elif c not in ".^$*+?{":
+            literal = c
+        if c == "{" and not literal:
+            i = query.index("}", i) + 1
+        if literal and not depth:
+            if query[i : i + 1] in ("*", "?", "{"):
+                literal = ""  # may be absent
+            else:
+                run += literal
+                if query[i : i + 1] != "+":
+                    continue
+        found, run = [*found, run], ""
+    return [x for x in [*found, run] if x] or None
+
+
+def edits(word: str) -> int:
+    """How many edits from a query's word a line's word may be."""
+    return 1 if len(word) < 6 else 2
+
+
+def words(text: Column) -> Column:
+    return F.split(ascii_lower(text), r"[^\p{L}\p{N}]+")
+
+
+def query_words(query: str) -> list[str]:
+    """A query's words, split as lines are."""
+    return [w for w in re.split(r"[\W_]+", lowered(query)) if w]
+
+
+def near(word: Column, asked: str) -> Column:
+    return (word != "") & (F.abs(F.char_length(word) - len(asked)) <= edits(asked)) & (F.levenshtein(word, F.lit(asked), edits(asked)) >= 0)
+
+
+def _in_a_row(held: Column, asked: list[str]) -> Column:
+    """Whether words near to those asked for follow each other: one pass, in which bit j of the state says that the last words are
+    near to the first j + 1 asked for."""
+    if len(asked) > 60:
+        raise ValueError("a fuzzy query may have 60 words")
+    number = lambda x: F.lit(x).cast("long")
+    found, last = number(1 << 62), len(asked) - 1
+
+    def step(state: Column, word: Column) -> Column:
+        fits = reduce(Column.bitwiseOR, [F.when(near(word, w), number(1 << j)).otherwise(number(0)) for j, w in enumerate(asked)])
+        seen = F.when(state.bitwiseAND(number((1 << 62) | (1 << last))) != 0, found).otherwise(number(0))
+        return F.when(word == "", state).otherwise(F.shiftleft(state.bitwiseAND(number((1 << last) - 1)), 1).bitwiseOR(number(1)).bitwiseAND(fits).bitwiseOR(seen))
+
+    return F.aggregate(held, number(0), step, lambda state: state.bitwiseAND(number((1 << 62) | (1 << last))) != 0)
+
+
 def matcher(line: Column, query: str, mode: str = "plain") -> Column:
     """plain: substring, case-sensitive only if the query has an ASCII capital; regex: Java syntax, an invalid one is
-    taken literally; fuzzy: a word within one edit of the query (two from six letters on)."""
+    taken literally; fuzzy: words in a row, each within one edit of the query's (two from six letters on); a query without
+    a word matches nothing."""
     if mode == "regex":
         return line.rlike(query) if regex_error(query) is None else line.contains(query)
     if mode == "fuzzy":
-        most = 1 if len(query) < 6 else 2
-        words = F.split(ascii_lower(line), r"[^\p{L}\p{N}]+")
-        near = lambda w: (F.abs(F.char_length(w) - len(query)) <= most) & (F.levenshtein(w, F.lit(query.lower()), most) >= 0)
-        return F.exists(words, near)
+        asked = query_words(query)
+        if len(asked) < 2:
+            return F.exists(words(line), lambda w: near(w, asked[0])) if asked else F.lit(False)
+        return _in_a_row(words(line), asked)
     if re.search("[A-Z]", query):
         return line.contains(query)
     return ascii_lower(line).contains(query)
 
 
+def narrowed(docs: DataFrame, text_col: str, query: str, mode: str = "plain") -> DataFrame:
+    """The rows whose text can hold a hit, by a pass over whole texts that splits none into lines."""
+    held = literals(query, mode) or []
+    if mode == "plain" and re.search("[A-Z]", query):
+        text = F.col(text_col)
+    else:
+        # lower() changes ASCII letters as ascii_lower() does, and others too: only ASCII is asked for
+        text, held = F.lower(F.col(text_col)), [x for literal in held for x in re.findall("[\x00-\x7f]+", lowered(literal))]
+    return docs.where(reduce(Column.__and__, [text.contains(x) for x in held])) if held else docs
+
+
+def search_texts(docs: DataFrame, id_col: str, text_col: str, query: str, mode: str = "plain", limit: int | None = 50, before: int = 0, after: int = 0) -> DataFrame:
+    """search() over the lines of the texts that can hold a hit."""
+    return search(lines(narrowed(docs, text_col, query, mode), id_col, text_col), query, mode, limit, before, after)
+
+
 def search(rows: DataFrame, query: str, mode: str = "plain", limit: int | None = 50, before: int = 0, after: int = 0) -> DataFrame:
     """Matching lines of `lines(...)` in order, with the lines around them; `limit` is the caller's page size.
 

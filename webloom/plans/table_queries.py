@@ -27,11 +27,12 @@ R = Registry()
 _LINES = "lines AS (SELECT doc_id AS tab_id, unnest(range(1, len(p) + 1)) AS line_number, unnest(p) AS line FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS p FROM documents WHERE text <> ''))"
 _PAGE_LINES = "lines AS (SELECT page_id AS tab_id, unnest(range(1, len(p) + 1)) AS line_number, unnest(p) AS line FROM (SELECT page_id, string_split(regexp_replace(md, '\\n$', ''), chr(10)) AS p FROM page_md))"
 _doc_lines = lambda s, d: S.lines(V.read(s, d, "documents"), "doc_id", "text")
+_doc_search = lambda s, d, *how, **more: S.search_texts(V.read(s, d, "documents"), "doc_id", "text", *how, **more)
 _page_lines = lambda s, d: S.lines(V.page_md(s, d), "page_id", "md")
 _LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-R.add("search_plain", lambda s, d: S.search(_doc_lines(s, d), "license", limit=None), f"WITH {_LINES} SELECT * FROM lines WHERE contains({_LOW}, 'license')")
-R.add("search_regex", lambda s, d: S.search(_doc_lines(s, d), r"(?i)licensed? under .* v", "regex", None), f"WITH {_LINES} SELECT *, CAST(NULL AS VARCHAR) AS regex_fallback_error FROM lines WHERE regexp_matches(line, '(?i)licensed? under .* v')")
-R.add("search_regex_unicode", lambda s, d: S.search(_doc_lines(s, d), r"\p{Lu}\p{Ll}+ under ", "regex", None), f"WITH {_LINES} SELECT *, CAST(NULL AS VARCHAR) AS regex_fallback_error FROM lines WHERE regexp_matches(line, '\\p{{Lu}}\\p{{Ll}}+ under ')")
+R.add("search_plain", lambda s, d: _doc_search(s, d, "license", limit=None), f"WITH {_LINES} SELECT * FROM lines WHERE contains({_LOW}, 'license')")
+R.add("search_regex", lambda s, d: _doc_search(s, d, r"(?i)licensed? under .* v", "regex", None), f"WITH {_LINES} SELECT *, CAST(NULL AS VARCHAR) AS regex_fallback_error FROM lines WHERE regexp_matches(line, '(?i)licensed? under .* v')")
+R.add("search_regex_unicode", lambda s, d: _doc_search(s, d, r"\p{Lu}\p{Ll}+ under ", "regex", None), f"WITH {_LINES} SELECT *, CAST(NULL AS VARCHAR) AS regex_fallback_error FROM lines WHERE regexp_matches(line, '\\p{{Lu}}\\p{{Ll}}+ under ')")
 R.add(
     "search_regex_fallback",
     lambda s, d: S.search(_page_lines(s, d), "](", "regex", None),
@@ -39,12 +40,12 @@ R.add(
 )
 R.add(
     "search_context",
-    lambda s, d: S.search(_doc_lines(s, d), "MIT License", limit=None, before=2, after=1).select("tab_id", "line_number", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after")),
+    lambda s, d: _doc_search(s, d, "MIT License", limit=None, before=2, after=1).select("tab_id", "line_number", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after")),
     f"""WITH {_LINES}, x AS (SELECT *, coalesce(string_agg(line, '|') OVER (PARTITION BY tab_id ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
         coalesce(string_agg(line, '|') OVER (PARTITION BY tab_id ORDER BY line_number ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING), '') AS after FROM lines)
         SELECT tab_id, line_number, before, after FROM x WHERE contains(line, 'MIT License')""",
 )
-R.add("search_topk", lambda s, d: S.search(_doc_lines(s, d), "the", limit=50), f"WITH {_LINES} SELECT * FROM lines WHERE contains({_LOW}, 'the') ORDER BY tab_id, line_number LIMIT 50")
+R.add("search_topk", lambda s, d: _doc_search(s, d, "the", limit=50), f"WITH {_LINES} SELECT * FROM lines WHERE contains({_LOW}, 'the') ORDER BY tab_id, line_number LIMIT 50")
 R.add(
     "search_stats",
     lambda s, d: S.search_stats(_doc_lines(s, d), "license"),
@@ -53,7 +54,7 @@ R.add(
 )
 R.add(
     "search_fuzzy",
-    lambda s, d: S.search(_doc_lines(s, d), "licenze", "fuzzy", None),
+    lambda s, d: _doc_search(s, d, "licenze", "fuzzy", None),
     f"WITH {_LINES} SELECT * FROM lines WHERE len(list_filter(regexp_split_to_array({_LOW}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: abs(length(w) - 7) <= 2 AND levenshtein(w, 'licenze') <= 2)) > 0",
 )
 R.add(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +36,15 @@ def local_session(cpus: int | None = None, app: str = "webloom", memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the one that spark.checkpoint.dir names. Only a local session without it
+    gets a temporary one."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="webloom-shared-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
