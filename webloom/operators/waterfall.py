@@ -1,4 +1,4 @@
-"""Candidate selection: the cheapest substantive result wins, else the longest stub. One shuffle on the URL."""
+"""Candidate selection: the cheapest substantive result wins, else the longest stub."""
 
 from __future__ import annotations
 
@@ -41,40 +41,62 @@ def longest_stub(classified: DataFrame) -> DataFrame:
     return classified.where("outcome = 'stub'").groupBy("url").agg(F.max_by(F.struct("tier", "source", "size"), F.struct("size", -F.col("tier"))).alias("x")).select("url", "x.*")
 
 
-def decide(candidates: DataFrame, mode: str = "auto") -> DataFrame:
-    """(url, tier, source, markdown, banner) of the result for each URL; URLs without any result are left out.
+def measured(candidates: DataFrame) -> DataFrame:
+    """What decides between candidates, without their bodies: url, tier, source, outcome, size, whether the text is weak (a stub or a
+    rejection) or a rejection, and a hash that tells bodies of one tier apart."""
+    md = F.col("markdown")
+    own = [trimmed_bytes(md).alias("size"), looks_like_bot_block(md).alias("blocked"), worth_escalating(md).alias("thin"), looks_like_stub(md).alias("stub"), F.xxhash64("markdown").alias("print")]
+    outcome = F.when(F.col("size").isNull(), "failed").when(F.col("blocked") | F.col("thin"), "stub").otherwise("ok")
+    return candidates.select("url", "tier", "source", *own).select("url", "tier", "source", outcome.alias("outcome"), "size", (F.col("stub") | F.col("blocked")).alias("weak"), "blocked", "print")
 
-    mode: 'auto' renders where the cheap tiers give no substantive text, 'off' never, 'on' at once and only. The archive
-    is asked where nothing is left or what is left is a stub or a rejection; a rejection that is returned at last gets a
-    banner. All in one aggregation per URL.
-    """
-    c = classify(candidates)
-    pick = F.struct("tier", "source", "markdown", "size")
+
+def winners(rows: DataFrame, mode: str = "auto") -> DataFrame:
+    """(url, tier, source, size, print, banner) of the result for each URL, from measured() rows; see decide(). One aggregation
+    of a few numbers a row. Of several rows of one tier the longest counts, of equally long ones the first by source."""
+    pick = F.struct("tier", "source", "size", "weak", "blocked", "print")
     cheap, tier, outcome = F.col("tier") <= CHEAP, F.col("tier"), F.col("outcome")
-    one = lambda cond, by: F.max_by(F.when(cond, pick), F.when(cond, by))
-    got = c.groupBy("url").agg(
-        one(cheap & (outcome == "ok"), -tier).alias("ok"),
-        one(cheap & (outcome == "stub"), F.struct(F.col("size"), -tier)).alias("stub"),
-        one((tier == HEADLESS) & (outcome != "failed"), F.lit(1)).alias("head"),
+    # an order without ties: what comes first is the same in every run
+    one = lambda cond, *by: F.min(F.when(cond, F.struct(*[x.alias(f"k{i}") for i, x in enumerate((*by, -F.col("size"), F.col("source"), F.col("print")))], pick.alias("pick"))))["pick"]
+    got = rows.groupBy("url").agg(
+        one(cheap & (outcome == "ok"), tier).alias("ok"),
+        one(cheap & (outcome == "stub"), -F.col("size"), tier).alias("stub"),
+        one((tier == HEADLESS) & (outcome != "failed")).alias("head"),
         F.max(F.when(tier == HEADLESS, outcome == "ok")).alias("head_ok"),
-        one((tier == ARCHIVE) & (outcome == "ok"), F.lit(1)).alias("old"),
-        one((tier == ARCHIVE) & (outcome == "stub"), F.lit(1)).alias("old_stub"),
+        one((tier == ARCHIVE) & (outcome == "ok")).alias("old"),
+        one((tier == ARCHIVE) & (outcome == "stub")).alias("old_stub"),
     )
     if mode == "on":
-        return got.where("head is not null").select("url", "head.*", F.lit(False).alias("banner")).drop("size")
-    ok, stub, head = F.col("ok"), F.col("stub"), F.col("head") if mode == "auto" else F.lit(None).cast(c.select(pick.alias("x")).schema["x"].dataType)
+        return got.where("head is not null").select("url", "head.tier", "head.source", "head.size", "head.print", F.lit(False).alias("banner"))
+    ok, stub, head = F.col("ok"), F.col("stub"), F.col("head") if mode == "auto" else F.lit(None).cast(got.schema["head"].dataType)
     head_ok = F.col("head_ok") if mode == "auto" else F.lit(False)
     longer = F.coalesce(stub["size"] > head["size"], F.lit(False))
     rendered = F.when(head_ok & ~longer, head).when(head_ok & longer, stub)  # returned as it is
     best = F.when(head.isNotNull() & ~longer, head).otherwise(stub)
     best = F.when(head_ok, F.lit(None)).otherwise(best)
-    weak = best.isNull() | looks_like_stub(best["markdown"]) | looks_like_bot_block(best["markdown"])
+    weak = best.isNull() | best["weak"]
     archived = F.when(weak & F.col("old").isNotNull(), F.col("old"))
     older = F.when(weak & F.col("old_stub").isNotNull() & F.coalesce(F.col("old_stub")["size"] > best["size"], F.lit(True)), F.col("old_stub")).otherwise(best)
     final = F.coalesce(ok, rendered, archived, older)
     last = ok.isNull() & rendered.isNull() & archived.isNull()
     out = got.select("url", final.alias("x"), last.alias("last")).where("x is not null")
-    return out.select("url", "x.tier", "x.source", "x.markdown", (F.col("last") & looks_like_bot_block(F.col("x.markdown"))).alias("banner"))
+    return out.select("url", "x.tier", "x.source", "x.size", "x.print", (F.col("last") & F.col("x.blocked")).alias("banner"))
+
+
+def decide(candidates: DataFrame, mode: str = "auto") -> DataFrame:
+    """(url, tier, source, markdown, banner) of the result for each URL; URLs without any result are left out.
+
+    mode: 'auto' renders where the cheap tiers give no substantive text, 'off' never, 'on' at once and only. The archive
+    is asked where nothing is left or what is left is a stub or a rejection; a rejection that is returned at last gets a
+    banner.
+
+    The decision is made on measures of the candidates alone, and the winners' bodies are fetched by URL and tier
+    afterwards: no body is part of an aggregation, and each is shuffled once at most.
+    """
+    chosen = winners(measured(candidates), mode).withColumnRenamed("url", "won")
+    rows = candidates.where(F.col("markdown").isNotNull()).select("url", F.col("tier").alias("t"), F.col("source").alias("s"), "markdown", F.xxhash64("markdown").alias("p"))
+    same = (F.col("url") == F.col("won")) & (F.col("t") == F.col("tier")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("p") == F.col("print"))
+    found = rows.join(chosen, same).select("url", "tier", "source", "markdown", "banner")
+    return found.dropDuplicates(["url"])  # a candidate may be there twice
 
 
 def with_banner(decided: DataFrame) -> DataFrame:
