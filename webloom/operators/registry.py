@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 def session_list(agents: DataFrame, tabs: DataFrame) -> DataFrame:
     """Agents with their numbers of tabs; tabs are counted before the join."""
     counted = tabs.groupBy("agent_id").agg(F.count(F.lit(1)).alias("tabs"), F.count_if(F.col("status") == "ready").alias("ready"))
+    return session_list_of(agents, counted)
+
+
+def session_list_of(agents: DataFrame, counted: DataFrame) -> DataFrame:
+    """The same from counts (agent_id, tabs, ready) that are there already."""
     both = agents.join(counted, agents["id"] == counted["agent_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return both.select("id", "name", "last_seen_at", F.get_json_object("metadata", "$.note").alias("note"), zero("tabs"), zero("ready"))
