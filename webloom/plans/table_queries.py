@@ -309,27 +309,36 @@ R.add(
     lambda s, d: T.llms_root(V.read(s, d, "pages").select(F.concat(F.lit("https://"), U.host(F.col("url")), F.lit("/")).alias("url")).distinct(), _indexes(s, d).where(F.char_length("host") % 2 == 0), _indexes(s, d)).withColumn("markdown", F.md5("markdown")),
     f"""WITH {_INDEX} SELECT 'https://' || host || '/' AS url, CASE WHEN length(host) % 2 = 0 THEN 'llms_full' ELSE 'llms_index' END AS source, host || CASE WHEN length(host) % 2 = 0 THEN ' (llms-full.txt)' ELSE ' (llms.txt)' END AS title, md5(text) AS markdown FROM idx""",
 )
-# Addresses that exercise the adapters' routes, with what they lead to.
+# Addresses that exercise the adapters' routes, with what they lead to; N is a document's number.
 _ROUTES = [
-    ("https://github.com/o/r", "github", "https://api.github.com/repos/o/r/readme"),
-    ("https://www.github.com/o/r/blob/main/a/b.md", "github", "https://raw.githubusercontent.com/o/r/main/a/b.md"),
-    ("https://github.com/o/r/issues/12", "github", "https://api.github.com/repos/o/r/issues/12"),
-    ("https://github.com/o/r/pull/7", "github", "https://api.github.com/repos/o/r/pulls/7"),
-    ("https://github.com/o/r/issues/new", "github", None),
-    ("https://en.wikipedia.org/wiki/A_b/c", "wikipedia", "https://en.wikipedia.org/api/rest_v1/page/html/A_b/c"),
-    ("https://news.ycombinator.com/item?id=42", "hackernews", "https://hn.algolia.com/api/v1/items/42"),
-    ("https://news.ycombinator.com/", "hackernews", None),
-    ("https://old.reddit.com/r/x/?t=1", "reddit", "https://www.reddit.com/r/x.json?t=1"),
-    ("https://www.npmjs.com/package/@s/n", "npm", "https://registry.npmjs.org/@s%2Fn/latest"),
-    ("https://npmjs.com/package/left-pad", "npm", "https://registry.npmjs.org/left-pad/latest"),
-    ("https://pypi.org/project/numpy/", "pypi", "https://pypi.org/pypi/numpy/json"),
-    ("https://example.com/x", None, None),
+    ("https://github.com/o/rN", "github", "https://api.github.com/repos/o/rN/readme"),
+    ("https://www.github.com/o/r/blob/main/a/N.md", "github", "https://raw.githubusercontent.com/o/r/main/a/N.md"),
+    ("https://github.com/o/r/issues/N", "github", "https://api.github.com/repos/o/r/issues/N"),
+    ("https://github.com/o/r/pull/N", "github", "https://api.github.com/repos/o/r/pulls/N"),
+    ("https://github.com/o/N/issues/new", "github", None),
+    ("https://en.wikipedia.org/wiki/A_b/N", "wikipedia", "https://en.wikipedia.org/api/rest_v1/page/html/A_b/N"),
+    ("https://news.ycombinator.com/item?id=N", "hackernews", "https://hn.algolia.com/api/v1/items/N"),
+    ("https://news.ycombinator.com/?p=N", "hackernews", None),
+    ("https://old.reddit.com/r/x/?t=N", "reddit", "https://www.reddit.com/r/x.json?t=N"),
+    ("https://www.npmjs.com/package/@s/N", "npm", "https://registry.npmjs.org/@s%2FN/latest"),
+    ("https://npmjs.com/package/left-N", "npm", "https://registry.npmjs.org/left-N/latest"),
+    ("https://pypi.org/project/N/", "pypi", "https://pypi.org/pypi/N/json"),
+    ("https://example.com/N", None, None),
 ]
 _q = lambda v: "NULL" if v is None else f"'{v}'"
+
+
+def _routed(s, d):
+    """An address of the adapters' sites, or of none, for each document."""
+    url = F.element_at(F.array(*[F.lit(u) for u, *_ in _ROUTES]), (F.col("doc_id") % len(_ROUTES) + 1).cast("int"))
+    return V.read(s, d, "documents").select("doc_id", F.replace(url, F.lit("N"), F.col("doc_id").cast("string")).alias("url"))
+
+
 R.add(
     "adapter_route",
-    lambda s, d: s.createDataFrame([(u,) for u, *_ in _ROUTES], "url string").select("url", A.adapter(F.col("url")).alias("adapter"), A.api_url(F.col("url")).alias("api")),
-    f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_q, r)) + ')' for r in _ROUTES)}) t(url, adapter, api)",
+    lambda s, d: _routed(s, d).select("url", A.adapter(F.col("url")).alias("adapter"), A.api_url(F.col("url")).alias("api")),
+    f"""SELECT replace(r.url, 'N', doc_id::VARCHAR) AS url, r.adapter, replace(r.api, 'N', doc_id::VARCHAR) AS api FROM documents
+        JOIN (SELECT * FROM (VALUES {', '.join('(' + ', '.join([str(i), *map(_q, r)]) + ')' for i, r in enumerate(_ROUTES))}) t(i, url, adapter, api)) r ON doc_id % {len(_ROUTES)} = r.i""",
 )
 _docs = lambda s, d: V.read(s, d, "documents")
 R.add(
