@@ -16,6 +16,9 @@ from webloom.functions.urls import title as title_of
 SKIPPED = {"script", "style", "noscript", "iframe", "svg", "template", "head"}
 BOILERPLATE = {"nav", "footer", "aside", "header", "form"}
 BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dl", "dt", "dd", "figure", "body", "html", *BOILERPLATE}
+#: What a start tag ends if it is open, up to the element that holds both.
+CELLS, ROWS = {"td", "th"}, {"tr", "td", "th"}
+ENDS = {"li": ({"li"}, {"ul", "ol"}), "td": (CELLS, {"table"}), "th": (CELLS, {"table"}), "tr": (ROWS, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 EMPTY = {"br", "hr", "img", "input", "meta", "link", "wbr", "source"}
 
 
@@ -36,8 +39,12 @@ class _Builder(HTMLParser):
         self.depth = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
-            self._close({"p"} | ({"li"} if tag == "li" else set()), stop={"ul", "ol", "table", "blockquote"})
+        if tag in BLOCKS or tag in CELLS:
+            self._close({"p"}, stop={"ul", "ol", "table", "blockquote", *CELLS})
+        if tag in ENDS:
+            self._close(*ENDS[tag])
+            while tag in ENDS and self.at.tag in ENDS[tag][0]:  # a row that was open behind its cell
+                self._close(*ENDS[tag])
         if self.depth > 400 and tag not in EMPTY:
             return
         child = _Element(tag, dict(attrs), self.at)
@@ -46,7 +53,7 @@ class _Builder(HTMLParser):
             self.at, self.depth = child, self.depth + 1
 
     def handle_endtag(self, tag):
-        self._close({tag}, stop=set() if tag in BLOCKS or tag in SKIPPED else BLOCKS)
+        self._close({tag}, stop={"table"} - {tag} if tag in ENDS else set() if tag in BLOCKS or tag in SKIPPED else BLOCKS | CELLS)
 
     def _close(self, tags, stop):
         e, n = self.at, 0
@@ -107,13 +114,16 @@ def _blocks(e, dropped, out, prefix=""):
                 out.append("#" * int(c.tag[1]) + " " + text)
         elif c.tag in ("ul", "ol"):
             items: list[str] = []
-            for n, li in enumerate(x for x in c.inside if not isinstance(x, str)):
+            for li in (x for x in c.inside if not isinstance(x, str)):
                 parts: list[str] = []
                 _blocks(li, dropped, parts)
                 if parts:
-                    items.append((f"{n + 1}. " if c.tag == "ol" else "* ") + "\n  ".join(parts))
+                    mark = f"{len(items) + 1}. " if c.tag == "ol" else "* "
+                    items.append(mark + "\n".join(parts).replace("\n", "\n  "))
             if items:
                 out.append("\n".join(items))
+        elif c.tag == "table" and (rows := _cells(c)):
+            out.append(_table(rows))
         elif c.tag == "pre":
             out.append("```\n" + c.text().strip("\n") + "\n```")
         elif c.tag == "blockquote":
@@ -132,15 +142,86 @@ def _all(e):
             yield from _all(c)
 
 
+def _cells(table) -> list[list[str]] | None:
+    """The texts of a table's cells by rows; None if it lays out blocks instead of listing data."""
+    rows, found = [e for e in _all(table) if e.tag == "tr"], []
+    for row in rows:
+        cells = [c for c in row.inside if not isinstance(c, str) and c.tag in CELLS]
+        if any(e.tag in BLOCKS - {"p", "div"} for c in cells for e in _all(c)):
+            return None
+        texts = []
+        for c in cells:
+            wide = str(c.attrs.get("colspan") or 1)
+            texts += [re.sub(r"\s+", " ", _inline(c)).strip().replace("|", r"\|"), *[""] * ((int(wide) if wide.isascii() and wide.isdigit() and len(wide) < 3 else 1) - 1)]
+        if texts:
+            found.append(texts)
+    return found if found and max(map(len, found)) > 1 else None
+
+
+def _table(rows: list[list[str]]) -> str:
+    """The first row heads the table; short rows are filled up."""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
+
+
+#: Elements whose text counts, if it has so many characters, and the share of its points that each ancestor gets.
+PARAGRAPHS, LEAST_CHARS, SHARES = {"p", "pre", "td", "blockquote"}, 25, (1, 1 / 2, 1 / 6)
+
+
+def measured(root) -> dict:
+    """(characters, characters in links) of the text below each element, blanks collapsed, without navigation and the like."""
+    order, of = list(_all(root)), {}
+    for e in reversed(order):
+        if e.tag in SKIPPED or e.tag in BOILERPLATE:
+            of[e] = (0, 0)
+            continue
+        n = sum(len(" ".join(c.split())) for c in e.inside if isinstance(c, str))
+        chars = n + sum(of[c][0] for c in e.inside if not isinstance(c, str))
+        of[e] = (chars, chars if e.tag == "a" else sum(of[c][1] for c in e.inside if not isinstance(c, str)))
+    return of
+
+
+def scores(root, size: dict) -> dict:
+    """What each element that holds paragraphs is worth: a paragraph gives a point, one for each comma and one for each hundred
+    characters up to three to its parent, half of that to the next ancestor and a sixth to the one above; all is cut by
+    the share of an element's text that is in links."""
+    found: dict = {}
+    for e in _all(root):
+        if e.tag in PARAGRAPHS and size[e][0] >= LEAST_CHARS:
+            points, up = 1 + e.text().count(",") + min(size[e][0] // 100, 3), e.parent
+            for share in SHARES:
+                if up is None:
+                    break
+                found[up] = found.get(up, 0) + points * share
+                up = up.parent
+    return {e: x * (1 - size[e][1] / size[e][0]) for e, x in found.items() if size[e][0]}
+
+
 def _main(root):
-    """The article or main element, or else the block with the most text of its own paragraphs."""
-    for tag in ("article", "main"):
-        found = [e for e in _all(root) if e.tag == tag]
-        if found:
-            return max(found, key=lambda e: len(e.text()))
-    score = lambda e: sum(len(c.text()) for c in e.inside if not isinstance(c, str) and c.tag == "p")
-    best = max(_all(root), key=score)
-    return best if score(best) else root
+    """The elements of a page's main content, in order: the element of highest score, or the article or main element around it, with
+    the parts beside it that belong to it: headings before it, and what scores a fifth of it or is a paragraph of its own."""
+    size = measured(root)
+    worth = scores(root, size)
+    best = max(worth, key=worth.get, default=None)
+    if best is None:
+        return [next((e for e in _all(root) if e.tag in ("article", "main")), root)]
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None or best.parent is None or best.tag == "body":
+        return [up or best]
+
+    def belongs(e, before: bool) -> bool:
+        chars, linked = size[e]
+        if worth.get(e, 0) >= max(10, worth[best] / 5) or before and re.fullmatch("h[1-6]", e.tag) and chars:
+            return True
+        sparse = linked < chars / 4 if chars > 80 else not linked and "." in e.text()
+        return e.tag == "p" and chars > 0 and sparse
+
+    beside = [e for e in best.parent.inside if not isinstance(e, str)]
+    at = beside.index(best)
+    return [e for i, e in enumerate(beside) if e is best or belongs(e, i < at)]
 
 
 def to_markdown(html: str | None, raw: bool = False) -> str:
@@ -149,7 +230,12 @@ def to_markdown(html: str | None, raw: bool = False) -> str:
     builder.feed(html or "")
     builder.close()
     out: list[str] = []
-    _blocks(builder.root if raw else _main(builder.root), set() if raw else BOILERPLATE, out)
+    if raw:
+        _blocks(builder.root, set(), out)
+    else:
+        chosen = _Element("div", {}, None)  # so that a chosen paragraph or heading is a block itself
+        chosen.inside = _main(builder.root)
+        _blocks(chosen, BOILERPLATE, out)
     return "\n\n".join(out) + "\n" * bool(out)
 
 
