@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.text import token_estimate
 from webloom.operators import cache, registry, search, waterfall
 from webloom.operators.finalize import finalize
 from webloom.operators.textindex import TextIndex
@@ -27,8 +28,14 @@ class FetchOptions:
     raw: bool = False
     link_table: bool = True
     max_tokens: int | None = None
+    #: Adds bytes and an estimate of tokens.
+    meta: bool = False
+    #: 'json' adds the answer as one JSON text.
+    format: str = "markdown"
 
     def __post_init__(self):
+        if self.format not in ("markdown", "json"):
+            raise EngineError("fetch_failed", f"no such format: {self.format}")
         if self.mode not in ("auto", "on", "off"):
             raise EngineError("fetch_failed", f"no such mode: {self.mode}")
 
@@ -44,6 +51,14 @@ class Engine:
         """(url, tier, source, markdown, banner, cached) for the URLs of `candidates`; those that are fresh in the cache are answered
         from their tab, whose text was finished when it was stored."""
         o = options or FetchOptions()
+        found = self._fetched(candidates, o)
+        if o.meta:
+            found = found.withColumn("bytes", F.octet_length("markdown")).withColumn("tokens", token_estimate(F.col("markdown")))
+        if o.format == "json":
+            found = found.withColumn("body", F.to_json(F.struct(*[c for c in found.columns if c not in ("banner", "cached")])))
+        return found
+
+    def _fetched(self, candidates: DataFrame, o: FetchOptions) -> DataFrame:
         asked = candidates
         if not (o.no_cache or o.raw):
             fresh = cache.lookup_fresh(self.entries, self.tabs, self.now).join(candidates.select("url").distinct(), "url", "left_semi")
@@ -89,6 +104,19 @@ class Engine:
     def cache_get(self, url: str) -> DataFrame:
         return cache.get(self.entries.where(F.col("url") == url), self.tabs, self.now)
 
+    def session_start(self, name: str, at_ms: int, note: str | None = None) -> DataFrame:
+        """The agent of that name, added or seen again; later calls know it."""
+        call = self.agents.sparkSession.createDataFrame([(name, at_ms, note)], "name string, at long, note string")
+        self.agents = registry.ensure_agents(self.agents, call)
+        return self.agents.where(F.col("name") == name)
+
+    def tab_meta(self, tab_id) -> DataFrame:
+        """(tab_id, url, canonical_url, status, source) of a tab."""
+        own = self.tabs.where(F.col("id") == tab_id)
+        if not own.limit(1).count():
+            raise EngineError("tab_read_failed", f"no such tab: {tab_id}")
+        return own.select(F.col("id").alias("tab_id"), "url", F.coalesce("canonical_url", "url").alias("canonical_url"), "status", "source")
+
     def sessions(self) -> DataFrame:
         return registry.session_list(self.agents, self.tabs).orderBy(F.desc("last_seen_at"), "id")
 
