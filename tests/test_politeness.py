@@ -19,10 +19,10 @@ def test_pieces_of_any_length_give_the_fold_of_all(spark):
         at["last", host] = last
         gaps[host] = min(2 * gap, 30_000) if status in (None, 429, 503) else max(gap // 2, 250) if status == 200 else gap
         n[host] = n.get(host, 0) + 1
-    for piece in (700, 10_000, politeness.PIECE_MS):
-        got = politeness.host_gaps(requests, piece).collect()
+    for piece, busy in ((700, 0), (10_000, 0), (politeness.PIECE_MS, 0), (5000, 150), (700, politeness.BUSY)):
+        got = politeness.host_gaps(requests, piece, busy).collect()
         assert {r.host: (r.requests, r.gap_ms) for r in got} == {h: (n[h], gaps[h]) for h in gaps}
-        when = politeness.host_schedule(requests, piece).collect()
+        when = politeness.host_schedule(requests, piece, busy).collect()
         assert {r.id: r.at_ms for r in when} == {r[2]: at[r[2]] for r in rows}
 
 
@@ -31,7 +31,24 @@ def test_empty_and_untimed(spark):
     got = politeness.host_gaps(rows.withColumn("ts", F.timestamp_millis("arrival"))).collect()
     assert [tuple(r) for r in got] == [("h", 2, 1000)]
     assert [tuple(r) for r in politeness.host_schedule(rows).collect()] == [("h", 2, 5)]
-    assert politeness.host_schedule(rows.limit(0)).count() == 0
+    assert politeness.host_schedule(rows.limit(0)).count() == 0 == politeness.host_gaps(rows.limit(0).withColumn("ts", F.timestamp_millis("arrival"))).count()
+
+
+def test_hosts_that_go_on_over_many_batches(spark):
+    """Groups longer than an Arrow batch, whole and in pieces."""
+    rng = random.Random(9)
+    rows = [("long" if i % 3 else f"h{i % 40}", rng.randrange(200_000), i, rng.choice([200, 404, 429])) for i in range(1500)]
+    requests = spark.createDataFrame(rows, "host string, arrival long, id long, status int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r.id: r.at_ms for r in politeness.host_schedule(requests).collect()}
+    gaps = sorted(map(tuple, politeness.host_gaps(requests.withColumn("ts", F.timestamp_millis("arrival"))).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        for busy in (politeness.BUSY, 0):
+            assert {r.id: r.at_ms for r in politeness.host_schedule(requests, 50_000, busy).collect()} == want
+            assert sorted(map(tuple, politeness.host_gaps(requests.withColumn("ts", F.timestamp_millis("arrival")), 50_000, busy).collect())) == gaps
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_ladder_is_closed():
