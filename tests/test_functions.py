@@ -82,3 +82,37 @@ def test_html_to_markdown():
     page = "<body><nav><a href=x>y</a></nav><article><h1>T &amp; x</h1><p><b>bo</b> a<p>para <a href='/u'>link</a><ul><li>a<li>b</ul><pre>x  y</pre><script>z</script></article><footer>f</footer>"
     assert to_markdown(page) == "# T & x\n\n**bo** a\n\npara [link](/u)\n\n* a\n* b\n\n```\nx  y\n```\n"
     assert "[y](x)" in to_markdown(page, raw=True) and to_markdown(None) == ""
+
+
+def test_one_rule_for_comments(spark):
+    from webloom.functions.text import comment_text, strip_comment
+
+    markup = "<p>a &eacute;&#x27;&#39; &amp;lt; &nope; AT&T<br/>x<br>y <a href='q'>z</a></p>"
+    assert strip_comment(markup) == "\n\na é'' &lt; &nope; AT&T\nx\ny z"
+    got = spark.createDataFrame([(markup,), (None,)], "t string").select(comment_text(F.col("t")).alias("t")).collect()
+    assert [r.t for r in got] == [strip_comment(markup), None]
+
+
+def test_bytes_are_decoded_in_one_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "text/html", b"a")], "id int, content_type string, body binary").write.parquet(str(tmp_path / "c"))
+    plan = decoded(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
+def test_a_dead_host_is_a_row():
+    from webloom.sources.http import _Reader
+
+    reader = _Reader({"urls": "http://127.0.0.1:1/x nonsense http://[broken", "timeout": "2"})
+    for part in reader.partitions():
+        assert list(reader.read(part)) == [(part.value, "text/html", "plain", part.value, None, None, None)]
+
+
+def test_probes_skip_failed_hosts(spark):
+    from webloom.operators import strategies
+
+    text = "some words that make a real page of markdown, more than eight"
+    urls = spark.createDataFrame([("https://a.x/p",), ("https://b.x/p",)], "url string")
+    captures = spark.createDataFrame([(f"https://{h}.x/p.md", 200, "text/markdown", text) for h in "ab"], "url string, status int, content_type string, body string")
+    memo = spark.createDataFrame([("b.x",), ("b.x",)], "host string")
+    assert strategies.markdown_probe(urls, captures).count() == 2
+    assert [r.url for r in strategies.markdown_probe(urls, captures, memo).collect()] == ["https://a.x/p"]

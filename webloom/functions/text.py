@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,18 +98,26 @@ def base64_text(content: Column) -> Column:
     return F.decode(F.unbase64(F.regexp_replace(content, "\n", "")), "UTF-8")
 
 
-def comment_text(html: Column) -> Column:
-    """Comment HTML as text: paragraphs and breaks as line ends, other tags dropped, common references decoded."""
-    out = F.replace(F.replace(html, F.lit("<p>"), F.lit("\n\n")), F.lit("</p>"), F.lit(""))
-    out = F.regexp_replace(F.regexp_replace(out, "<br/?>", "\n"), "<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&#x2F;", "/"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+def strip_comment(markup: str) -> str:
+    """Comment HTML as text: paragraphs and breaks as line ends, other tags dropped, character references decoded."""
+    for tag, text in (("<p>", "\n\n"), ("</p>", ""), ("<br>", "\n"), ("<br/>", "\n")):
+        markup = markup.replace(tag, text)
+    return re.sub(r"&#?\w+;", lambda m: html.unescape(m[0]), re.sub(r"<[^>]*>", "", markup))
+
+
+def comment_text(markup: Column) -> Column:
+    """strip_comment over a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def udf(markup: pd.Series) -> pd.Series:
+        return markup.map(lambda x: None if x is None else strip_comment(x))
+
+    return udf(markup)
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(page: Column) -> Column:
     """The text of a page without scripts, styles, comments and tags, blanks collapsed; no Python needed."""
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->", " ")
+    out = F.regexp_replace(page, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 

@@ -78,6 +78,6 @@ def decoded(captures: DataFrame, body_col: str = "body", type_col: str = "conten
     def udf(body: pd.Series, charset: pd.Series) -> pd.Series:
         return pd.Series([None if b is None else _decode(bytes(b), c) for b, c in zip(body, charset, strict=True)])
 
-    easy = marked.where(F.coalesce(plain, F.lit(False))).withColumn("text", F.col(body_col).cast("string"))
-    rest = marked.where(~F.coalesce(plain, F.lit(False))).withColumn("text", udf(F.col(body_col), F.col("charset")))
-    return easy.unionByName(rest)
+    # one pass: rows that Spark decodes give the function a null
+    plain, body = F.coalesce(plain, F.lit(False)), F.col(body_col)
+    return marked.withColumn("text", F.when(plain, body.cast("string")).otherwise(udf(F.when(~plain, body), F.col("charset"))))

@@ -17,8 +17,10 @@ def accept_md(captures: DataFrame) -> DataFrame:
     return captures.where(ok).select("url", F.lit(1).alias("tier"), F.lit("accept_md").alias("source"), body.alias("markdown"), U.first_heading(body).alias("title"))
 
 
-def markdown_probe(urls: DataFrame, captures: DataFrame) -> DataFrame:
-    """URLs whose .md variant was captured as text; hosts whose probes all failed are remembered and skipped."""
+def markdown_probe(urls: DataFrame, captures: DataFrame, memo: DataFrame | None = None) -> DataFrame:
+    """URLs whose .md variant was captured as text. Those of hosts in `memo` (host; see failed_hosts) aren't probed."""
+    if memo is not None:
+        urls = urls.join(memo.select(F.col("host").alias("failed")).distinct(), U.host(F.col("url")) == F.col("failed"), "left_anti")
     body = F.col("c.body")
     good = (F.col("c.status") < 400) & (P.looks_like_markdown(F.col("c.content_type"), F.col("c.url")) | P.is_text_plain(F.col("c.content_type")))
     good = good & ~P.html_masquerade(body) & P.has_real_content(body)

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.operators.adapters import _replies, _strip
+from webloom.functions.text import strip_comment
+from webloom.operators.adapters import _replies
 
 COMMENTS = "path array<int>, depth int, author string, text string, score long"
 
@@ -46,7 +47,7 @@ class HnComments:
         if not isinstance(item, dict) or "id" not in item:
             return
         for path, c in _tree(item.get("children"), lambda n: (n, n.get("children")) if isinstance(n, dict) else (None, None)):
-            yield path, len(path) - 1, c.get("author"), _strip(_text(c.get("text"))), c.get("points")
+            yield path, len(path) - 1, c.get("author"), strip_comment(_text(c.get("text"))), c.get("points")
 
 
 @F.udtf(returnType=COMMENTS)

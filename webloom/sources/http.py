@@ -29,12 +29,17 @@ class _Reader(DataSourceReader):
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition):
+        import http.client
         import urllib.error
         import urllib.request
 
-        request = urllib.request.Request(partition.value, headers={"Accept": self.accept})
+        # follows up to ten redirects, with the cookies that they set
+        opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor())
         try:
-            with urllib.request.urlopen(request, timeout=self.seconds) as answer:
+            request = urllib.request.Request(partition.value, headers={"Accept": self.accept})
+            with opener.open(request, timeout=self.seconds) as answer:
                 yield (partition.value, self.accept, "plain", answer.url, answer.status, answer.headers.get("Content-Type"), answer.read())
         except urllib.error.HTTPError as e:  # a status of its own is a result
             yield (partition.value, self.accept, "plain", partition.value, e.code, e.headers.get("Content-Type"), e.read())
+        except (OSError, ValueError, http.client.HTTPException):  # no such host, no answer in time, no address: a row without a status
+            yield (partition.value, self.accept, "plain", partition.value, None, None, None)
