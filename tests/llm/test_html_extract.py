@@ -149,3 +149,47 @@ def test_odd_rows(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((repr(r.page_id), r.text) for r in got) == [("1", ""), ("2", "x"), ("2", "x"), ("None", "")]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
+
+
+A, B = "Alpha paragraph of the story with enough words to be a paragraph.", "Beta paragraph of the story that has about as many words as the first."
+
+
+def test_short_parts_of_an_article_stay():
+    for around in ("%s", "<nav><a href=/>x</a></nav><h1>Site</h1>%s<footer>f</footer>"):
+        page = "<html><body>" + around % f"<article><div><p>{A}</p><p>{B}</p></div><div><h2>End</h2><p>Short close.</p></div></article>" + "</body></html>"
+        assert extract(page).endswith(f"{A}\n\n{B}\n\nEnd\n\nShort close.")
+    refs = "<div><h2>References</h2><ol><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li><li><a href=/3>Third</a></li></ol></div>"
+    assert extract(SITE % f"<article><div><p>{A}</p><p>{B}</p></div>{refs}</article>") == f"{A}\n\n{B}\n\nReferences\n\nFirst source\n\nSecond source\n\nThird"
+
+
+def test_headlines_and_leads_beside_the_text():
+    story = f"<div class=story><p>{A}</p><p>{B}</p><p>{A}</p></div>"
+    assert extract(SITE % f'<div class="hero"><h1>Headline</h1></div>{story}') == f"Headline\n\n{A}\n\n{B}\n\n{A}"
+    assert extract(SITE % f'<div><div class="lead"><p>Lead para of story.</p></div>{story}</div>') == f"Lead para of story.\n\n{A}\n\n{B}\n\n{A}"
+    assert extract(SITE % f"<div>{story}<div><p>And it all ended very well indeed.</p></div></div>") == f"{A}\n\n{B}\n\n{A}\n\nAnd it all ended very well indeed."
+    assert "2020" not in extract(SITE % f"<div>{story}<div><p>© 2020 by some company, all rights reserved.</p></div></div>")
+
+
+def test_a_list_of_links_within_a_story():
+    links = "<ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul>"
+    assert extract(SITE % f"<div><p>{A}</p>{links}<p>{B}</p><p>{A}</p></div>") == f"{A}\n\nOne\n\nTwo\n\nThree\n\n{B}\n\n{A}"
+    assert extract(SITE % f"<div>{links}<p>{A}</p><p>{B}</p><p>{A}</p></div>") == f"{A}\n\n{B}\n\n{A}"
+
+
+def test_compound_names_are_not_furniture():
+    for name in ("related-work", "social-context", "share-prices", "ad-hoc-networks", "comment-ca-va", "widget-theory", "cookie-recipes"):
+        for attribute in ("class", "id"):
+            assert extract(SITE % f"<article><p>{A}</p><div {attribute}='{name}'><p>{B}</p></div></article>") == f"{A}\n\n{B}"
+    for part in ("<section id='discussion'><p>%s</p></section>", "<div class='thread'><p>%s</p></div>", "<div id='notice-of-meeting'><p>%s</p></div>", "<p class='disclaimer'>%s</p>"):
+        assert extract(SITE % f"<div><p>{A}</p>{part % B}<p>{A}</p></div>") == f"{A}\n\n{B}\n\n{A}"
+
+
+def test_names_that_are_furniture():
+    names = "related-posts social-share share-buttons cookie-notice comment-list newsletter-signup site-footer user-comments sidebar-left ad-slot ads adBanner reader-opinions readerReactions userComments comments-area notice login-form main-menu promo-box entry-footer article-share"
+    for name in names.split():
+        assert extract(SITE % f"<article><p>{A}</p><div class='{name}'><p>{B}</p></div><p>{A}</p></article>") == f"{A}\n\n{A}", name
+        assert extract(SITE % f"<div><p>{A}</p><p>{A}</p><div class='x {name}'><p>{B}</p></div><p>{A}</p></div>") == f"{A}\n\n{A}\n\n{A}", name
+    onward = "<div class='more-stories'><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></div>"
+    assert extract(SITE % f"<article><p>{A}</p>{onward}<p>{B}</p></article>") == f"{A}\n\n{B}"
+    talk = "<div class=thread><div class=msg><p>I was first here.</p></div><div class=msg><p>And I was second, I believe.</p></div></div>"
+    assert extract(SITE % f"<div><p>{A}</p><p>{B}</p>{talk}</div>") == f"{A}\n\n{B}"

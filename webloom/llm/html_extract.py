@@ -28,6 +28,22 @@ FURNITURE_WORDS = frozenset(
 )
 #: Of these, words that a part of an article may be named by as well: inside an article they count for no section or running text.
 TOPICS = frozenset("banner disclaimer discussion login menu notice notices notification overlay promotion recommended related reply respond share sharing social subscription thread toolbar widget".split())
+#: Words that say nothing of what a part is: a name of furniture words and these alone marks furniture, one with any other word
+#: ("related-work", "cookie-recipes") doesn't.
+NEUTRAL = frozenset(
+    "area areas articles bar bars block blocks body bottom box boxes btn button buttons card cards center col column container content count email fixed float form global group head header heading "
+    "holder icon icons inner item items js layer left link links list main message mobile module new outer page panel policy post posts primary region right row secondary section sections "
+    "site slot small sticky stories strip tags text the title top ui unit user users view wide with wp wrap wrapper zone".split()
+)
+#: Words that mark reader comments or talk only as a name of their own; of running text they mark nothing.
+WEAK = frozenset("discussion thread disclaimer".split())
+#: Who and what a name for reader comments speaks of ("reader-opinions").
+COMMENTERS = frozenset("reader readers user users visitor visitors guest guests community".split())
+SAYINGS = frozenset("comment comments opinion opinions reaction reactions voices feedback response responses remarks talk says letters".split())
+#: Names of blocks that lead on to other pages, if they hold little but links.
+ONWARD = frozenset("more stories story read also see next previous prev latest trending popular top most news headlines links articles posts teaser teasers".split()) | NEUTRAL
+#: Names of what stands before or beside the text and belongs to it.
+LEADS = frozenset("lead lede intro introduction summary standfirst deck dek subtitle subheading abstract excerpt hero headline caption byline kicker".split())
 #: Elements of running text: named by a furniture word only if by nothing else. Headings never are.
 TEXT = frozenset("p blockquote pre figure figcaption dl dt dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -54,10 +70,10 @@ COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "chars", "links", "tags", "link_tags", "density", "total", "hit")
+    __slots__ = ("tag", "parent", "children", "skip", "names", "chars", "links", "tags", "link_tags", "density", "total", "hit")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip, self.children = tag, parent, skip, []  # children: nodes and pieces of text
+    def __init__(self, tag: str, parent: Node | None, skip: bool, names: frozenset = frozenset()):
+        self.tag, self.parent, self.skip, self.names, self.children = tag, parent, skip, names, []  # children: nodes and pieces of text
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -77,6 +93,34 @@ def _tag_end(page: str, at: int, missing: set) -> int:
     return len(page)
 
 
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in WORDS.findall(name)}
+
+
+def _named_content(others: list[str], marking: list[str]) -> bool:
+    """Whether a name beside those that mark furniture is for content, and these don't mark what never is part of it."""
+    never = {"comment", "comments", "ad", "ads", "advert", "sidebar", "related"}
+    return any(_words(w) & CONTENT_WORDS for w in others) and not any(_words(w) & never for w in marking)
+
+
+def _named_furniture(tag: str, name: str, inside_article: bool) -> bool:
+    """Whether one class or id marks furniture: by all of its words, not by one word of a compound."""
+    words = _words(name)
+    if words & COMMENTERS and words & SAYINGS and words <= COMMENTERS | SAYINGS | NEUTRAL:
+        return True
+    found = {w for w in words if w in FURNITURE_WORDS or tag not in TEXT and (w.startswith(FURNITURE_STARTS) or w.endswith(FURNITURE_ENDS))}
+    if not found and not inside_article and "header" in words and words <= NEUTRAL:
+        return tag not in TEXT
+    if not found or not words <= found | NEUTRAL | SAYINGS | CONTENT_WORDS:
+        return False
+    if tag in TEXT:
+        return words <= FURNITURE_WORDS and bool(words - TOPICS or not inside_article and words - WEAK)
+    strong = found - TOPICS
+    if tag == "section" or words <= WEAK:
+        return bool(strong) or not inside_article and not words <= WEAK
+    return True
+
+
 def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in FURNITURE:
         return True
@@ -90,19 +134,9 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|\s)(?:comment|reply)", value):
             return True
         if name in ("class", "id") and tag not in SECTIONS and tag not in HEADINGS:
-            words = {w.lower() for w in WORDS.findall(written)}
-            strong = words & FURNITURE_WORDS - TOPICS
-            if tag in TEXT:
-                if words and words <= FURNITURE_WORDS and (strong or not inside_article):
-                    return True
-                continue
-            if any(w.startswith(FURNITURE_STARTS) or w.endswith(FURNITURE_ENDS) for w in words):
-                return True
-            if tag == "section" and inside_article and not strong:
-                continue
-            if words & FURNITURE_WORDS and not (words & CONTENT_WORDS and not words & {"comment", "comments", "ad", "ads", "advert", "sidebar", "related"}):
-                return True
-            if not inside_article and "header" in words and not words & CONTENT_WORDS:
+            names = written.split()
+            marking = [w for w in names if _named_furniture(tag, w, inside_article)]
+            if marking and not _named_content([w for w in names if w not in marking], marking):
                 return True
         elif name == "role" and value.strip() in FURNITURE_ROLES:
             return True
@@ -193,7 +227,8 @@ def parse(page: str) -> Node:
                 close(last)
         attributes = page[m.end() : at - 1]
         skip = node.skip or _furniture(tag, attributes, in_article > 0)
-        child = Node(tag, node, skip)
+        named = {w for m_ in ATTRIBUTE.finditer(attributes) if m_[1].lower() in ("class", "id") for w in _words(m_[2] or m_[3] or m_[4] or "")} if "=" in attributes else ()
+        child = Node(tag, node, skip, frozenset(named))
         node.children.append(child)
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -258,9 +293,31 @@ def main_node(root: Node) -> Node | None:
     chosen = best
     for below, node in zip(path, path[1:], strict=False):
         others = [c for c in node.children if isinstance(c, Node) and c is not below and not c.skip and c.chars and c.tag not in INLINE]
-        if any(c.density >= threshold and not _menu(c) for c in others) or any(isinstance(c, str) and len(SPACE.sub("", c)) > 20 for c in node.children):
+        dense = any(c.density >= threshold and not _menu(c) for c in others)
+        if dense or any(isinstance(c, str) and len(SPACE.sub("", c)) > 20 for c in node.children) or below is chosen and any(map(_belongs, others)):
             chosen = node
-    return chosen
+    # the article around it is one whole, whatever the density of its parts
+    around = [n for n in (chosen, *_above(chosen)) if n.tag in ("article", "main")]
+    return next((n for n in around if n.tag == "article"), around[0] if around else chosen)
+
+
+def _belongs(node: Node) -> bool:
+    """Whether a block beside the chosen one is part of its text though short: named as a lead, or running text of whole sentences."""
+    if node.links > 0.25 * node.chars or _repeats(node):
+        return False
+    if node.names & LEADS:
+        return True
+    inner = [node, *(n for n in _walk(node) if not n.skip)]
+    if not any(n.tag == "p" for n in inner) or node.tag in ("article", "main"):
+        return False
+    text = SPACE.sub(" ", html.unescape(" ".join(c for n in inner[1:] or inner for c in n.children if isinstance(c, str)))).strip()
+    return len(text.split()) >= 5 and text[-1] in ".!?…\"”»)" and not text.lower().startswith(("©", "copyright", "(c)"))
+
+
+def _repeats(node: Node) -> bool:
+    """A row of like-named parts, as comments and teasers are."""
+    parts = [c for c in node.children if isinstance(c, Node) and not c.skip and c.names and c.tag not in TEXT | HEADINGS | INLINE]
+    return any(sum(p.tag == q.tag and p.names == q.names for q in parts) > 1 for p in parts[:3])
 
 
 def _above(node: Node):
@@ -274,6 +331,23 @@ def _menu(node: Node) -> bool:
     return node.link_tags >= 3 and node.links > 0.8 * node.chars and node.tag not in SECTIONS
 
 
+def _cut(node: Node, in_article: bool) -> bool:
+    """Whether a block in the chosen part leads elsewhere: a menu, but for one in an article without a name that says so, and for a
+    list of links in the middle of running text. Talk under a weak name goes if it is a row of parts."""
+    if node.names and node.names <= WEAK | NEUTRAL and node.names & WEAK and (_repeats(node) or node.links > 0.5 * node.chars):
+        return True
+    if not _menu(node):
+        return False
+    if in_article:
+        return bool(node.names - NEUTRAL) and node.names <= ONWARD
+    if node.tag not in ("ul", "ol", "dl"):
+        return True
+    beside = [c for c in node.parent.children if isinstance(c, Node) and c.chars and not c.skip]
+    at = beside.index(node)
+    running = lambda c: c.tag == "p" and c.chars - c.links > 20
+    return not (any(map(running, beside[:at])) and any(map(running, beside[at + 1 :])))
+
+
 def headline(chosen: Node) -> list[Node]:
     """Headings h1 that stand before the chosen node beside it or what holds it, where it has none itself."""
     if any(n.tag == "h1" and not n.skip for n in _walk(chosen)):
@@ -284,7 +358,7 @@ def headline(chosen: Node) -> list[Node]:
         for c in node.children:
             if c is below:
                 break
-            if isinstance(c, Node) and c.tag in ("h1", "header", "hgroup") and not c.skip:
+            if isinstance(c, Node) and c.tag not in INLINE and not c.skip and not _menu(c):
                 before += [n for n in _walk(c) if n.tag == "h1" and not n.skip and n.chars]
         found, below = before + found, node
     return found
@@ -293,9 +367,9 @@ def headline(chosen: Node) -> list[Node]:
 def blocks(root: Node) -> list[str]:
     """The texts of the blocks below `root` in page order: references decoded, white space turned into single spaces.
 
-    Blocks of nothing but links are left out, except in an article: there they belong to it.
+    Blocks of nothing but links are left out, except where they belong to an article (see _cut).
     """
-    in_article = any(n.tag in ("article", "main") for n in (root, *_above(root)))
+    in_article = any(n.tag == "article" for n in (root, *_above(root)))
     out, buffer = [], []
 
     def flush() -> None:
@@ -319,7 +393,7 @@ def blocks(root: Node) -> list[str]:
                 flush()
         elif c.tag in ("br", "wbr", "img"):
             buffer.append("" if c.tag == "wbr" else " ")
-        elif in_article or c.tag in ("article", "main") or not _menu(c):
+        elif c.tag in INLINE or not _cut(c, in_article):
             block = c.tag not in INLINE
             if block:
                 flush()
