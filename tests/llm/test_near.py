@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from webloom.llm import near
+from webloom.llm import graph, near
 from webloom.llm.near import components, drop_near_copies, near_copies, tree_pairs
 
 
@@ -124,7 +124,7 @@ def test_roots(edges):
     up = near.Sets(41)
     for x, y in edges:
         up.join(x + 20, y + 20)
-    node, root = near.roots(a, b)
+    node, root = graph.roots(a, b)
     assert node.tolist() == sorted({x for e in edges for x in e}) and root.tolist() == [up.root(x + 20) - 20 for x in node]
 
 

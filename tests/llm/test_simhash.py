@@ -129,8 +129,12 @@ def test_hash_meetings_are_verified(monkeypatch):
     n = len(fp)
     i, j = simhash.meetings(fp, fp >> np.uint64(60) << np.uint64(60), np.full(n, 60), np.full(n, 1), 2)
     assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in zip(i.tolist(), j.tolist(), strict=True))
-    pairs = [(a, b) for a, b in itertools.combinations(range(n), 2) if (prints[a] ^ prints[b]).bit_count() <= 2 and prints[a] >> 60 == prints[b] >> 60]
-    assert brute_components(range(n), zip(i.tolist(), j.tolist(), strict=True)) == brute_components(range(n), pairs)
+    # whoever shares a range and is near is connected; other ranges may meet by chance, and only who is near is linked
+    comp = brute_components(range(n), zip(i.tolist(), j.tolist(), strict=True))
+    pairs = [(a, b) for a, b in itertools.combinations(range(n), 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert all(comp[a] == comp[b] for a, b in pairs if prints[a] >> 60 == prints[b] >> 60)
+    whole = brute_components(range(n), pairs)
+    assert all(whole[a] == whole[c] for a, c in comp.items())
 
 
 @pytest.mark.parametrize("forest_rows", [10**6, 300, 40])

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import checkpointed
-from webloom.llm.near import roots
 
 #: Edges that one task turns into a forest.
 FOREST_ROWS = 1_000_000
@@ -19,6 +18,25 @@ HOT_ROWS = 100_000
 HOT_KEYS = 200_000
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges a[i] - b[i], sorted, and for each the smallest node that it is connected to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        x, y = label[i], label[j]
+        open_ = x != y
+        if not open_.any():
+            break
+        i, j, x, y = i[open_], j[open_], x[open_], y[open_]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """Edges (a: smallest node, b) that connect in each partition what its edges do, one for each other node."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm import vec
+from webloom.llm import graph, vec
 from webloom.llm.common import checkpointed, shuffle_width, table
 
 #: A shingle in at least this share of all documents (and in MANY at least) is frequent and comes late in the order.
@@ -421,60 +421,9 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, a long, b long, na long, nb long")
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the edges a[i] - b[i], sorted, and for each the smallest node that it is connected to."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while len(i):
-        x, y = label[i], label[j]
-        open_ = x != y
-        if not open_.any():
-            break
-        i, j, x, y = i[open_], j[open_], x[open_], y[open_]
-        low = np.minimum(x, y)
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        while (label[label] != label).any():
-            label = label[label]
-    return nodes, nodes[label]
-
-
-def _forest(edges: DataFrame) -> DataFrame:
-    """Edges (a: smallest node, b) that connect in each partition what its edges do, one for each other node."""
-
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            node, root = roots(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1)))
-            out = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(root[out]), pa.array(node[out])], names=["a", "b"])
-
-    return edges.mapInArrow(run, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of every id in `edges` (a, b; checkpointed, a <> b): comp is the smallest id reachable.
-
-    Tasks of at most FOREST_ROWS edges each first reduce them to forests. If there is more than one, labels spread along what
-    is left and jump to their label's label, so rounds grow with the logarithm of a chain's length; lineage is cut
-    after each.
-    """
-    width = -(-edges.count() // FOREST_ROWS)
-    if width <= 1:
-        star = checkpointed(_forest(edges.repartition(1)))
-        return star.select(F.col("b").alias("id"), F.col("a").alias("comp")).union(star.select("a", F.col("a").alias("comp")).distinct())
-    left = checkpointed(_forest(_forest(edges.repartition(width, "a")).repartition(width, "b")))
-    both = checkpointed(left.union(left.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("id").alias("next"), F.col("comp").alias("further"))
-        step = checkpointed(step.join(jump, "next").select("id", F.least("next", "further").alias("comp"), "old"))
-        labels = step.select("id", "comp")
-        if not step.where("comp <> old").limit(1).count():
-            return labels
+    """(id, comp) of every id in `edges` (a, b; checkpointed, a <> b): comp is the smallest id reachable."""
+    return graph.components(edges, FOREST_ROWS)
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import vec
 from webloom.llm.common import checkpointed, free_name, run_of, table
-from webloom.llm.graph import components
-from webloom.llm.near import roots
+from webloom.llm.graph import components, roots
 
 SEED = 42
 #: Texts are hashed in parts of about so many bytes.
