@@ -16,10 +16,10 @@ TEXTS = [
     "permisson granted hereby", "permission granted herby to anyone", "a.b*c (d|e) [f] {g}",
 ]
 QUERIES = [
-    ("license", "plain"), ("MIT License", "plain"), ("éc", "plain"), ("École", "plain"), ("K", "plain"), ("li", "plain"), ("", "plain"), ("nowhere to be found", "plain"), ("under\nthe", "plain"),
-    (r"(?i)licensed? under .* v", "regex"), (r"licen[sc]es?", "regex"), (r"\p{Lu}\p{Ll}+ ", "regex"), (r"foo.bar", "regex"), (r"^licen|under$", "regex"), ("](", "regex"), (r"a\.b\*c \(d", "regex"),
-    (r"(?:under)+ the", "regex"), (r"w{299}v", "regex"), (r"(?x) l i c", "regex"), (r"[]f]", "regex"), ("lic*ense", "regex"), ("li?cense", "regex"), ("fo+", "regex"), (r"\Qa.b\E", "regex"), (r"(?i)ÉCOLE", "regex"),
-    ("licenze", "fuzzy"), ("licenze undr", "fuzzy"), ("permission granted herebi", "fuzzy"), ("ab", "fuzzy"), ("x", "fuzzy"), ("--", "fuzzy"), ("w" * 300, "fuzzy"), ("foo-bar", "fuzzy"), ("zzzzzz", "fuzzy"),
+    ("license", "plain"), ("MIT License", "plain"), ("École", "plain"), ("li", "plain"), ("", "plain"), ("nowhere to be found", "plain"), ("under\nthe", "plain"),
+    (r"(?i)licensed? under .* v", "regex"), (r"\p{Lu}\p{Ll}+ ", "regex"), (r"^licen|under$", "regex"), ("](", "regex"), (r"a\.b\*c \(d", "regex"),
+    (r"(?:under)+ the", "regex"), (r"[]f]", "regex"), ("lic*ense", "regex"), ("fo+", "regex"), (r"\Qa.b\E", "regex"), (r"(?i)ÉCOLE", "regex"),
+    ("licenze", "fuzzy"), ("licenze undr", "fuzzy"), ("permission granted herebi", "fuzzy"), ("x", "fuzzy"), ("--", "fuzzy"), ("w" * 300, "fuzzy"), ("zzzzzz", "fuzzy"),
 ]
 
 
