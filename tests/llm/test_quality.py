@@ -19,7 +19,7 @@ def test_preferences_are_learned_and_cut():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 5))
     label = (x[:, 0] - 2 * x[:, 1] + 0.3 * rng.normal(size=400) > 0.5).astype(int)
-    model = fit(x, label, pairs_per_row=12)
+    model = fit(x, label)
     assert ((model.score(x) >= CUT) == label).mean() > 0.9
     assert model.weight[0] > 0 > model.weight[1] and abs(model.weight[2]) < 0.3 * model.weight[0]
 
@@ -70,11 +70,19 @@ def test_scores_of_the_table_one_by_one(spark):
         assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_strips_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(60, 4)), rng.integers(0, 2, 60)
+    whole = fit(x, label).weight
+    monkeypatch.setattr(quality, "CELLS", 7)
+    assert np.allclose(whole, fit(x, label).weight, atol=1e-9)
+
+
 def test_fit_against_plain_descent():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(12, 3))
     label = (x @ [1.0, -2.0, 0.5] + rng.normal(size=12) > 0).astype(int)
-    model = fit(x, label, pairs_per_row=100)
+    model = fit(x, label)
     z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
     pairs = [z[g] - z[b] for g in range(12) for b in range(12) if label[g] == 1 and label[b] == 0]
     w = np.zeros(3)

@@ -14,8 +14,8 @@ from webloom.llm.common import table
 
 #: At most so many labelled rows are fitted, the ones with the smallest hash of their id; a score reads whole texts of all rows.
 FIT_ROWS = 12_000
-#: Preference pairs drawn for each fitted row; all pairs are fitted where there are no more.
-PAIRS_PER_ROW = 5
+#: Pairs that are looked at at a time while all are fitted.
+CELLS = 1_000_000
 #: Score at the quantile that divides the documents.
 CUT = 0.7
 
@@ -109,11 +109,39 @@ def _newton(d: np.ndarray, y: np.ndarray, l2: float, rounds: int = 25) -> np.nda
     return w
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, seed: int = 7) -> Model:
+def _prefer(good: np.ndarray, bad: np.ndarray, l2: float, rounds: int = 25) -> np.ndarray:
+    """Weights w that minimise the sum over all pairs of a row g of good and b of bad of log(1 + exp(-(g - b) @ w)), plus l2/2 |w|^2.
+
+    Differences are never formed: with p the matrix of the pairs' probabilities to be the wrong way round, taken in strips,
+    the gradient follows from its sums by row and column, the Hessian from those of p(1 - p) and one product.
+    """
+    w, strip = np.zeros(good.shape[1]), max(1, CELLS // len(bad))
+    for _ in range(rounds):
+        below = bad @ w
+        gradient, hessian = l2 * w, l2 * np.eye(len(w))
+        p_bad, q_bad = np.zeros(len(bad)), np.zeros(len(bad))
+        for at in range(0, len(good), strip):
+            z = good[at : at + strip]
+            p = 1 / (1 + np.exp(np.clip((z @ w)[:, None] - below, -500, 500)))
+            gradient = gradient - z.T @ p.sum(axis=1)
+            p_bad += p.sum(axis=0)
+            p *= 1 - p
+            q_bad += p.sum(axis=0)
+            both = z.T @ (p @ bad)
+            hessian = hessian + (z * p.sum(axis=1)[:, None]).T @ z - both - both.T
+        step = np.linalg.solve(hessian + (bad * q_bad[:, None]).T @ bad, gradient + bad.T @ p_bad)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit(x: np.ndarray, label: np.ndarray) -> Model:
     """Bradley-Terry: P(a is preferred to b) = sigmoid(s(a) - s(b)) with s linear in the features.
 
-    Every preference sets a text of label 1 above one of label 0. Scores are cut at the quantile that agrees with most
-    labels. Without both labels there are no pairs: all strengths are 0 and the score is CUT or just below it by majority.
+    Every preference sets a text of label 1 above one of label 0, and all such pairs are fitted. Scores are cut at the quantile
+    that agrees with most labels. Without both labels there are no pairs: all strengths are 0 and the score is CUT or just
+    below it by majority.
     """
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(x):
@@ -122,14 +150,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, se
     if not len(good) or not len(bad):
         return Model(mean, scale, np.zeros(x.shape[1]), 0.0 if len(good) else 1.0, 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(seed)
-    n = pairs_per_row * len(x)
-    if len(good) * len(bad) <= n:
-        n = len(good) * len(bad)
-        d = (z[good][:, None] - z[bad]).reshape(n, -1)
-    else:
-        d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
-    weight = _newton(d, np.ones(n), l2=1e-3 * n)
+    weight = _prefer(z[good], z[bad], l2=1e-3 * len(good) * len(bad))
     s = z @ weight
     order = np.argsort(s)
     right = np.concatenate([[0], np.cumsum(np.where(label[order] == 0, 1, -1))])  # agreement if all up to here fall below
