@@ -250,7 +250,20 @@ R.add(
     ),
 )
 R.add("link_scan", lambda s, d: L.link_rows(V.page_md(s, d), "page_id", "md"), V.sql("SELECT * FROM l", "page_md").replace("\nSELECT * FROM l", f",\n{_LINKS.format('page_id', 'page_md')}\nSELECT * FROM l", 1))
-R.add("linkify_udf", lambda s, d: _host_md(s, d).select("host", L.linkified(F.col("md")).alias("md")))
+R.add(
+    "linkify_udf",
+    lambda s, d: _host_md(s, d).select("host", L.linkified(F.col("md")).alias("md")),
+    # each repeated link is replaced by its reference, one URL after the other
+    V.sql("SELECT 1", "page_md").replace(
+        "\nSELECT 1",
+        f""",\nhost_md AS ({_HOST_MD}),\n{_LINKS.format('host', 'host_md')},
+        dup AS (SELECT id, url, 'L' || row_number() OVER (PARTITION BY id ORDER BY pos) AS label, pos FROM (SELECT id, url, count(*) AS uses, min(pos) AS pos FROM l GROUP BY id, url HAVING count(*) > 1)),
+        t AS (SELECT id, list('](' || url || ')' || chr(1) || '][' || label || ']' ORDER BY pos) AS swaps, string_agg('[' || label || ']: ' || url || chr(10), '' ORDER BY pos) AS lines FROM dup GROUP BY id),
+        b AS (SELECT host, md, lines, list_reduce(swaps, lambda m, x: replace(m, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), md) AS body FROM host_md LEFT JOIN t ON id = host)
+        SELECT host, CASE WHEN lines IS NULL THEN md ELSE rtrim(body, chr(10)) || repeat(chr(10), greatest(2, length(body) - length(rtrim(body, chr(10))))) || '## Links' || chr(10) || chr(10) || lines END AS md FROM b""",
+        1,
+    ),
+)
 
 # sources and sinks
 R.add("fetcher_router", lambda s, d: files.fetched_by(V.captures(s, d), "stealth").select("page_id", "url"), V.sql("SELECT page_id, url FROM captures WHERE fetcher = 'stealth'", "captures"))
