@@ -37,9 +37,9 @@ def _asked(s, d) -> DataFrame:
     return V.read(s, d, "documents").select("doc_id", url.alias("url"), body.alias("body"))
 
 
-def _captures(s, d) -> DataFrame:
+def _captures(asked: DataFrame) -> DataFrame:
     """What asking the APIs gave: nothing for some, an error for some, broken JSON for some."""
-    own = _asked(s, d).where("doc_id % 11 <> 5").withColumn("api", A.api_url(F.col("url"))).where("api is not null")
+    own = asked.where("doc_id % 11 <> 5").withColumn("api", A.api_url(F.col("url"))).where("api is not null")
     return own.select(F.col("api").alias("url"), F.when(F.col("doc_id") % 5 == 1, 404).otherwise(200).alias("status"), "body")
 
 
@@ -54,20 +54,21 @@ _ATTEMPTS = f"""m AS (SELECT *, {_URL} AS url, {_MD} AS md FROM documents WHERE
         CASE WHEN doc_id % 11 = 5 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'failed' WHEN doc_id % 7 = 3 AND doc_id % 8 NOT IN (0, 3) THEN 'declined' WHEN doc_id % 8 < 2 AND {trim_size('text')} = 0 THEN 'declined' ELSE 'ok' END AS outcome, md FROM m)"""
 R.add(
     "adapter_attempts",
-    lambda s, d: K.attempts(_asked(s, d), _captures(s, d)).select("url", "adapter", "outcome", F.md5("markdown").alias("md5")),
+    lambda s, d: (lambda a: K.attempts(a, _captures(a)))(_asked(s, d)).select("url", "adapter", "outcome", F.md5("markdown").alias("md5")),
     f"WITH {_ATTEMPTS} SELECT url, adapter, outcome, CASE WHEN outcome = 'ok' THEN md5(md) END AS md5 FROM o",
 )
 R.add(
     "adapter_tier",
-    lambda s, d: K.adapter_tier(_asked(s, d), _captures(s, d)).select("url", "tier", "source", F.md5("markdown").alias("md5")),
+    lambda s, d: (lambda a: K.adapter_tier(a, _captures(a)))(_asked(s, d)).select("url", "tier", "source", F.md5("markdown").alias("md5")),
     f"WITH {_ATTEMPTS} SELECT url, 4 AS tier, 'adapter' AS source, md5(md) AS md5 FROM o WHERE outcome = 'ok'",
 )
 
 
 def _candidates(s, d) -> DataFrame:
     """The adapter tier beside what the page itself gives, so that a URL whose adapter declines reaches the next tier."""
-    own = K.adapter_tier(_asked(s, d), _captures(s, d)).select("url", "tier", "source", "markdown")
-    page = _asked(s, d).join(V.read(s, d, "documents").select("doc_id", "text"), "doc_id")
+    asked = _asked(s, d)
+    own = K.adapter_tier(asked, _captures(asked)).select("url", "tier", "source", "markdown")
+    page = asked.join(V.read(s, d, "documents").select("doc_id", "text"), "doc_id")
     return own.union(page.select("url", F.lit(6), F.lit("parse"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("page "), "text"))))
 
 

@@ -53,7 +53,8 @@ def _share(s, d):
     for query, mode in (("license", "plain"), ("MIT License", "plain"), (r"(?i)licensed? under .* v", "regex")):
         left = index(s, d).candidates(query, mode).agg(F.count(F.lit(1)).alias("candidates"))
         hits = _search(s, d, query, mode).agg(F.count_distinct("tab_id").alias("tabs_with_hits"))
-        own = docs.agg(F.count(F.lit(1)).alias("tabs")).crossJoin(left).crossJoin(hits).select(F.lit(query).alias("query"), "tabs", "candidates", "tabs_with_hits")
+        both = docs.agg(F.count(F.lit(1)).alias("tabs")).crossJoin(left).crossJoin(hits)  # one row each
+        own = both.select(F.lit(query).alias("query"), "tabs", "candidates", "tabs_with_hits")
         rows = own if rows is None else rows.union(own)
     return rows
 

@@ -92,7 +92,7 @@ def _text_ids(tabs: DataFrame) -> DataFrame:
 
 
 def _store_upsert(s, d) -> DataFrame:
-    store = writes.Registry(s, _place(s))
+    store = writes.Registry(s, _place(s), 8)
     for k in (1, 0, 1):  # in any order, and again
         store.upsert(C.record(V.tabs(s, d).where(f"id % 2 = {k}")).withColumn("tab_id", F.col("tab_id").cast("string")))
     return store.cache.read().withColumn("tab_id", F.col("tab_id").cast("long"))
@@ -103,7 +103,7 @@ R.add("store_cache_upsert", _store_upsert, Q._cache_sql("SELECT * FROM cache"))
 
 def _store_record(s, d) -> DataFrame:
     """Opens a tab for every page, records how tier 6 did, and shows tabs with what is cached of their URL."""
-    store = writes.Registry(s, _place(s))
+    store = writes.Registry(s, _place(s), 8)
     pages = V.read(s, d, "pages").select("url", F.col("page_id").alias("seq"))
     store.open(pages, F.lit("a1"), F.lit(5).cast("long"))
     ids = pages.select("seq", F.sha2(F.concat_ws("#", "url", "seq"), 256).alias("id"))
@@ -133,7 +133,7 @@ R.add(
 
 def _store_clear(s, d) -> DataFrame:
     """Rows that a clear of the cache and then of everything removed, and what was left after each."""
-    store = writes.Registry(s, _place(s))
+    store = writes.Registry(s, _place(s), 8)
     tabs = _text_ids(V.tabs(s, d))
     none = lambda t, n: F.lit(None).cast(t).alias(n)
     store.tabs.put(tabs.select("id", "agent_id", "url", "canonical_url", "status", "source", none("long", "bytes_md"), none("string", "error"), "opened_at", "fetched_at", none("string", "markdown")), ["fetched_at"])
@@ -153,7 +153,7 @@ def _polled(s, d) -> DataFrame:
     rows = V.tabs(s, d).select("id", "agent_id", "status", F.col("opened_at").alias("at"))
     # each tab is pending before it is what it becomes
     rows = rows.union(rows.select("id", "agent_id", F.lit("pending"), F.col("at") - 1))
-    board = polling.SessionBoard(s, f"{place}/board", 16, "long", "long")
+    board = polling.SessionBoard(s, f"{place}/board", 8, "long", "long")
     polling.follow(board, _streamed(rows, place, "at"), f"{place}/state", None).awaitTermination()
     return board.sessions(V.agents(s, d))
 
