@@ -317,6 +317,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             at = _split(doc, batch.num_rows)
             score = [model.score(t[a:b], n[a:b].astype("f8"))[0] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield batch.filter(pa.array([s < THRESHOLD for s in score], pa.bool_()))
+        vec.give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -6,6 +6,7 @@ polynomial hash of its bytes, mixed; a shingle mixes the hashes of its words wit
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -64,6 +65,19 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+@functools.lru_cache(maxsize=1)
+def _allocator():
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed: a Python worker lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _allocator()) is not None:
+        trim(0)
+
+
 def parts(batches, column: int, size: int):
     """Parts of record batches with about `size` bytes of text in `column`, so that a worker's memory doesn't grow with a batch."""
     for batch in batches:
@@ -73,6 +87,7 @@ def parts(batches, column: int, size: int):
             end = max(row + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(row, end - row)
             row = end
+    give_back()
 
 
 def spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
