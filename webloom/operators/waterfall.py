@@ -32,8 +32,12 @@ def timed(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("timed_out", late).withColumn("markdown", F.when(~late, F.col("markdown")))
 
 
-def first_ok(classified: DataFrame) -> DataFrame:
-    return classified.where("outcome = 'ok'").groupBy("url").agg(F.min_by(F.struct("tier", "source", "size"), "tier").alias("x")).select("url", "x.*")
+def first_ok(classified: DataFrame, order: str | None = None) -> DataFrame:
+    """The substantive result of the earliest tier for each URL; of several of one tier the first by the column `order`, then the
+    longest."""
+    came = [F.col(order)] if order else []
+    by = F.struct("tier", *[c.alias("came") for c in came], -F.col("size"), "source")
+    return classified.where("outcome = 'ok'").groupBy("url").agg(F.min_by(F.struct("tier", "source", "size"), by).alias("x")).select("url", "x.*")
 
 
 def longest_stub(classified: DataFrame) -> DataFrame:
