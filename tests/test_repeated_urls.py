@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["first_ok"]
+NAMES = ["first_ok", "waterfall_decide"]
 
 
 @pytest.fixture(scope="module")

@@ -45,22 +45,26 @@ def longest_stub(classified: DataFrame) -> DataFrame:
     return classified.where("outcome = 'stub'").groupBy("url").agg(F.max_by(F.struct("tier", "source", "size"), F.struct("size", -F.col("tier"))).alias("x")).select("url", "x.*")
 
 
-def measured(candidates: DataFrame) -> DataFrame:
+def measured(candidates: DataFrame, order: str | None = None) -> DataFrame:
     """What decides between candidates, without their bodies: url, tier, source, outcome, size, whether the text is weak (a stub or a
-    rejection) or a rejection, and a hash that tells bodies of one tier apart."""
+    rejection) or a rejection, and a hash that tells bodies of one tier apart; with `order` also that column, as `came`."""
+    came = [F.col(order).alias("came")] if order else []
     md = F.col("markdown")
     own = [trimmed_bytes(md).alias("size"), looks_like_bot_block(md).alias("blocked"), worth_escalating(md).alias("thin"), looks_like_stub(md).alias("stub"), F.xxhash64("markdown").alias("print")]
     outcome = F.when(F.col("size").isNull(), "failed").when(F.col("blocked") | F.col("thin"), "stub").otherwise("ok")
-    return candidates.select("url", "tier", "source", *own).select("url", "tier", "source", outcome.alias("outcome"), "size", (F.col("stub") | F.col("blocked")).alias("weak"), "blocked", "print")
+    rows = candidates.select("url", "tier", "source", *own, *came)
+    return rows.select("url", "tier", "source", outcome.alias("outcome"), "size", (F.col("stub") | F.col("blocked")).alias("weak"), "blocked", "print", *(["came"] if came else []))
 
 
 def winners(rows: DataFrame, mode: str = "auto") -> DataFrame:
     """(url, tier, source, size, print, banner) of the result for each URL, from measured() rows; see decide(). One aggregation
-    of a few numbers a row. Of several rows of one tier the longest counts, of equally long ones the first by source."""
-    pick = F.struct("tier", "source", "size", "weak", "blocked", "print")
+    of a few numbers a row. Of several rows of one tier the longest counts, of equally long ones the first by source. Where
+    rows have `came`, the first by it counts instead: of renderings and archived copies the first that didn't fail."""
+    pick = F.struct("tier", "source", "size", "weak", "blocked", "print", "outcome")
+    came = [F.col("came")] if "came" in rows.columns else []
     cheap, tier, outcome = F.col("tier") <= CHEAP, F.col("tier"), F.col("outcome")
     # an order without ties: what comes first is the same in every run
-    one = lambda cond, *by: F.min(F.when(cond, F.struct(*[x.alias(f"k{i}") for i, x in enumerate((*by, -F.col("size"), F.col("source"), F.col("print")))], pick.alias("pick"))))["pick"]
+    one = lambda cond, *by: F.min(F.when(cond, F.struct(*[x.alias(f"k{i}") for i, x in enumerate((*by, *came, -F.col("size"), F.col("source"), F.col("print")))], pick.alias("pick"))))["pick"]
     got = rows.groupBy("url").agg(
         one(cheap & (outcome == "ok"), tier).alias("ok"),
         one(cheap & (outcome == "stub"), -F.col("size"), tier).alias("stub"),
@@ -68,7 +72,11 @@ def winners(rows: DataFrame, mode: str = "auto") -> DataFrame:
         F.max(F.when(tier == HEADLESS, outcome == "ok")).alias("head_ok"),
         one((tier == ARCHIVE) & (outcome == "ok")).alias("old"),
         one((tier == ARCHIVE) & (outcome == "stub")).alias("old_stub"),
+        *([one((tier == ARCHIVE) & (outcome != "failed")).alias("first_old")] if came else []),
     )
+    if came:
+        first = F.col("first_old")
+        got = got.withColumns({"head_ok": F.col("head.outcome") == "ok", "old": F.when(first["outcome"] == "ok", first), "old_stub": F.when(first["outcome"] == "stub", first)})
     if mode == "on":
         return got.where("head is not null").select("url", "head.tier", "head.source", "head.size", "head.print", F.lit(False).alias("banner"))
     ok, stub, head = F.col("ok"), F.col("stub"), F.col("head") if mode == "auto" else F.lit(None).cast(got.schema["head"].dataType)
@@ -86,17 +94,17 @@ def winners(rows: DataFrame, mode: str = "auto") -> DataFrame:
     return out.select("url", "x.tier", "x.source", "x.size", "x.print", (F.col("last") & F.col("x.blocked")).alias("banner"))
 
 
-def decide(candidates: DataFrame, mode: str = "auto") -> DataFrame:
+def decide(candidates: DataFrame, mode: str = "auto", order: str | None = None) -> DataFrame:
     """(url, tier, source, markdown, banner) of the result for each URL; URLs without any result are left out.
 
     mode: 'auto' renders where the cheap tiers give no substantive text, 'off' never, 'on' at once and only. The archive
     is asked where nothing is left or what is left is a stub or a rejection; a rejection that is returned at last gets a
-    banner.
+    banner. order: a column in whose order the results of one tier came in; the first counts (see winners()).
 
     The decision is made on measures of the candidates alone, and the winners' bodies are fetched by URL and tier
     afterwards: no body is part of an aggregation, and each is shuffled once at most.
     """
-    chosen = winners(measured(candidates), mode).withColumnRenamed("url", "won")
+    chosen = winners(measured(candidates, order), mode).withColumnRenamed("url", "won")
     rows = candidates.where(F.col("markdown").isNotNull()).select("url", F.col("tier").alias("t"), F.col("source").alias("s"), "markdown", F.xxhash64("markdown").alias("p"))
     same = (F.col("url") == F.col("won")) & (F.col("t") == F.col("tier")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("p") == F.col("print"))
     found = rows.join(chosen, same).select("url", "tier", "source", "markdown", "banner")
