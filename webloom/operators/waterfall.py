@@ -40,6 +40,11 @@ def first_ok(classified: DataFrame, order: str | None = None) -> DataFrame:
     return classified.where("outcome = 'ok'").groupBy("url").agg(F.min_by(F.struct("tier", "source", "size"), by).alias("x")).select("url", "x.*")
 
 
+def rendered(classified: DataFrame) -> DataFrame:
+    """Every headless result, as it is: what is asked to be rendered is asked for once a request, so nothing is decided."""
+    return classified.where((F.col("tier") == HEADLESS) & (F.col("outcome") != "failed")).select("url", "tier", "source", "markdown", F.lit(False).alias("banner"))
+
+
 def longest_stub(classified: DataFrame) -> DataFrame:
     """Of equally long stubs the one of the earliest tier."""
     return classified.where("outcome = 'stub'").groupBy("url").agg(F.max_by(F.struct("tier", "source", "size"), F.struct("size", -F.col("tier"))).alias("x")).select("url", "x.*")
