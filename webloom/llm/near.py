@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from webloom.llm import graph, vec
 from webloom.llm.common import checkpointed, shuffle_width, table
 
-#: A shingle in at least this share of all documents (and in MANY at least) is frequent and comes late in the order.
+#: A shingle in at least this share of all documents (and in MANY at least), or in CROWDED, is frequent and comes late in the order.
 FREQUENT = 1e-4
 MANY = 8
+CROWDED = 256
 #: At most so many frequent shingles (17 bytes each) are broadcast, the most frequent ones; this changes the order of shingles only.
 FREQUENT_ROWS = 1_000_000
 LEAF = 8
-#: Blocks of at most so many sets list the pairs that their tree leaves; larger ones give a forest that connects the same sets.
+#: Blocks of more sets give a forest that connects the sets instead of the pairs that their tree leaves, if these are more than
+#: half as many for each set.
 LISTED = 64
 #: A shingle in so many documents has no block: its sets are connected to the smallest id that has it. No task holds more of a block.
 HOT = 4096
@@ -123,8 +125,8 @@ def may_link(size, bits, i: int, j: int, percent: int) -> bool:
     return (bits[i] & bits[j]).bit_count() + spare >= least_overlap(size[i], size[j], percent)
 
 
-def tree_pairs(size, bits, percent: int) -> list[tuple[int, int]]:
-    """Pairs (i < j) of members of one block that may link, by dual traversal of its tree."""
+def tree_pairs(size, bits, percent: int, most: int | None = None) -> list[tuple[int, int]] | None:
+    """Pairs (i < j) of members of one block that may link, by dual traversal of its tree; None if there are more than `most`."""
     root = tree(size, bits)
     stack, out = [(root, root)], []
     while stack:
@@ -139,6 +141,8 @@ def tree_pairs(size, bits, percent: int) -> list[tuple[int, int]]:
             for j in y.members:
                 if i < j and may_link(size, bits, i, j, percent):
                     out.append((i, j))
+        if most is not None and len(out) > most:
+            return None
     return out
 
 
@@ -249,7 +253,7 @@ def _frequent(measured: DataFrame, total: int):
     The list is cut at a count that leaves at most FREQUENT_ROWS: shingles below it are ordered like any others.
     """
     often = measured.where("kind = 1").groupBy(F.col("print").alias("shingle")).agg(F.sum("n").alias("n"), F.min("id").alias("hub"))
-    often = checkpointed(often.where(F.col("n") >= max(MANY, math.ceil(FREQUENT * total))).withColumn("tier", F.log2("n").cast("int")))
+    often = checkpointed(often.where(F.col("n") >= max(MANY, min(CROWDED, math.ceil(FREQUENT * total)))).withColumn("tier", F.log2("n").cast("int")))
     rows = 0
     for r in sorted(often.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         rows += r["n"]
@@ -351,8 +355,8 @@ def _runs(batches):
 
 
 def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pairs (a, b, their sizes) that may link, once for each block; of larger blocks kind 1: the members (a) with how many
-    such blocks (na), and kind 2: pairs that connect what may link."""
+    """kind 0: pairs (a, b, their sizes) that may link, once for each block; of larger blocks with many such pairs kind 1: the
+    members (a) with how many such blocks (na), and kind 2: pairs that connect what may link."""
 
     def run(batches):
         stars: list[pa.RecordBatch] = []
@@ -401,8 +405,9 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
             for x in np.flatnonzero(length > LEAF):
                 s, e = int(edges[x]), int(edges[x + 1])
                 bits = [_bits(int(a), int(b)) for a, b in zip(low[s:e], high[s:e], strict=True)]
-                if e - s <= LISTED:
-                    listed += [(s + i, s + j) for i, j in tree_pairs(n[s:e].tolist(), bits, percent)]
+                pairs = tree_pairs(n[s:e].tolist(), bits, percent, LISTED * (e - s) // 2)
+                if pairs is not None:
+                    listed += [(s + i, s + j) for i, j in pairs]
                 else:
                     members.append(np.arange(s, e))
                     forest += [(s + i, s + j) for i, j in tree_forest(n[s:e].tolist(), bits, percent)]
