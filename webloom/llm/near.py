@@ -41,8 +41,10 @@ PIECE = 1024
 PIECE_SHINGLES = 2_000_000
 #: Members of a component that stand for it when pieces first meet.
 DELEGATES = 8
-#: At most so many ids (8 bytes each) are broadcast; more are joined by shuffle.
+#: At most so many ids are broadcast as an array (8 bytes each) or as rows of a join (about 100 bytes each on the driver); more are
+#: joined by shuffle.
 BROADCAST_IDS = 1_000_000
+BROADCAST_ROWS = 100_000
 #: Edges that one task turns into a forest.
 FOREST_ROWS = 1_000_000
 _SAMPLE = 48
@@ -432,7 +434,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _those(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (id, text) whose id is in `ids` (id, distinct): a sorted array of ids goes to the tasks, so that no text is shuffled."""
+    rows = ids.count()
+    if rows > BROADCAST_IDS:
+        return docs.join(ids, "id", "left_semi")
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
+
+    def run(batches):
+        known = wanted.value
+        for batch in batches:
+            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0
+            hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+            yield batch.filter(pa.array(hit & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, "id long, text string")
 
 
 def overlaps(sets: list[np.ndarray], cells: int = 2_000_000) -> np.ndarray:
@@ -554,7 +575,7 @@ def _compared(dealt: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 to = joined(list(ids), list(comp), [np.frombuffer(x, U) for x in sets], percent) if len(rows) > 1 else comp
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (comp, to, pieces, ids)], names=["comp", "to", "pieces", "id"])
 
-    sets = docs.join(_maybe_broadcast(needed, needed.count()), "id", "left_semi").mapInArrow(sets_of, "id long, s binary").where("octet_length(s) > 0")
+    sets = _those(docs, needed).mapInArrow(sets_of, "id long, s binary").where("octet_length(s) > 0")
     rows = sets.join(dealt, "id").select("group", "id", "comp", "pieces", "s")
     return checkpointed(rows.repartition("group").sortWithinPartitions("group").mapInArrow(links, "comp long, to long, pieces long, id long"))
 
