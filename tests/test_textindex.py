@@ -100,3 +100,19 @@ def test_a_common_trigram_is_spread(docs, tmp_path):
 def test_context_through_the_index(docs, index):
     got = index.search(docs, "id", "body", "license applies", before=1, after=1).collect()
     assert [(r.tab_id, r.line_number, r.context_before, r.context_after) for r in got] == [(0, 2, ["# Intro"], ["licensed under the terms of v2"])]
+
+
+def test_only_what_a_mode_looks_up_is_written(docs, tmp_path):
+    index = TextIndex(docs.sparkSession, str(tmp_path)).add(docs, "id", "body", tables=("grams",))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["gram_counts", "grams"]
+    assert index.search(docs, "id", "body", "license applies", limit=None).count() == 1
+    index.add(docs, "id", "body", tables=("words",))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["gram_counts", "grams", "vocabulary", "words"]
+    assert index.search(docs, "id", "body", "licenze", "fuzzy", limit=None).count() > 0
+
+
+def test_texts_and_postings_are_not_shuffled_for_many_candidates(docs, index, monkeypatch):
+    monkeypatch.setattr("webloom.operators.textindex.NAMED", 1)
+    for query, mode in (("license", "plain"), ("licenze", "fuzzy")):
+        plan = index.narrowed(docs, "id", query, mode)._jdf.queryExecution().toString()
+        assert "leftsemi" in plan.lower().replace(" ", "") and "strategy=broadcast" in plan

@@ -1,12 +1,12 @@
 """Postings of line trigrams and words, so that a search reads the tabs that can have a hit instead of all of them.
 
-Tables in one folder, each a directory for every bucket of a key's crc32 and sorted by key within its files, so a lookup
-prunes to buckets by partition and to row groups by their ranges:
+Tables in one folder, each a directory for every bucket of a key and sorted by key within its files, so a lookup prunes to
+buckets by partition and to row groups by their ranges:
 
 * grams (gram, tab_id): the trigrams of a tab's lines, A-Z lower-cased;
 * words (word, tab_id): its words, split as the fuzzy mode splits them;
-* gram_counts (gram, tabs) and neighbours (deletion, word): how many tabs have a trigram, and the crc32 of what is left of
-  each distinct word without up to two code points.
+* gram_counts (gram, tabs) and vocabulary (word): how many tabs have a trigram, and each distinct word once, in buckets by its
+  length; other buckets are of a key's crc32.
 
 Postings are never wrong by being old: what they lead to is matched against the text itself. Tabs that were written
 again must be added again. At 2 to 3 bytes a posting, trigrams take about as much room as the compressed texts.
@@ -26,10 +26,11 @@ from webloom.operators import search as S
 BUCKETS = 32
 #: Of the trigrams that a hit must hold, so many of the rarest are looked up.
 RAREST = 12
-#: Words longer than this have no neighbours in the table; they are compared with a query as long as they are.
+#: Words of so many code points and longer ones share a bucket of the vocabulary.
 LONG = 32
-#: Up to so many words or tabs found are named in a filter that prunes the next read; more are joined.
+#: Up to so many words or tabs found are named in a filter that prunes the next read; more are joined, by broadcast up to BROADCAST.
 NAMED = 2000
+BROADCAST = 100_000
 
 
 def grams_of(text: str) -> list[str]:
@@ -46,27 +47,6 @@ def line_words(text: Column) -> Column:
     return F.array_distinct(F.filter(S.words(text), lambda w: w != ""))
 
 
-def _without_one(word: Column) -> Column:
-    at = F.sequence(F.lit(1), F.char_length(word))
-    return F.when(word == "", F.array(word)).otherwise(F.transform(at, lambda i: F.concat(F.left(word, i - 1), F.substr(word, i + 1))))
-
-
-def neighbourhood(word: Column) -> Column:
-    """`word` and what is left of it without one code point, or two if it has four or more."""
-    one = F.array_distinct(_without_one(word))
-    two = F.when(F.char_length(word) > 3, F.flatten(F.transform(one, _without_one))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(word), one, two))
-
-
-def deletions(word: str, most: int) -> set[str]:
-    """The same of a query's word."""
-    found = last = {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        found = found | last
-    return found
-
-
 def _bucket(key: Column) -> Column:
     return F.pmod(F.crc32(key), F.lit(BUCKETS)).cast("int")
 
@@ -79,8 +59,9 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def add(self, docs: DataFrame, id_col: str, text_col: str, batch: str = "0") -> TextIndex:
-        """Indexes (id, text) rows as one batch; null texts have no postings.
+    def add(self, docs: DataFrame, id_col: str, text_col: str, batch: str = "0", tables: tuple[str, ...] = ("grams", "words")) -> TextIndex:
+        """Indexes (id, text) rows as one batch; null texts have no postings. Fuzzy searches need words (and the vocabulary), others
+        grams (and their counts); `tables` names what is written.
 
         A batch is written as a whole: written again (a retried job) it replaces itself, and others are not touched.
         A rewritten tab's old postings stay in their batch; they cost a look at the tab. Postings are dealt evenly: a
@@ -90,16 +71,18 @@ class TextIndex:
         lanes = max(1, width // BUCKETS)
         text = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("tab_id"), F.col(text_col).alias("text"))
         for name, key, keys in (("grams", "gram", line_grams(F.col("text"))), ("words", "word", line_words(F.col("text")))):
+            if name not in tables:
+                continue
             rows = text.select("tab_id", F.explode(keys).alias(key)).withColumn("bucket", _bucket(F.col(key)))
             rows = rows.repartition(width, "bucket", F.pmod(F.xxhash64("tab_id"), F.lit(lanes)))
             self._write(rows.sortWithinPartitions("bucket", key, "tab_id").select(key, "tab_id", "bucket"), name, batch)
-        counts = self._read("grams", batch).groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("tabs"))
-        self._write(counts.repartition("bucket").sortWithinPartitions("bucket", "gram"), "gram_counts", batch)
-        near = F.when(F.char_length("word") <= LONG, neighbourhood(F.col("word"))).otherwise(F.array(F.lit("")))
-        near = self._read("words", batch).select("word").distinct().select("word", F.explode(near).alias("deletion"))
-        near = near.select(F.crc32("deletion").alias("deletion"), "word").withColumn("bucket", F.pmod("deletion", F.lit(BUCKETS)).cast("int"))
-        near = near.repartition(width, "deletion").sortWithinPartitions("bucket", "deletion")
-        self._write(near, "neighbours", batch)
+        if "grams" in tables:
+            counts = self._read("grams", batch).groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("tabs"))
+            self._write(counts.repartition("bucket").sortWithinPartitions("bucket", "gram"), "gram_counts", batch)
+        if "words" in tables:
+            words = self._read("words", batch).select("word").distinct().withColumn("bucket", F.least(F.char_length("word"), F.lit(LONG)))
+            words = words.repartition(width, "bucket", F.pmod(F.xxhash64("word"), F.lit(lanes)))
+            self._write(words.sortWithinPartitions("bucket", "word"), "vocabulary", batch)
         return self
 
     def _write(self, rows: DataFrame, name: str, batch: str) -> None:
@@ -117,9 +100,13 @@ class TextIndex:
     def near_words(self, word: str) -> DataFrame:
         """(word): the distinct words that the fuzzy mode takes for `word`."""
         most = S.edits(word)
-        left = deletions(word, most) | ({""} if len(word) >= LONG - most else set())  # nothing is left of long words
-        found = self._read("neighbours").where(F.col("bucket").isin(_buckets(left)) & F.col("deletion").isin([zlib.crc32(w.encode()) for w in left]))
-        return found.where(S.near(F.col("word"), word)).select("word").distinct()
+        lengths = [min(n, LONG) for n in range(max(1, len(word) - most), len(word) + most + 1)]
+        return self._read("vocabulary").where(F.col("bucket").isin(sorted(set(lengths))) & S.near(F.col("word"), word)).select("word").distinct()
+
+    def _kept(self, rows: DataFrame, found: DataFrame, on) -> DataFrame:
+        """The rows that `found` has: few keys go to the rows, so that no text or posting is shuffled."""
+        few = found.limit(BROADCAST + 1).count() <= BROADCAST
+        return rows.join(F.broadcast(found) if few else found, on, "left_semi")
 
     def candidates(self, query: str, mode: str = "plain") -> DataFrame | None:
         """(tab_id): the tabs that can have a hit, each once; None where the query says too little to leave any out."""
@@ -143,7 +130,7 @@ class TextIndex:
         for i, word in enumerate(words):
             near = self.near_words(word)
             listed = [r["word"] for r in near.limit(NAMED + 1).collect()]
-            own = self._of("words", "word", listed) if len(listed) <= NAMED else self._read("words").join(near, "word", "left_semi")
+            own = self._of("words", "word", listed) if len(listed) <= NAMED else self._kept(self._read("words"), near, "word")
             postings.append(own.select("tab_id", F.lit(i).alias("which")))
         if not postings:
             return self._read("words").select("tab_id").limit(0)
@@ -160,7 +147,7 @@ class TextIndex:
         key = "tab_id"
         while key in docs.columns:
             key = "_" + key
-        return docs.join(found.withColumnRenamed("tab_id", key), F.col(id_col) == F.col(key), "left_semi")
+        return self._kept(docs, found.withColumnRenamed("tab_id", key), F.col(id_col) == F.col(key))
 
     def search(self, docs: DataFrame, id_col: str, text_col: str, query: str, mode: str = "plain", limit: int | None = 50, before: int = 0, after: int = 0) -> DataFrame:
         """The rows that search.search_texts gives over all of `docs`, read from the tabs that can have a hit."""
