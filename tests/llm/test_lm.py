@@ -63,3 +63,14 @@ def test_odd_rows(spark, odd, none):
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in rows), key=repr) == brute([r[:2] for r in ODD], 3)
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in rows)
     assert score_documents(none).count() == 0
+
+
+def test_packed_keys_come_back_and_take_less_than_whole_bytes():
+    rng = np.random.default_rng(1)
+    for n, bits in ((0, 9), (1, 9), (2000, 9), (100_000, 4)):
+        base = 5 << (64 - bits)
+        keys = np.unique(rng.integers(0, 1 << (64 - bits), n, dtype=np.uint64)) + np.uint64(base)
+        data = lm._pack(keys, base)
+        assert lm._unpack(data, base).tolist() == keys.tolist()
+        if n > 1:
+            assert len(data) < 0.96 * (1 + len(keys) * data[0])

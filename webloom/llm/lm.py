@@ -42,16 +42,20 @@ def _grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _pack(keys: np.ndarray, base: int) -> bytes:
-    """Sorted keys as differences of as many bytes as the largest needs."""
+    """Sorted keys as differences of as many bytes as the largest needs. The highest bytes, small numbers mostly, are compressed;
+    the others are as good as random and stay as they are."""
     d = np.diff(keys, prepend=U(base))
     size = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([size]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    raw = d.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([size]) + len(d).to_bytes(8, "little") + raw[:, : size - 1].tobytes() + pa.compress(raw[:, size - 1].tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, base: int) -> np.ndarray:
-    size, raw = data[0], np.frombuffer(data, np.uint8, offset=1)
-    d = np.zeros((len(raw) // size, 8), np.uint8)
-    d[:, :size] = raw.reshape(-1, size)
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    low = n * (size - 1)
+    d = np.zeros((n, 8), np.uint8)
+    d[:, : size - 1] = np.frombuffer(data, np.uint8, low, 9).reshape(n, size - 1)
+    d[:, size - 1] = np.frombuffer(pa.decompress(data[9 + low :], n, "zstd", asbytes=True), np.uint8, n)
     return np.cumsum(d.reshape(-1).view("<u8"), dtype=U) + U(base)
 
 
@@ -81,7 +85,7 @@ def _blocks(docs: DataFrame, order: int, bits: int, asking: bool) -> DataFrame:
             block = int(vec.mix(np.array([np.sum(vec.mix(whole + np.arange(len(whole)).astype(U)))], U) + np.sum(vec.mix(ids + np.arange(len(ids)).astype(U) * U(257))))[0].astype("i8"))
             if not asking:
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
                     writer.write_batch(batch)
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([b""], pa.binary())], names=["block", "place", "keys", "counts"])
                 continue
