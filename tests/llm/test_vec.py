@@ -35,3 +35,33 @@ def test_slices_split_between_texts(monkeypatch):
     whole = [v.tolist() for v in vec.sets(pa.array(texts), 3)]
     monkeypatch.setattr(vec, "SLICE_BYTES", 50)
     assert [v.tolist() for v in vec.sets(pa.array(texts), 3)] == whole
+
+
+def test_powers_for_a_long_text_are_not_kept():
+    import gc
+
+    long = "word " * 400_000
+    gc.collect()
+    vec.give_back()
+    before = resident()
+    assert next(vec.words(pa.array([long])))[1].tolist() == next(vec.words(pa.array(["word"])))[1].tolist() * 400_000
+    gc.collect()
+    vec.give_back()
+    assert resident() - before < 20_000_000
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_parts_copy_no_texts():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 20_000 + [None, ""])], names=["text"])
+    pool, usual = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        got = list(vec.parts([batch], 0, 1_000_000))
+    finally:
+        pa.set_memory_pool(usual)
+    assert sum(b.num_rows for b in got) == batch.num_rows and all(b.num_rows <= 1002 for b in got)
+    assert pool.max_memory() < 1_000_000

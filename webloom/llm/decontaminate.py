@@ -266,7 +266,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     for index in _indexes(items, item_col, item_text):
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in vec.parts(batches, 1, vec.PART_BYTES):
                 found = list(index.value.matches(batch.column(1)))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 rest = [pa.array([f[i] for f in found]) for i in (1, 2, 3, 4)] if found else [pa.nulls(0)] * 4
@@ -280,11 +280,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs` without the rows that hold a test item, all columns kept; narrow, no shuffle. See find_contamination."""
+    at = docs.columns.index(text_col)
     for index in _indexes(items, item_col, item_text):
 
         def keep(batches, index=index):
-            for batch in batches:
-                bad = {m[0] for m in index.value.matches(batch.column(batch.schema.get_field_index(text_col)))}
+            for batch in vec.parts(batches, at, vec.PART_BYTES):
+                bad = {m[0] for m in index.value.matches(batch.column(at))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm import vec
 from webloom.llm.bestfit import pack
 from webloom.llm.common import checkpointed, ranked, table
 
@@ -72,7 +73,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None, length: int, end
     arrow = {"id": None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int64())}
 
     def cut(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 1, vec.PART_BYTES):
             out = {name: [] for name, _ in fields}
             keys = batch.column(0)
             for row, text in enumerate(batch.column(1)):

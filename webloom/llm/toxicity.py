@@ -200,7 +200,7 @@ def _examples(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, t
     """Labelled rows, one for each group of near copies: of rows with the same least or greatest 5-word shingle the first stays."""
 
     def sketch(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 1, vec.PART_BYTES):
             low, high = [], []
             for s in vec.sets(batch.column(1), 5):
                 low.append(int(s[0].astype("i8")) if len(s) else 0)
@@ -216,7 +216,7 @@ def _examples(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, t
 
 def _select_terms(examples: DataFrame, limit: int) -> np.ndarray:
     def count(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 0, vec.PART_BYTES):
             label = batch.column(1).to_numpy()
             out = []
             for row, doc, term in terms(batch.column(0)):
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     vocabulary = _select_terms(examples, TERMS)
 
     def frequency(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 0, vec.PART_BYTES):
             _, t, _ = vectors(batch.column(0), vocabulary)
             n = np.bincount(t, minlength=len(vocabulary))
             at = np.flatnonzero(n)
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     idf = np.array([np.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
 
     def vector(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 1, vec.PART_BYTES):
             d, t, n = vectors(batch.column(1), vocabulary)
             at = pa.array(_split(d, batch.num_rows).astype("i4"))
             yield pa.RecordBatch.from_arrays(
@@ -292,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     index = model.index
 
     def run(batches):
-        for batch in batches:
+        for batch in vec.parts(batches, 2, vec.PART_BYTES):
             doc, t, n = vectors(batch.column(2), model.vocabulary)
             at = _split(doc, batch.num_rows)
             score = np.full(batch.num_rows, model.none)
@@ -309,15 +309,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` without the rows that the model predicts to be toxic; a narrow filter that keeps all columns."""
+    column = docs.columns.index(text_col)
 
     def keep(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            doc, t, n = vectors(column, model.vocabulary)
+        for batch in vec.parts(batches, column, vec.PART_BYTES):
+            doc, t, n = vectors(batch.column(column), model.vocabulary)
             at = _split(doc, batch.num_rows)
             score = [model.score(t[a:b], n[a:b].astype("f8"))[0] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield batch.filter(pa.array([s < THRESHOLD for s in score], pa.bool_()))
-        vec.give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C55
@@ -23,8 +24,13 @@ _WORD = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Texts are worked on in slices of about so many bytes, so that memory doesn't grow with a batch.
-SLICE_BYTES = 2_000_000
+#: Texts are worked on in slices of about so many bytes, so that memory doesn't grow with a batch; the arrays of a slice take
+#: some forty times as much.
+SLICE_BYTES = 500_000
+#: Batches whose rows are worked on at once are cut into parts of about so many bytes of text.
+PART_BYTES = 4_000_000
+#: Powers for spans of so many bytes stay in memory; those for a longer text are made anew and freed again.
+_KEPT = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,8 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, _BASE_INVERSE):
         p = np.full(n, base, U)
@@ -44,6 +49,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept = functools.lru_cache(maxsize=1)(_made)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least of each."""
+    return _kept(_KEPT) if n <= _KEPT else _made(n)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array and the offsets of its texts in them; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -81,7 +94,8 @@ def give_back() -> None:
 def parts(batches, column: int, size: int):
     """Parts of record batches with about `size` bytes of text in `column`, so that a worker's memory doesn't grow with a batch."""
     for batch in batches:
-        ends, row = flat(batch.column(column))[1][1:], 0
+        # lengths alone, without a copy of the texts
+        ends, row = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype="i8"), 0
         while row < batch.num_rows:
             done = ends[row - 1] if row else 0
             end = max(row + 1, int(np.searchsorted(ends, done + size, "right")))
@@ -109,7 +123,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     """A 64-bit hash of each span."""
     if not len(starts):
         return np.zeros(0, U)
-    power, inverse = _powers(1 << max(10, int(len(data)).bit_length()))
+    power, inverse = _powers(len(data))
     values = (_LOWER[data] if lower else data).astype(U) + U(1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(values * power[: len(data)], out=sums[1:])
