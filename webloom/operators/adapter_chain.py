@@ -113,11 +113,15 @@ def attempts(urls: DataFrame, captures: DataFrame, readmes: DataFrame | None = N
     answered = (F.col("c.status") < 400) & F.col("c.body").isNotNull()
     url, text, readme = F.col("url"), F.col("text"), F.col("readme")
     got = got.select("url", "rank", "adapter", "api", "readme", F.col("c").isNull().alias("missing"), F.when(answered, F.col("c.body")).alias("text"))
+    # JSON is checked once an answer, in a column of its own
+    plain = F.lit(False)
+    for a in adapters:
+        plain = F.when(F.col("adapter") == a.name, a.plain(url)).otherwise(plain)
+    got = got.withColumn("read", F.when(plain | F.try_parse_json(text).isNotNull(), text))
     # each renderer gets the answers of its own URLs, and null elsewhere: one pass, whatever runs in Arrow
     markdown, title = F.lit(None).cast("string"), F.lit(None).cast("string")
     for a in adapters:
-        readable = a.plain(url) | F.try_parse_json(text).isNotNull()
-        own = F.when((F.col("adapter") == a.name) & readable, text)
+        own = F.when(F.col("adapter") == a.name, F.col("read"))
         markdown = F.when(F.col("adapter") == a.name, F.when(own.isNotNull(), a.markdown(url, own, readme))).otherwise(markdown)
         title = F.when(F.col("adapter") == a.name, a.title(url, text)).otherwise(title)
     made = got.select("url", "rank", "adapter", "api", "missing", "text", A.non_blank(markdown).alias("markdown"), title.alias("title"))
