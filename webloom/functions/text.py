@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,14 +106,25 @@ def strip_comment(markup: str) -> str:
     return re.sub(r"&#?\w+;", lambda m: html.unescape(m[0]), re.sub(r"<[^>]*>", "", markup))
 
 
-def comment_text(markup: Column) -> Column:
-    """strip_comment over a column, in Arrow batches."""
+#: So many texts of a batch are Python strings at once.
+AT_ONCE = 128
+
+
+def by_row(fn: Callable[[str], str], text: Column) -> Column:
+    """fn of each text, in Python: besides the Arrow batches that come and go, a few texts at a time are in memory."""
 
-    @F.pandas_udf("string")
-    def udf(markup: pd.Series) -> pd.Series:
-        return markup.map(lambda x: None if x is None else strip_comment(x))
+    @F.arrow_udf("string")
+    def udf(batch: pa.Array) -> pa.Array:
+        parts = (batch.slice(at, AT_ONCE) for at in range(0, len(batch), AT_ONCE))
+        made = [pa.array([fn(x.as_py()) if x.is_valid else None for x in part], pa.string()) for part in parts]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
-    return udf(markup)
+    return udf(text)
+
+
+def comment_text(markup: Column) -> Column:
+    """strip_comment over a column, in Arrow batches."""
+    return by_row(strip_comment, markup)
 
 
 def visible_text(page: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.functions.text import CUTS, LABEL, RESERVE, WINDOW, postprocess
+from webloom.functions.text import CUTS, LABEL, RESERVE, WINDOW, by_row, postprocess
 from webloom.functions.urls import charset_of_header, charset_of_meta
-from webloom.operators.links import linkified
+from webloom.operators.links import linkified, linkify
 
 
 def truncate(markdown: str, tokens: int, label: str = LABEL) -> str:
@@ -34,15 +34,14 @@ def truncate(markdown: str, tokens: int, label: str = LABEL) -> str:
 
 
 def truncated(markdown: Column, tokens: int) -> Column:
-    @F.pandas_udf(T.StringType())
-    def udf(md: pd.Series) -> pd.Series:
-        return md.map(lambda x: None if x is None else truncate(x, tokens))
-
-    return udf(markdown)
+    return by_row(lambda x: truncate(x, tokens), markdown)
 
 
 def finalize(markdown: Column, link_table: bool = True, max_tokens: int | None = None) -> Column:
+    """postprocess, linkified and truncated; the last two in one pass, so that no batch of whole rewritten texts goes back and forth."""
     out = postprocess(markdown)
+    if link_table and max_tokens is not None:
+        return by_row(lambda x: truncate(linkify(x), max_tokens), out)
     out = linkified(out) if link_table else out
     return truncated(out, max_tokens) if max_tokens is not None else out
 

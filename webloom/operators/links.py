@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.functions.text import by_row
+
 #: What a scan steps over as a whole: fenced code, inline code, images and links. Brackets in a link's text and
 #: parentheses in its URL may nest; a backslash takes the next character with it; a title ends the URL.
 GRAMMAR = regex.compile(
@@ -54,18 +56,13 @@ def linkify(markdown: str) -> str:
     return body.rstrip("\n") + "\n" * max(2, len(body) - len(body.rstrip("\n"))) + "## Links\n\n" + "".join(f"[{n}]: {u}\n" for u, n in labels.items())
 
 
-@F.pandas_udf(T.StringType())
-def _linkify_udf(markdown: pd.Series) -> pd.Series:
-    return markdown.map(lambda x: None if x is None else linkify(x))
-
-
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("url", T.StringType())])))
 def _links_udf(markdown: pd.Series) -> pd.Series:
     return markdown.map(lambda x: [{"pos": i, "text": t, "url": u} for i, (_, _, t, u) in enumerate(_scan(x or ""))])
 
 
 def linkified(markdown: Column) -> Column:
-    return _linkify_udf(markdown)
+    return by_row(linkify, markdown)
 
 
 def link_rows(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
