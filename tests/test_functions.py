@@ -116,3 +116,29 @@ def test_probes_skip_failed_hosts(spark):
     memo = spark.createDataFrame([("b.x",), ("b.x",)], "host string")
     assert strategies.markdown_probe(urls, captures).count() == 2
     assert [r.url for r in strategies.markdown_probe(urls, captures, memo).collect()] == ["https://a.x/p"]
+
+
+def test_word_characters_are_all_but_white_space():
+    import re
+
+    from webloom.functions.predicates import NO_SPACE, SPACES
+
+    word = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), NO_SPACE) + "]")
+    assert [c for c in map(chr, range(0x110000)) if (word.match(c) is None) != (c in SPACES)] == []
+
+
+def test_texts_in_parts_of_a_batch(spark):
+    from webloom.functions.text import AT_ONCE, by_row
+
+    rows = [(i, None if i % 7 == 3 else f"t{i}") for i in range(2 * AT_ONCE + 1)]
+    got = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", by_row(str.upper, F.col("t")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [(i, t and t.upper()) for i, t in rows]
+
+
+def test_an_answer_is_parsed_once(spark):
+    from webloom.operators.adapters import npm_package
+
+    row = spark.createDataFrame([('{"readme": "r", "version": "2"}', None)], "b string, r string")
+    made = row.select(F.when(F.col("b") != "", npm_package(F.lit("p"), F.col("b"), F.col("r"))).alias("m"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert made.first().m == "# p\n\n_npm package · v2_\n\n---\n\nr\n"

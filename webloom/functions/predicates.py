@@ -11,6 +11,8 @@ from webloom.functions.urls import host, last_extension, path
 
 #: Unicode white space, spelled out so that every regex dialect agrees on it.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The other characters, as ranges with those of most texts first: many times faster than the same class as a negation.
+NO_SPACE = r"!-~\x00-\x08\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}"
 SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,12 +53,12 @@ def trimmed_bytes(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(c, F.lit(f"[{NO_SPACE}]+"))
 
 
 def has_words(c: Column, least: int) -> Column:
     """Whether a text has so many words; reads no further than the last of them."""
-    return c.rlike(rf"\A[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{least - 1}}}[^{SPACE}]")
+    return c.rlike(rf"\A[{SPACE}]*+(?:[{NO_SPACE}]++[{SPACE}]++){{{least - 1}}}[{NO_SPACE}]")
 
 
 def _thin(c: Column, size: int, words: int) -> Column:
