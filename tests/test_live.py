@@ -83,3 +83,23 @@ def test_state_ends(monkeypatch):
     assert (when, gap, n) == (500, 1000, 2) and s.ends(state) == 5500
     e = live.Expiring()
     assert e.step(e.first(), 7, 100) == ((107,), (False,)) and e.step((107,), 107, 5) == ((107,), (True,)) and e.ends((107,)) == 108
+
+
+def test_many_keys_share_a_state(spark, tmp_path, monkeypatch):
+    """Calls and values of the state store are per shard, not per key; every ask is answered as in the replay."""
+    monkeypatch.setattr(live, "SHARDS", 16, raising=False)
+    live.prepare(spark)
+    rng = random.Random(13)
+    schema = "url string, ms long, id long, ttl long"
+    rows = [(f"u{i % 400}", rng.randrange(50_000), i, rng.choice([500, 9000])) for i in range(1600)]
+    for k, batch in enumerate([*shuffled(rows, rng, 5000), [("flush", 9_000_000, 9999, 1)]]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    ask = lambda s: s.withColumn("at", F.timestamp_millis("ms"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = live.stream_asks(ask(source), "url", F.col("ttl"), "20 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(150)
+    assert query.exception() is None
+    got = {r.id: r.cached for r in spark.read.parquet(f"{tmp_path}/out").where("url <> 'flush'").collect()}
+    assert got == {r.id: r.cached for r in live.replayed_asks(ask(spark.createDataFrame(rows, schema)), "url", F.col("ttl")).collect()} and len(got) == 1600
+    states = [o.numRowsTotal for p in query.recentProgress for o in p.stateOperators]
+    assert 0 < max(states) <= 3 * 16

@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -19,8 +21,12 @@ from webloom.streaming.politeness import LEAST_MS, MOST_MS
 
 #: A host without requests for so long is forgotten: its next request is the first one again.
 FORGET_MS = 7 * 86_400_000
-#: Timers are set on a grid of so many milliseconds, so that a key has few of them.
-GRID_MS = 1000
+#: Timers are set on a grid of so many milliseconds, so that a shard has few of them; those that only let states end on a coarser one.
+GRID_MS, SWEEP_MS = 1000, 3_600_000
+#: Keys are dealt into so many shards by a hash. A stream keeps their number for as long as it goes on.
+SHARDS = 1024
+#: Rows of a block of the state, and of what comes out at a time.
+BLOCK_ROWS = 10_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -28,12 +34,28 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _packed(columns: dict) -> bytes:
+    """Columns as the bytes that a state holds: one value for thousands of rows, where a state of rows pickles each."""
+    batch, out = pa.record_batch(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(block)).read_all()
+
+
 class Ordered(StatefulProcessor):
-    """Folds a key's rows (at, id, value) in order once the watermark has passed them. A subclass names its state and says how a
-    row changes it, what comes out, and when it ends."""
+    """Folds each key's rows (at, id, value) in order once the watermark has passed them. A subclass says what a key's state is, how
+    a row changes it, what comes out, and when it ends.
 
-    state_schema = ""
-    value_type = ""
+    Spark's key is a shard, which holds many keys: each call and each value of the state store then serves thousands of rows.
+    """
+
+    #: Names of a key's state, and of the columns that come out besides the key, the id and the time.
+    fields: list[str] = []
+    out: list[str] = []
 
     def first(self) -> tuple:
         """The state of a key that nothing is known of."""
@@ -47,52 +69,70 @@ class Ordered(StatefulProcessor):
         """The time from which a state without further rows is as good as none."""
         raise NotImplementedError
 
-    #: Columns that come out besides the key, the id and the time.
-    out: list[str] = []
-
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, id long, value {self.value_type}")
-        self.state = handle.getValueState("state", self.state_schema)
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.states = handle.getValueState("states", "block binary")
+        #: Time of the earliest row that waits, which a timer is set for, and the earliest end of a state.
+        self.next = handle.getValueState("next", "due long, ends long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [
-            (int(at), int(i), None if pd.isna(value) else int(value))
-            for frame in rows
-            for at, i, value in zip(frame["at"], frame["id"], frame["value"], strict=True)
-        ]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(self._grid(min(new)[0]))
+        due, ends = self.next.get() or (None, None)
+        least = due
+        for frame in rows:
+            at = pa.array(frame["at"], pa.int64(), from_pandas=True)
+            value = pa.array(frame["value"], pa.int64(), from_pandas=True)
+            self.waiting.appendValue((_packed({"key": pa.array(frame["key"]), "at": at, "id": pa.array(frame["id"], pa.int64(), from_pandas=True), "value": value}),))
+            first = pc.min(at).as_py()
+            least = first if least is None else min(least, first)
+        if least != due:
+            self.next.update((least, ends))
+            self.handle.registerTimer(self._grid(least))
         return iter(())
 
     @staticmethod
-    def _grid(at: int) -> int:
-        return -(-(at + 1) // GRID_MS) * GRID_MS
+    def _grid(at: int, step: int = GRID_MS) -> int:
+        return -(-(at + 1) // step) * step
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        ready = [r for r in waiting if r[0] < now]
-        state = tuple(self.state.get()) if self.state.exists() else None
-        if not ready:
-            if state is not None and self.ends(state) <= now:
-                self.state.clear()
+        due, ends = self.next.get() or (None, None)
+        if (due is None or due >= now) and (ends is None or ends > now):
             return
+        held = self.states.get()
+        states = {k: tuple(state) for k, *state in zip(*_unpacked(held[0]).to_pydict().values(), strict=True)} if held else {}
+        if due is not None and due < now:
+            waiting = pa.concat_tables([_unpacked(block) for (block,) in self.waiting.get()])
+            early = pc.less(waiting["at"], now)
+            ready, left = waiting.filter(early).sort_by([(c, "ascending") for c in ("key", "at", "id")]), waiting.filter(pc.invert(early))
+            del waiting
+            self.waiting.clear()
+            for batch in left.combine_chunks().to_batches(BLOCK_ROWS):
+                self.waiting.appendValue((_packed(dict(zip(batch.schema.names, batch.columns, strict=True))),))
+            due = pc.min(left["at"]).as_py()
+            for batch in ready.combine_chunks().to_batches(BLOCK_ROWS):
+                yield self._fold(states, batch.to_pydict())
+        states = {k: state for k, state in states.items() if self.ends(state) > now}
+        ends = min(map(self.ends, states.values()), default=None)
+        if states:
+            self.states.update((_packed({"key": list(states), **dict(zip(self.fields, zip(*states.values(), strict=True), strict=True))}),))
+            self.handle.registerTimer(self._grid(ends, SWEEP_MS))
+        else:
+            self.states.clear()
+        if due is not None:
+            self.handle.registerTimer(self._grid(due))
+        self.next.update((due, ends))
+
+    def _fold(self, states: dict, rows: dict) -> pd.DataFrame:
+        """What comes out of rows in order of (key, at, id); `states` has each key's state afterwards."""
         found = []
-        for at, i, value in ready:
+        for k, at, value in zip(rows["key"], rows["at"], rows["value"], strict=True):
+            state = states.get(k)
             if state is None or self.ends(state) <= at:
                 state = self.first()
-            state, values = self.step(state, at, value)
-            found.append((*key, i, at, *values))
-        self.state.update(state)
-        if left := waiting[len(ready) :]:
-            self.waiting.put(left)
-            self.handle.registerTimer(self._grid(left[0][0]))
-        else:
-            self.waiting.clear()
-            self.handle.registerTimer(self._grid(max(now, self.ends(state))))
-        yield pd.DataFrame(found, columns=["key", "id", "at", *self.out])
+            states[k], values = self.step(state, at, value)
+            found.append(values)
+        return pd.DataFrame({"key": rows["key"], "id": rows["id"], "at": rows["at"], **dict(zip(self.out, zip(*found, strict=True), strict=True))})
 
     def close(self) -> None:
         pass
@@ -101,7 +141,7 @@ class Ordered(StatefulProcessor):
 class Schedule(Ordered):
     """When each request may go, and the gap after it; see politeness.host_schedule."""
 
-    state_schema, value_type, out = "gap long, last long, known boolean, n long", "int", ["at_ms", "gap_ms", "requests"]
+    fields, out = ["gap", "last", "known", "n"], ["at_ms", "gap_ms", "requests"]
 
     def __init__(self, forget_ms: int):
         self.forget_ms = forget_ms
@@ -123,7 +163,7 @@ class Expiring(Ordered):
     """Whether each ask is answered by what an earlier one fetched: a fetch holds for its own time to live, and the first ask after
     that fetches again."""
 
-    state_schema, value_type, out = "expires long", "long", ["cached"]
+    fields, out = ["expires"], ["cached"]
 
     def first(self):
         return (None,)
@@ -138,10 +178,11 @@ class Expiring(Ordered):
 
 
 def _folded(rows: DataFrame, key: str, at: str, late: str, processor: Ordered, out: str) -> DataFrame:
-    """rows: (key, at timestamp, id, value) with a watermark of `late`."""
+    """rows: (key, at timestamp, id, value) with a watermark of `late`. A shard's waiting rows and states are in memory of a task at a time."""
     kind = rows.schema[key].dataType.simpleString()
     asked = rows.withWatermark(at, late).select(F.col(key).alias("key"), F.col(at).alias("event"), F.unix_millis(at).alias("at"), "id", "value").where("at is not null and key is not null")
-    made = asked.groupBy("key").transformWithStateInPandas(processor, f"key {kind}, id long, at long, {out}", "Append", "eventTime")
+    asked = asked.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS)))
+    made = asked.groupBy("shard").transformWithStateInPandas(processor, f"key {kind}, id long, at long, {out}", "Append", "eventTime")
     return made.withColumnRenamed("key", key)
 
 
@@ -166,8 +207,6 @@ def stream_asks(asks: DataFrame, key: str, ttl_ms, late: str = "10 minutes") ->
 
 def replayed_asks(asks: DataFrame, key: str, ttl_ms) -> DataFrame:
     """The same over a table, (key, at timestamp, id): each key's asks in order of (at, id), one pass over sorted rows."""
-    import pyarrow as pa
-
     kind = asks.schema[key].dataType.simpleString()
     rows = asks.select(F.col(key).alias("key"), F.unix_millis("at").alias("at"), F.col("id").cast("long").alias("id"), ttl_ms.cast("long").alias("ttl")).where("at is not null and key is not null")
 
