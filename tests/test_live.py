@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.plans import stream_queries
 from webloom.streaming import live, politeness
 
 
@@ -103,3 +104,14 @@ def test_many_keys_share_a_state(spark, tmp_path, monkeypatch):
     assert got == {r.id: r.cached for r in live.replayed_asks(ask(spark.createDataFrame(rows, schema)), "url", F.col("ttl")).collect()} and len(got) == 1600
     states = [o.numRowsTotal for p in query.recentProgress for o in p.stateOperators]
     assert 0 < max(states) <= 3 * 16
+
+
+def test_a_micro_batch_is_files_for_all_cores(spark, tmp_path):
+    place, rows = str(tmp_path), spark.range(5000)
+    stream = stream_queries._streamed(rows, place, "id", spark.createDataFrame([(-1,)], "id long"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == stream_queries.BATCHES * spark.sparkContext.defaultParallelism + 1
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda batch, _: seen.append([r.id for r in batch.collect()])).option("checkpointLocation", f"{place}/c").trigger(availableNow=True).start()
+    query.awaitTermination(150)
+    assert query.exception() is None
+    assert len(seen) == stream_queries.BATCHES + 1 and seen[-1] == [-1] and sorted(sum(seen[:-1], [])) == list(range(5000))

@@ -26,11 +26,12 @@ def _place(spark) -> str:
 
 
 def _streamed(rows: DataFrame, place: str, by: str, last: DataFrame | None = None) -> DataFrame:
-    """A stream of `rows`, a file to a micro-batch, dealt by a hash of `by` and so out of order; `last` comes after all others."""
-    rows.repartition(BATCHES, by).write.parquet(f"{place}/in")
+    """A stream of `rows` in BATCHES micro-batches of a file for each core, dealt by a hash of `by` and so out of order; `last` comes after all others."""
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(BATCHES * files, by).write.parquet(f"{place}/in")
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(f"{place}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
 
 
 def _finished(stream: DataFrame, place: str) -> DataFrame:
