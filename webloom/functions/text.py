@@ -35,8 +35,9 @@ def pdf_text(raw: Column) -> Column:
 
 
 def pdf_title(text: Column) -> Column:
+    """The first line of the first page that isn't blank; null without one."""
     head = F.substring_index(text, "\n---\n", 1)
-    return F.element_at(F.filter(F.transform(F.split(head, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1)
+    return F.get(F.filter(F.transform(F.split(head, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
 
 
 def block_banner(host: Column, markdown: Column, label: str = LABEL) -> Column:

@@ -159,9 +159,10 @@ R.add(
     lambda s, d: V.read(s, d, "documents").select("doc_id", F.md5(X.postprocess(F.regexp_replace("text", r"\. ", ".  \n\n \n"))).alias("md5")),
     f"SELECT doc_id, md5({_POST.format('x')}) AS md5 FROM (SELECT doc_id, regexp_replace(text, '\\. ', '.  ' || chr(10) || chr(10) || ' ' || chr(10), 'g') AS x FROM documents)",
 )
+# a document's lines are indented for its title, so that none of them ends the first page
 R.add(
     "pdf_postprocess",
-    lambda s, d: V.read(s, d, "documents").select("doc_id", X.pdf_text(F.replace(F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ")), F.lit("th"), F.lit("t-\nh"))).alias("text"), X.pdf_title(F.concat(F.lit("\n \n"), "text", F.lit("\n---\n"))).alias("title")),
+    lambda s, d: V.read(s, d, "documents").select("doc_id", X.pdf_text(F.replace(F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ")), F.lit("th"), F.lit("t-\nh"))).alias("text"), X.pdf_title(F.concat(F.lit("\n \n "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n ")), F.lit("\n---\n"))).alias("title")),
     """SELECT doc_id, regexp_replace(replace(replace(text, 'fi', 'ﬁ'), 'th', 't-' || chr(10) || 'h'), '(\\p{L})-\\n([a-z])', '\\1\\2', 'g').replace('ﬁ', 'fi') AS text,
        list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS title FROM documents""",
 )
